@@ -51,11 +51,12 @@ class FMIndex:
     """symbols: 1 and up, with 0 after each segment. depth: the longest segment.
 
     Separators sort by their place, so every suffix order ends inside its
-    segment and no match crosses segments. Samples are kept every `every`
+    segment and no match crosses segments. sigma: one above the largest symbol
+    that a pattern may have. Samples are kept every `every`
     places of a segment, its first place included.
     """
 
-    def __init__(self, symbols: np.ndarray, depth: int, every: int = 0, common: bool = False):
+    def __init__(self, symbols: np.ndarray, depth: int, every: int = 0, common: bool = False, sigma: int = 0):
         symbols = np.asarray(symbols, np.int64)
         self.n = n = len(symbols)
         closes = symbols == 0
@@ -85,9 +86,8 @@ class FMIndex:
             names.append((span, rank))
         self.order = order
         last = symbols[order - 1]
-        bits = max(1, int(symbols.max()).bit_length())
-        self.wavelet = WaveletMatrix(last, bits)
-        sigma = int(symbols.max()) + 1
+        sigma = max(sigma, int(symbols.max()) + 1)
+        self.wavelet = WaveletMatrix(last, max(1, (sigma - 1).bit_length()))
         before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=sigma))[:-1]])
         self.shift = before - self.wavelet.moved(np.arange(sigma), np.zeros(sigma, np.int64))
         self.symbols = symbols

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, suffix_dedup
+from . import decontaminate, minhash, mixing, sharding, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_minhash": minhash.op2_minhash,
+    "op6_sharding": sharding.op6_sharding,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
+    "op2_minhash": minhash.SQL,
+    "op8_decontaminate": decontaminate.SQL,
     "op9_suffix_dedup": suffix_dedup.SQL,
+    "op10_mixing": mixing.SQL,
 }
