@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, mixing, sharding, substring_dedup, suffix_dedup
+from . import decontaminate, line_dedup, minhash, mixing, sharding, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_minhash": minhash.op2_minhash,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op2_minhash": minhash.SQL,
+    "op4_line_dedup": line_dedup.SQL,
     "op8_decontaminate": decontaminate.SQL,
     "op9_suffix_dedup": suffix_dedup.SQL,
     "op10_mixing": mixing.SQL,
