@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, minhash, mixing, sharding, substring_dedup, suffix_dedup
+from . import decontaminate, line_dedup, minhash, mixing, quality, sharding, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_minhash": minhash.op2_minhash,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_sharding": sharding.op6_sharding,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
