@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, minhash, mixing, quality, sharding, substring_dedup, suffix_dedup
+from . import decontaminate, line_dedup, minhash, mixing, quality, sharding, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_quality": quality.op5_quality,
     "op6_sharding": sharding.op6_sharding,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_mixing": mixing.op10_mixing,
