@@ -1,3 +1,75 @@
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A corpus from raw documents to shards, each stage one operator of waymend.llm."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waymend.llm.decontaminate import contaminated, decontaminate
+from waymend.llm.minhash import near_duplicates
+from waymend.llm.mixing import mixed_documents
+from waymend.llm.quality import fit, quality_rules
+from waymend.llm.session import checkpoint_dir, table
+from waymend.llm.sharding import shard_rows
+from waymend.session import with_library
+
+#: Shingles of five words, the library's default.
+SHINGLE_WORDS = 5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    field = fit(docs, table(spark, sf_dir, "labels"))
+    return quality_rules(docs, field).where("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one of smallest id. Rows of a null id stay."""
+    groups = near_duplicates(docs, shingle=SHINGLE_WORDS)
+    keepers = groups.where("doc_id = component_id").select("doc_id")
+    again = not keepers.groupBy("doc_id").count().where("count > 1").isEmpty()
+    kept = docs.join(keepers.distinct() if again else keepers, "doc_id", "left_semi")
+    kept = kept.dropDuplicates(["doc_id"]) if again else kept
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark text contaminates."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~contaminated()).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources by weight: a document as often as the mix takes it."""
+    return mixed_documents(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard and their place in it."""
+    return shard_rows(docs, "doc_id")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+
+#: No SQL can express the quality stage (a fitted field, decoded by Viterbi); tests hold run() against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet in the shared folder and read again."""
+    with_library(spark)
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

@@ -18,6 +18,7 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 HASH_BITS = 60
 LEVEL_BITS = 12
+BROADCAST_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -90,6 +91,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return joined.select("r.doc_id", F.col("r.source").alias("source"), "r.size", "source_size", "target", copies.alias("copies"))
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of docs as often as mix() takes it, in no order; rows that it doesn't take go."""
+    text = F.col(f"`{text_col}`")
+    rows = cut(docs.select(F.col(f"`{source_col}`").alias("source"), n_words(text).alias("size"), mix_hash(F.col(f"`{id_col}`")).alias("hash")))
+    sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    limits = sources.select("source", whole.alias("whole")).alias("s").join(thresholds(rows, sources).alias("l"), F.expr("s.source <=> l.source"), "left")
+    limits = cut(limits.select(F.col("s.source").alias("__source"), F.col("whole").alias("__copies"), F.coalesce("threshold", F.lit(0)).alias("__threshold")))
+    # A row for each source; sent to all executors only while there are few.
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_SOURCES else limits
+    taken = docs.join(limits, F.col(f"`{source_col}`").eqNullSafe(F.col("__source")))
+    copies = F.col("__copies") + (mix_hash(F.col(f"`{id_col}`")) < F.col("__threshold")).cast("long")
+    repeated = taken.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

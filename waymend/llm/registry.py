@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, minhash, mixing, quality, sharding, substring_dedup, suffix_dedup, toxicity
+from . import decontaminate, licenses, line_dedup, minhash, mixing, quality, sharding, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_minhash": minhash.op2_minhash,
+    "op3_licenses": licenses.op3_licenses,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_quality": quality.op5_quality,
     "op6_sharding": sharding.op6_sharding,
@@ -19,6 +20,7 @@ QUERIES = {
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op2_minhash": minhash.SQL,
+    "op3_licenses": licenses.SQL,
     "op4_line_dedup": line_dedup.SQL,
     "op8_decontaminate": decontaminate.SQL,
     "op9_suffix_dedup": suffix_dedup.SQL,
