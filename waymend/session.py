@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -19,3 +21,28 @@ def with_library(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder: iterations restart from there."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
+def ranked(df: DataFrame, col: str, name: str = "rank") -> DataFrame:
+    """df with the rank of each row by col, from 0, without bringing the rows to one task.
+
+    Rows are range-partitioned by col and numbered within partitions; only the
+    partitions' sizes are summed up.
+    """
+    dealt = cut(df.repartitionByRange(F.col(col)).withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy("__part").count()
+    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.__part") < F.col("a.__part"), "left").groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(col)) - 1
+    return dealt.withColumn("__within", within).join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__within")).cast("long")).drop("__part", "__before", "__within")
+
+
+def rounded(value: Column, digits: int = 6) -> Column:
+    return F.round(value, digits)
