@@ -3,11 +3,14 @@ verification, confirmation on full sets, and connected components by
 alternating large-star and small-star.
 
 Links between different sets are found in two rounds. In the first, every
-member of a band's bucket is compared with the bucket's least member only, so a
-bucket of n documents costs n comparisons. In the second, members of a bucket
-that stand in different components are compared with each other; what one
-component holds already needs no further link, so a large group of copies
-costs nothing more. Signatures rule most pairs out; the full sets decide.
+member of a band's bucket is compared with the bucket's hub only, the member
+that most others share buckets with, so a bucket of n documents costs n
+comparisons; signatures rule most pairs out, the full sets decide. A candidate
+group is what buckets join. Where one still has several components, the second
+round compares the full sets of all but its largest component with the whole
+group, through an inverted index of shingles over blocks of bounded size. What
+one component holds already needs no further link, and one link between two
+components is enough, so neither round gives a row for each pair of a group.
 """
 
 from __future__ import annotations
@@ -20,15 +23,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, Prints, Words, chunks, mixed, ranges, row_of
-from .session import cut, table
+from .session import apart, cut, table
 
-HASHES = 144
+HASHES = 112
 BAND_ROWS = 4
+#: Ids that are sent to all executors to meet their texts there; more are shuffled with them.
+BROADCAST_IDS = 100_000
+#: Shingles of one block of a candidate group's inverted index.
+BLOCK_SHINGLES = 2_000_000
+#: Pairs that are sent to all executors to meet the texts there; more are shuffled with them.
+BROADCAST_PAIRS = 10_000
 SHINGLE_WORDS = 5
 PERCENT = 80
-#: Least share of equal minima at which a pair goes on to the full sets: more than six
-#: standard deviations below the threshold at 144 hashes.
-LEAST_SHARE = 0.58
+#: Least share of equal minima at which a pair goes on to the full sets: six standard
+#: deviations below the threshold at 112 hashes.
+LEAST_SHARE = 0.57
 
 
 def shingle_sets(values: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,16 +90,74 @@ def _signatures(size: int, hashes: int, band: int):
                 bytes_ = mixed(minima.astype(np.uint64)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["doc_id"].slice(row, n), batch["text_hash"].slice(row, n), pa.array(np.diff(bounds)), pa.array(prints[0]), pa.array(prints[1]),
+                        batch["doc_id"].slice(row, n), pa.array(np.diff(bounds)), pa.array(prints[0]), pa.array(prints[1]),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (hashes // band)), pa.array(bands.ravel().view(np.int64))),
                         pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * hashes), pa.py_buffer(bytes_.ravel())]),
                     ],
-                    names=["doc_id", "text_hash", "n_shingles", "left_print", "right_print", "bands", "signature"],
+                    names=["doc_id", "n_shingles", "left_print", "right_print", "bands", "signature"],
                 )
 
     return sign
 
 
+def _across(size: int, percent: int):
+    """Links between components, from rows sorted by group, block and role: the block's members first, then those that seek.
+
+    A block's members become an inverted index; seekers stream past it. Each
+    seeker gives one link for each other component that it is linked with.
+    """
+
+    def seek(index: tuple, ids: pa.Array, component: np.ndarray, sets: np.ndarray, bounds: np.ndarray) -> Iterator[tuple]:
+        tokens, heads, postings, members, sizes, labels = index
+        at = np.searchsorted(tokens, sets)
+        hit = np.flatnonzero(tokens[np.minimum(at, len(tokens) - 1)] == sets) if len(tokens) else np.zeros(0, np.int64)
+        row = row_of(bounds)[hit]
+        at = at[hit]
+        edges = np.searchsorted(row, np.arange(len(bounds)))
+        for k in range(len(bounds) - 1):
+            t = at[edges[k] : edges[k + 1]]
+            n = int(bounds[k + 1] - bounds[k])
+            shared = np.bincount(postings[ranges(heads[t], heads[t + 1] - heads[t])], minlength=len(sizes))
+            linked = np.flatnonzero((100 * shared >= percent * (n + sizes - shared)) & (labels != component[k]))
+            for j in linked[np.unique(labels[linked], return_index=True)[1]].tolist():
+                yield ids[k], members[j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, index, out = None, [], None, ([], [])
+        for batch in batches:
+            for row, values, offsets in chunks(batch["text"], 1 << 19):
+                sets, bounds = shingle_sets(values, offsets, size)
+                n = len(offsets) - 1
+                part = batch.slice(row, n)
+                group, block, seeks = part["place"].to_pylist(), np.asarray(part["block"]), part["seeks"].to_numpy(zero_copy_only=False)
+                component = np.asarray(part["label"])
+                change = np.flatnonzero([True] + [group[k] != group[k - 1] or block[k] != block[k - 1] or seeks[k] != seeks[k - 1] for k in range(1, n)])
+                for a, b in zip(change, np.append(change[1:], n)):
+                    if (group[a], block[a]) != key:
+                        key, held, index = (group[a], block[a]), [], None
+                    ids, own, edge = part["id"].slice(a, b - a).to_pylist(), sets[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+                    if not seeks[a]:
+                        held.append((ids, component[a:b], own, np.diff(edge)))
+                        continue
+                    if index is None:
+                        sizes = np.concatenate([h[3] for h in held]) if held else np.zeros(0, np.int64)
+                        every = np.concatenate([h[2] for h in held]) if held else np.zeros(0, np.uint64)
+                        member = np.repeat(np.arange(len(sizes)), sizes)
+                        order = np.argsort(every, kind="stable")
+                        tokens, heads = np.unique(every[order], return_index=True)
+                        labels = np.concatenate([h[1] for h in held]) if held else np.zeros(0, np.int64)
+                        index, held = (tokens, np.append(heads, len(every)), member[order], [i for h in held for i in h[0]], sizes, labels), []
+                    for x, y in seek(index, ids, component[a:b], own, edge):
+                        out[0].append(x)
+                        out[1].append(y)
+            if out[0]:
+                kind = batch.schema.field("id").type
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], kind)], names=["a", "b"])
+                out = ([], [])
+
+    return run
+
+
 def _confirm(size: int, percent: int):
     """Keeps the pairs whose full sets have 100 * intersection >= percent * union."""
 
@@ -168,8 +235,8 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, percent: int = PERCENT, hashes: int = HASHES, band: int = BAND_ROWS, least_share: float = LEAST_SHARE) -> DataFrame:
     """Groups of documents linked by shingle sets with 100 * intersection >= percent * union.
 
-    Returns per row: doc_id, text_hash, n_shingles, component_id (the smallest
-    doc_id that links reach, its own included).
+    Returns per row: doc_id, n_shingles, component_id (the smallest doc_id that
+    links reach, its own included).
 
     Words are split at ASCII white space after A-Z are lower-cased; a text of
     fewer words than a shingle is one shingle; null and wordless texts have
@@ -179,42 +246,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read. Ids must be orderable.
     """
     text = F.col(f"`{text_col}`")
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.hash(text).alias("text_hash"), text.alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    signed = cut(texts.mapInArrow(_signatures(shingle, hashes, band), f"doc_id {kind}, text_hash int, n_shingles long, left_print long, right_print long, bands array<long>, signature binary"))
+    signed = cut(texts.mapInArrow(_signatures(shingle, hashes, band), f"doc_id {kind}, n_shingles long, left_print long, right_print long, bands array<long>, signature binary"))
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # Equal sets are one class, with its smallest document as the one that is compared.
-    classes = full.groupBy("left_print", "right_print").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
-    equal = full.join(classes, ["left_print", "right_print"]).select(F.col("doc_id").alias("a"), F.col("at.doc_id").alias("b")).where("a <> b")
-    key = F.struct("doc_id", "text_hash")
-    heads = cut(full.join(classes.select(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")).distinct(), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]))
-    members = heads.select(key.alias("id"), F.explode("bands").alias("band"))
-    least = members.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("b")).where("n > 1").drop("n")
-    pairs = members.join(least, "band").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    signs = heads.select(key.alias("id"), "n_shingles", "signature")
+    classes = cut(full.groupBy("left_print", "right_print").agg(F.min("doc_id").alias("head")))
+    equal = apart(full.select("doc_id", "left_print", "right_print"), classes, ["left_print", "right_print"]).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b")
+    # Only where a doc_id stands twice must rows be made distinct before they are joined.
+    repeated = not full.groupBy("doc_id").count().where("count > 1").isEmpty()
+    heads = full.join(classes.select(F.col("head").alias("doc_id"), "left_print", "right_print"), ["doc_id", "left_print", "right_print"], "left_semi")
+    heads = heads.dropDuplicates(["doc_id", "left_print", "right_print"]) if repeated else heads
+    heads = cut(heads.select(F.col("doc_id").alias("id"), "n_shingles", "bands", "signature"))
+    members = heads.select("id", F.explode("bands").alias("band"))
+    sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(apart(members, sizes, ["band"]).select("id", "band", "n"))
+    score = shared.groupBy("id").agg(F.sum("n").alias("score"))
+    hubs = shared.join(score, "id").groupBy("band").agg(F.max_by("id", "score").alias("hub"))
+    pairs = cut(apart(shared, hubs, ["band"]).where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct())
+    signs = heads.select("id", "n_shingles", "signature")
+    source = texts.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+    source = source.distinct() if repeated else source
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sided = pairs.join(signs.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("signature_a")), "a").join(signs.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("signature_b")), "b")
-        kept = sided.mapInArrow(_alike(least_share, hashes, percent), pairs.select("a", "b").schema)
-        source = texts.where("doc_id IS NOT NULL").select(key.alias("id"), "text").dropDuplicates(["id"]) if repeated else texts.select(key.alias("id"), "text")
-        sides = kept.join(source.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(source.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        return sides.mapInArrow(_confirm(shingle, percent), kept.schema)
-
-    # Only where some (doc_id, text) stands twice must texts be made distinct before they are joined.
-    repeated = not signed.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
-    first = cut(verified(pairs))
+        side = {x: signs.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"signature_{x}")) for x in "ab"}
+        kept = cut(pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(_alike(least_share, hashes, percent), f"a {kind}, b {kind}").distinct())
+        few = kept.count() <= BROADCAST_PAIRS
+        kept = F.broadcast(kept) if few else kept
+        sides = kept.join(source.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        if few:
+            sides = cut(sides)
+            sides = F.broadcast(kept).join(source.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(sides, ["a", "b"])
+        else:
+            sides = sides.join(source.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        return cut(sides.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), f"a {kind}, b {kind}").distinct())
+
+    first = verified(pairs)
     nodes = connected_components(first)
-    nodes = cut(nodes)
-    placed = members.join(nodes.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "band", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    open_ = cut(placed.join(split, "band", "left_semi"))
-    # A pair already judged in the first round needs no second look.
-    other = open_.alias("x").join(open_.alias("y"), F.expr("x.band = y.band AND x.component < y.component")).select(F.least("x.id", "y.id").alias("b"), F.greatest("x.id", "y.id").alias("a")).distinct()
-    later = other.select("a", "b").join(pairs, ["a", "b"], "left_anti")
-    second = cut(verified(later))
-    links = first.unionByName(second).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).unionByName(equal)
-    found = connected_components(links)
-    return signed.select("doc_id", "text_hash", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    place = connected_components(pairs).select(F.col("node").alias("id"), F.col("component").alias("place"))
+    labelled = cut(place.join(nodes.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "place", F.xxhash64(F.coalesce("component", "id")).alias("label")).join(heads.select("id", "n_shingles").dropDuplicates(["id"]), "id"))
+    parts = labelled.groupBy("place", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    groups = cut(parts.groupBy("place").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("largest"), F.ceil(F.sum("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")).where("parts > 1"))
+    waiting = cut(apart(labelled, groups, ["place"]).select("id", "place", "label", "largest", "blocks"))
+    # At most BROADCAST_IDS narrow rows go to all executors.
+    waiting = F.broadcast(waiting) if waiting.count() <= BROADCAST_IDS else waiting
+    texts_of = source.join(waiting, "id")
+    roles = F.array(F.struct(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("seeks")))
+    seekers = F.when(F.col("label") != F.col("largest"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.lit(True).alias("seeks")))).otherwise(F.expr("array()"))
+    dealt = texts_of.withColumn("role", F.explode(F.concat(roles, seekers))).select("id", "place", "label", "text", "role.*")
+    second = cut(dealt.repartition("place", "block").sortWithinPartitions("place", "block", "seeks").mapInArrow(_across(shingle, percent), f"a {kind}, b {kind}"))
+    found = connected_components(first.unionByName(second).unionByName(equal))
+    return signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
