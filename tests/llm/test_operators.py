@@ -128,9 +128,8 @@ def components(ids, links):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("size,broadcast,block", [(2, 10_000, 2_000_000), (5, 0, 300)])
+@pytest.mark.parametrize("size,broadcast,block", [(2, 10_000, 300_000), (5, 0, 300)])
 def test_near_duplicates(docs, corpus, monkeypatch, size, broadcast, block):
-    monkeypatch.setattr(minhash, "BROADCAST_PAIRS", broadcast)
     monkeypatch.setattr(minhash, "BROADCAST_IDS", broadcast)
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
     got = minhash.near_duplicates(docs, shingle=size).collect()

@@ -30,9 +30,7 @@ BAND_ROWS = 4
 #: Ids that are sent to all executors to meet their texts there; more are shuffled with them.
 BROADCAST_IDS = 100_000
 #: Shingles of one block of a candidate group's inverted index.
-BLOCK_SHINGLES = 2_000_000
-#: Pairs that are sent to all executors to meet the texts there; more are shuffled with them.
-BROADCAST_PAIRS = 10_000
+BLOCK_SHINGLES = 300_000
 SHINGLE_WORDS = 5
 PERCENT = 80
 #: Least share of equal minima at which a pair goes on to the full sets: six standard
@@ -271,14 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verified(pairs: DataFrame) -> DataFrame:
         side = {x: signs.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"signature_{x}")) for x in "ab"}
         kept = cut(pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(_alike(least_share, hashes, percent), f"a {kind}, b {kind}").distinct())
-        few = kept.count() <= BROADCAST_PAIRS
-        kept = F.broadcast(kept) if few else kept
-        sides = kept.join(source.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        if few:
-            sides = cut(sides)
-            sides = F.broadcast(kept).join(source.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(sides, ["a", "b"])
-        else:
-            sides = sides.join(source.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        sides = kept.join(source.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(source.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return cut(sides.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), f"a {kind}, b {kind}").distinct())
 
     first = verified(pairs)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import BYTE_VALUES, Prints, Words, chunks, lists, ranges, row_of, window_runs
-from .session import cut
+from .session import apart, cut
 
 
 @dataclass(frozen=True)
@@ -197,7 +197,7 @@ def repeated_windows(texts: DataFrame, rule: Rule, match: Callable) -> DataFrame
     spark = texts.sparkSession
     rows = window_rows(texts, rule)
     counts = rows.groupBy("anchor").agg(F.count("*").alias("n_rows"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("n_rows > 1")
-    alike = cut(rows.join(counts, "anchor").select("doc_id", "text_hash", "first", "count", "anchor", "stretch", (F.col("low") == F.col("high")).alias("equal")))
+    alike = cut(apart(rows, counts, ["anchor"]).select("doc_id", "text_hash", "first", "count", "anchor", "stretch", (F.col("low") == F.col("high")).alias("equal")))
     whole = alike.where("equal").select("doc_id", "text_hash", F.struct(F.col("first"), F.col("count").alias("windows")).alias("span"))
 
     mixed = alike.where("not equal")
