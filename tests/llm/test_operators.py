@@ -153,6 +153,16 @@ def test_near_duplicates_need_the_second_round(spark):
     assert {r.doc_id: r.component_id for r in found} == components(range(25), links)
 
 
+def test_components_of_links(spark):
+    """On the first path a node has two smaller neighbours after a round, with no node that both has one and is one."""
+    rng = random.Random(8)
+    paths = [[1, 4, 3, 5, 2], *(rng.sample(range(10 * k, 10 * k + 8), 8) for k in range(1, 60))]
+    for some in (paths[:1], paths):
+        links = [(a, b) for p in some for a, b in zip(p, p[1:])]
+        found = minhash.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert bag(found) == bag((a, min(p)) for p in some for a in p)
+
+
 def test_near_duplicates_of_string_ids(spark):
     rows = [("b", "one two three four five six"), ("a", "one two three four five six"), ("c", "other words altogether here now")]
     found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()

@@ -1,6 +1,7 @@
 """Networks small enough to work out by hand."""
 
 import math
+import random
 
 import pytest
 
@@ -110,6 +111,22 @@ def test_components_match_union_find(spark):
     assert dict(rows(connected_components(spark.createDataFrame(pairs, EDGES)))) == {k: find(k) for k in list(root)}
 
 
+def test_components_of_a_path_that_runs_up_and_down(spark):
+    """After a round node 3 has two smaller neighbours, and no node both has one and is one."""
+    edges = spark.createDataFrame([(1, 4, 1), (4, 3, 1), (3, 5, 1), (5, 2, 1)], EDGES)
+    assert rows(connected_components(edges)) == [(k, 1) for k in range(1, 6)]
+    assert tuple(graph_summary(edges).first()) == (5, 4, 1)
+
+
+def test_components_of_shuffled_paths(spark):
+    rng, pairs, want = random.Random(8), [], {}
+    for k in range(60):
+        path = rng.sample(range(10 * k, 10 * k + 8), 8)
+        pairs += [(a, b, 1) for a, b in zip(path, path[1:])]
+        want |= {a: 10 * k for a in path}
+    assert dict(rows(connected_components(spark.createDataFrame(pairs, EDGES)))) == want
+
+
 def test_spanning_forest_takes_shortest(spark):
     edges = [(0, 1, 1.0), (1, 2, 2.0), (0, 2, 3.0), (3, 4, 1.0), (2, 3, 9.0), (1, 4, 9.0)]
     found = rows(spanning_forest(spark.createDataFrame(edges, "u long, v long, dist double")))

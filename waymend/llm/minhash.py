@@ -219,10 +219,10 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         small = cut(small)
-        # Done when no node both has a smaller neighbour and is one: stars around least nodes.
-        inner = small.select("a").join(small.select(F.col("b").alias("a")), "a", "left_semi")
+        # Done when every node has one smaller neighbour at most, and none if it is one: stars around least nodes.
+        ends = small.select("a", F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(small.select(F.col("b").alias("a"), F.lit(0).alias("down"), F.lit(1).alias("up")))
         edges = small
-        if inner.isEmpty():
+        if ends.groupBy("a").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")
