@@ -359,6 +359,42 @@ def test_licenses(spark):
     assert bag((r.doc_id, r.license, round(r.dice, 6), r.first_word, r.n_words) for r in got) == bag([(1, "mit", 1.0, 3, 5), (1, "cc-by-nc-4.0", 1.0, 8, 7)])
 
 
+def test_licenses_within_other_text(spark):
+    """Notices inside lines and over several lines, against all windows that begin and end with a template's bigram."""
+    rng = random.Random(12)
+    notices, texts = sorted(licenses.TEMPLATES.items()), ["Copyright 2020 X. Released under the MIT License. See " + "some prose " * 9]
+    for k in range(40):
+        w = alnum(notices[k % len(notices)][1])
+        for _ in range(k % 4):
+            w[rng.randrange(len(w))] = rng.choice([*WORDS, "the", "license", "under"])
+        w = [rng.choice(WORDS) for _ in range(20)] + w + [rng.choice(WORDS) for _ in range(20)] + w[: k % 5]
+        texts.append("".join(x + ("\n" if rng.random() < 0.1 else " ") for x in w))
+    want = []
+    for i, text in enumerate(texts):
+        w = alnum(text)
+        pairs = list(zip(w, w[1:]))
+        units = [(0, len(w))]
+        for gap in ("\n", "\n\n"):
+            at = 0
+            for part in text.split(gap):
+                units.append((at, len(alnum(part))))
+                at += len(alnum(part))
+        for name, notice in notices:
+            own = set(zip(alnum(notice), alnum(notice)[1:]))
+            ends = [k for k, p in enumerate(pairs) if p in own]
+            best = None
+            for a, n in units + [(a, b - a + 2) for a in ends for b in ends if a <= b and b - a + 1 <= len(own) * 1.5 + 1e-9]:
+                u = set(pairs[a : a + n - 1]) if n > 1 else set()
+                dice = 2 * len(u & own) / (len(u) + len(own))
+                if dice >= 0.8:
+                    best = min(best or (0,), (-dice, a, n))
+            if best:
+                want.append((i, name, round(-best[0], 6), *best[1:]))
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert bag((r.doc_id, r.license, round(r.dice, 6), r.first_word, r.n_words) for r in got) == bag(want)
+    assert (0, "mit", 1.0, 3, 5) in want and len({w[0] for w in want}) > 20
+
+
 def test_empty_tables(spark, nothing):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert substring_dedup.substring_dedup(nothing).count() == suffix_dedup.suffix_dedup(nothing).count() == 0

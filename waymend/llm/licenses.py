@@ -4,6 +4,11 @@ coefficient over word bigrams, with size bounds that prune templates.
 A unit of text (a line, a paragraph between empty lines, a whole text) with u
 distinct bigrams can reach a coefficient d with a template of t only if
 t >= u * d / (2 - d) and t <= u * (2 - d) / d; other templates are not counted.
+
+A notice may also stand within a longer line or run over several: windows of at
+most t * (2 - d) / d bigrams that begin and end with a bigram of the template
+are further units. Only where t * d / (2 - d) of the template's bigrams stand
+that close together are they counted.
 """
 
 from __future__ import annotations
@@ -78,13 +83,58 @@ class Templates:
         u, t = np.nonzero(dice >= self.least)
         return some[u], t, dice[u, t]
 
+    def windows(self, bigrams: np.ndarray, known: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Template, rows, coefficients, first words and numbers of words of the best windows, for each template that any reaches."""
+        place = np.flatnonzero(known)
+        at = np.minimum(np.searchsorted(self.vocabulary, bigrams[place]), len(self.vocabulary) - 1)
+        row = np.searchsorted(bounds, place, "right") - 1
+        real = (self.vocabulary[at] == bigrams[place]) & (place + 1 < bounds[row + 1])
+        place, at, row = place[real], at[real], row[real]
+        before = None
+        for t, size in enumerate(self.sizes.tolist()):
+            fewest = int(np.ceil(size * self.least / (2 - self.least) - 1e-9))
+            most = int(size * (2 - self.least) / self.least + 1e-9)
+            held = self.member[at, t]
+            own, own_row = place[held], row[held]
+            if not size or len(own) < fewest:
+                continue
+            last = len(own) - fewest + 1
+            dense = np.flatnonzero((own[fewest - 1 :] - own[:last] < most) & (own_row[fewest - 1 :] == own_row[:last]))
+            if not len(dense):
+                continue
+            if before is None:
+                # Where each bigram stood before; -1 where nowhere.
+                order = np.argsort(bigrams, kind="stable")
+                before = np.full(len(bigrams), -1)
+                same = bigrams[order[1:]] == bigrams[order[:-1]]
+                before[order[1:][same]] = order[:-1][same]
+            mine = np.zeros(len(bigrams), bool)
+            mine[own] = True
+            found = []
+            for k in range(0, len(dense), 1 << 13):
+                start, r = own[dense[k : k + (1 << 13)]], own_row[dense[k : k + (1 << 13)]]
+                cells = start[:, None] + np.arange(most)
+                inside = cells + 1 < bounds[r + 1][:, None]
+                cells = np.minimum(cells, len(bigrams) - 1)
+                fresh = before[cells] < start[:, None]
+                n, shared = np.cumsum(fresh, axis=1), np.cumsum(fresh & mine[cells], axis=1)
+                dice = np.where(inside & mine[cells], 2 * shared / (n + size), 0)
+                a, b = np.nonzero(dice >= self.least)
+                order = np.lexsort((b, start[a], -dice[a, b], r[a]))
+                a, b = a[order], b[order]
+                one = np.unique(r[a], return_index=True)[1]
+                found.append((r[a[one]], dice[a[one], b[one]], start[a[one]], b[one] + 2))
+            r, dice, start, words = map(np.concatenate, zip(*found))
+            yield t, r, dice, start, words
+
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least_dice: float = LEAST_DICE) -> DataFrame:
     """doc_id, license, dice, first_word, n_words: the best unit of each row for each license that reaches least_dice.
 
     Words are runs of a-z, 0-9 and characters outside ASCII after A-Z are
     lower-cased; word positions count from 0 in the row. Units are lines,
-    paragraphs (split at two newlines) and the whole text; of equal
+    paragraphs (split at two newlines), the whole text, and windows of up to
+    a template's size bound that begin and end with a bigram of it; of equal
     coefficients the earliest, then shortest unit is named. Units of under two
     words, null and empty texts match nothing and give no row. Repeated rows
     each give theirs, null ids are kept, an empty table gives an empty table.
@@ -116,6 +166,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         r = int(np.searchsorted(words.bounds, first[u], "right")) - 1
                         found = (-d, int(first[u] - words.bounds[r]), int(stop[u] - first[u]))
                         best[r, t] = min(best.get((r, t), found), found)
+                for t, *cells in known.windows(bigrams, sieved, words.bounds):
+                    for r, d, f, n in zip(*(c.tolist() for c in cells)):
+                        found = (-d, int(f - words.bounds[r]), n)
+                        best[r, t] = min(best.get((r, t), found), found)
                 if not best:
                     continue
                 keys = sorted(best)
