@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from waymend.llm import decontaminate as dc
-from waymend.llm import licenses, line_dedup, minhash, mixing, quality, sharding, substring_dedup, suffix_dedup, toxicity
+from waymend.llm import kernels, licenses, line_dedup, minhash, mixing, quality, sharding, substring_dedup, suffix_dedup, toxicity
 from waymend.llm.fmindex import FMIndex
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, text_hash string, spans string, n_words string, shard string, size string, label string"
@@ -80,7 +80,7 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-@pytest.mark.parametrize("hot,block", [(8192, 1 << 20), (1, 1 << 20), (8192, 300)])
+@pytest.mark.parametrize("hot,block", [(256, 1 << 20), (1, 1 << 20), (0, 300), (256, 300)])
 def test_substring_dedup(docs, corpus, hot, block):
     rule = replace(substring_dedup.RULE, hot=hot, block_bytes=block)
     got = substring_dedup.substring_dedup(docs, rule=rule).select("doc_id", "n_words", "n_removed", "kept_text").collect()
@@ -89,7 +89,7 @@ def test_substring_dedup(docs, corpus, hot, block):
     assert bag(got) == bag(want)
 
 
-@pytest.mark.parametrize("hot", [8192, 1])
+@pytest.mark.parametrize("hot", [256, 1, 0])
 def test_suffix_dedup(docs, corpus, hot):
     got = suffix_dedup.suffix_dedup(docs, rule=replace(suffix_dedup.RULE, window=120, gram=24, hot=hot)).collect()
     data = [(r[1] or "").encode() for r in corpus]
@@ -99,6 +99,44 @@ def test_suffix_dedup(docs, corpus, hot):
         assert r.n_removed == sum(s.stop - s.start for s in r.removed) and all(a.stop < b.start for a, b in zip(r.removed, r.removed[1:]))
 
 
+def test_repeated_rows_null_ids_and_a_long_text(spark):
+    """1,000 rows of one id and text, 300 texts without an id, a text of 3 MB with a passage of another one."""
+    rng = random.Random(31)
+    passage, long_text = sentence(rng, 50), sentence(rng, 900_000)
+    rows = [(1, sentence(rng, 45))] * 1000
+    rows += [(None, f"{sentence(rng, 30)} {passage if k < 2 else sentence(rng, 30)}") for k in range(300)]
+    rows += [(2, long_text), (3, " ".join(long_text.split()[500_000:500_060]))]
+    assert len(long_text) > 3_000_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = bag((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs).collect())
+    assert got == Counter({(1, 45, 45): 1000, (None, 80, 50): 2, (None, 60, 0): 298, (2, 900_000, 60): 1, (3, 60, 60): 1})
+    size = {1: len(rows[0][1].encode()), None: len(passage.encode()), 3: len(rows[-1][1].encode())}
+    removed = Counter((r.doc_id, r.n_removed) for r in suffix_dedup.suffix_dedup(docs, rule=replace(suffix_dedup.RULE, window=150)).collect())
+    assert removed[1, size[1]] == 1000 and removed[3, size[3]] == 1 and removed[None, 0] == 298
+    # The passage and perhaps the blank before it; the long text's copy and what stands around it by chance.
+    assert all(k[1] in (0, size.get(k[0], 0), size.get(k[0], 0) + 1) or (k[0] == 2 and size[3] <= k[1] <= size[3] + 2) for k in removed)
+
+
+def test_long_words_are_told_apart():
+    """A Thue-Morse word and its complement: no base tells them apart modulo 2**64."""
+    word = "".join("ab"[bin(k).count("1") & 1] for k in range(2048))
+    text = f"{word} {word.translate(str.maketrans('ab', 'ba'))} {word}".encode()
+    values = np.frombuffer(text, np.uint8)
+    prints = kernels.Words(values, np.array([0, len(values)])).prints()
+    assert prints[0] != prints[1] and prints[0] == prints[2]
+
+
+def test_equal_windows_against_brute_force():
+    rng = np.random.default_rng(7)
+    for window in (3, 8, 13, 40):
+        values = rng.integers(0, 2, 900).astype(np.uint8)
+        values[500:600] = values[100:200]
+        starts, group = np.arange(len(values) - window), rng.integers(0, 2, len(values) - window)
+        seen = Counter((int(g), values[s : s + window].tobytes()) for s, g in zip(starts, group))
+        want = [seen[int(g), values[s : s + window].tobytes()] > 1 for s, g in zip(starts, group)]
+        assert suffix_dedup.equal_windows(values, starts, group, window).tolist() == want
+
+
 def test_fm_index_by_hand():
     rng = np.random.default_rng(1)
     text = np.concatenate([np.append(rng.integers(1, 4, n), 0) for n in (9, 1, 14, 5)])

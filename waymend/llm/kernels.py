@@ -7,6 +7,7 @@ the longest single text, never the size of the table.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +22,12 @@ def _odd(seed: int, n: int) -> np.ndarray:
 
 
 BYTE_VALUES = _odd(11, 256)
-_BASE = int(_odd(13, 1)[0]) | 5
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Two independent families of fingerprints: a base each, with its inverse.
+_BASES = [int(_odd(13, 1)[0]) | 5, int(_odd(17, 1)[0]) | 5]
+_powers = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _BASES]
+#: Sums of powers modulo 2**64 tell all short stretches apart well, but there are known pairs of
+#: unequal ones of 2,048 letters that no base does; longer stretches are hashed by content.
+LONGEST_SUM = 512
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[list(SPACE)] = False
@@ -36,15 +40,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i below n, modulo 2**64."""
-    if len(_powers[0]) < n:
+    found = _powers[family]
+    if len(found[0]) < n:
         size = max(n, 2 * CHUNK_BYTES)
-        for k, base in enumerate((_BASE, _INVERSE)):
+        for k, base in enumerate((_BASES[family], pow(_BASES[family], -1, 1 << 64))):
             step = np.full(size, base, np.uint64)
             step[0] = 1
-            _powers[k] = np.multiply.accumulate(step)
-    return _powers[0][:n], _powers[1][:n]
+            found[k] = np.multiply.accumulate(step)
+    return found[0][:n], found[1][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -57,10 +62,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Prints:
-    """Fingerprints of any stretch of a sequence of 64-bit values in constant time."""
+    """Fingerprints of any stretch (below LONGEST_SUM values) of a sequence of 64-bit values in constant time."""
 
-    def __init__(self, values: np.ndarray):
-        up, self.down = powers(len(values) + 1)
+    def __init__(self, values: np.ndarray, family: int = 0):
+        up, self.down = powers(len(values) + 1, family)
         self.sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * up[:-1], out=self.sums[1:])
 
@@ -92,6 +97,14 @@ def chunks(column, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray,
         row = stop
 
 
+def stretch_prints(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of the bytes of each stretch; those of LONGEST_SUM bytes and more by BLAKE2."""
+    found = Prints(BYTE_VALUES[values]).of(starts, stops)
+    for k in np.flatnonzero(stops - starts >= LONGEST_SUM):
+        found[k] = int.from_bytes(hashlib.blake2b(values[starts[k] : stops[k]].tobytes(), digest_size=8).digest(), "little")
+    return found
+
+
 class Words:
     """The words of a chunk: byte positions, and where each row's words begin."""
 
@@ -111,7 +124,7 @@ class Words:
         self.values = values
 
     def prints(self) -> np.ndarray:
-        return Prints(BYTE_VALUES[self.values]).of(self.starts, self.stops)
+        return stretch_prints(self.values, self.starts, self.stops)
 
 
 def row_of(bounds: np.ndarray) -> np.ndarray:
@@ -181,7 +194,7 @@ def window_runs(units: np.ndarray, bounds: np.ndarray, window: int, gram: int) -
     ends[:-1] = begins[1:] | ~valid[1:]
     ends[-1] = True
     count = np.flatnonzero(ends & valid) + 1 - first
-    stretch = Prints(mixed(units ^ np.uint64(0xA5A5F00DCAFE1234)))
+    stretch = Prints(mixed(units ^ np.uint64(0xA5A5F00DCAFE1234)), family=1)
     return first, count, least[first], stretch.of(first, first + count + window - 1)
 
 

@@ -4,17 +4,18 @@ substring operators.
 1. Each text is cut into runs of windows that share their least gram (the
    anchor). Equal windows have equal anchors, so only runs under one anchor
    can hold equal windows. About one row leaves a task for 15 words or 170 bytes.
-2. Rows are counted by anchor, with partial sums before the shuffle. An
-   anchor that stands once rules its windows out; under an anchor whose runs
-   are all equal, all windows repeat.
-3. What is left, runs that are alike but not equal, is looked at window by
-   window: one copy of each different run goes, with its bytes, to the bucket
-   of its anchor, where the operator's own method (`match`) compares it.
-   An anchor with more than `hot` different runs is dealt window by window
-   instead, so no group grows without bound.
-
-Runs are equal if both the 64-bit fingerprint of the anchor and an independent
-one of the whole run agree.
+2. Counts prune: runs whose anchor stands once hold no window that repeats.
+3. Of each different run that is left one copy goes, with its bytes, to the
+   operator's own method, which compares it with all others of its anchor and
+   finds the windows that repeat; of a run that stands more than once, two
+   copies from two places go, so that the method itself meets the repetition.
+   What it finds for a run holds for all places of the run.
+4. An anchor with more than `hot` different runs is dealt anew, a run for each
+   window, under the window's own fingerprint: windows that stand once are
+   pruned, two copies of the others go the same way. So no group that is
+   compared grows without bound.
+
+Runs are equal if two independent 64-bit fingerprints agree, of the anchor and of the whole run.
 """
 
 from __future__ import annotations
@@ -30,15 +31,24 @@ from pyspark.sql import functions as F
 from .kernels import BYTE_VALUES, Prints, Words, chunks, lists, ranges, row_of, window_runs
 from .session import apart, cut
 
+#: Positions that are looked at together where anchors are placed.
+PLACED = 1 << 20
+#: Runs that splitters are sampled from.
+SPLITTER_SAMPLE = 4096
+
 
 @dataclass(frozen=True)
 class Rule:
-    """A window length in units (words or bytes), the gram whose least value is the anchor."""
+    """A window length in units (words or bytes), the gram whose least value is the anchor.
+
+    An anchor of more than `hot` different runs is dealt by windows;
+    block_bytes of runs, whole anchors, are compared at once.
+    """
 
     unit: str
     window: int
     gram: int
-    hot: int = 8192
+    hot: int = 256
     block_bytes: int = 1 << 20
 
     def units(self, values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,11 +63,19 @@ class Rule:
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, a hash that tells rows of one doc_id apart, and the text; other columns go."""
     text = F.col(f"`{text_col}`")
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.hash(text).alias("text_hash"), text.alias("text"))
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
 def same_doc(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
+
+
+def different(texts: DataFrame) -> DataFrame:
+    """texts with `copies`, how often a row stands in it; only where any row stands twice are they brought together."""
+    key = ["doc_id", "text_key"]
+    if texts.groupBy(*key).count().where("count > 1").isEmpty():
+        return texts.withColumn("copies", F.lit(1))
+    return texts.groupBy(*key).agg(F.first("text").alias("text"), F.count("*").cast("int").alias("copies"))
 
 
 def _type(df: DataFrame, name: str) -> str:
@@ -77,28 +95,41 @@ def window_rows(texts: DataFrame, rule: Rule) -> DataFrame:
                 of = row_of(bounds)[first]
                 rows = pa.array(of + row)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(rows), batch["text_hash"].take(rows), pa.array((first - bounds[of]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(stretch.view(np.int64))],
-                    names=["doc_id", "text_hash", "first", "count", "anchor", "stretch"],
+                    [*(batch[c].take(rows) for c in ("doc_id", "text_key", "copies")), pa.array((first - bounds[of]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(stretch.view(np.int64))],
+                    names=["doc_id", "text_key", "copies", "first", "count", "anchor", "stretch"],
                 )
 
-    return texts.mapInArrow(emit, f"doc_id {_type(texts, 'doc_id')}, text_hash int, first int, count int, anchor long, stretch long")
+    return texts.mapInArrow(emit, f"doc_id {_type(texts, 'doc_id')}, text_key long, copies int, first int, count int, anchor long, stretch long")
 
 
-def _fetch(rule: Rule, splitters: list[int]) -> Callable:
-    """Takes documents with their runs; gives each run's bytes and its bucket."""
-    edges = np.array(splitters, np.int64)
+def _anchor_places(rule: Rule, units: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The unit where the anchor of the window at each of first begins: its first least gram."""
+    grams = Prints(units).grams(rule.gram)
+    width = rule.window - rule.gram + 1
+    step = max(1, PLACED // width)
+    found = [first[k : k + step] + grams[first[k : k + step, None] + np.arange(width)].argmin(axis=1) for k in range(0, len(first), step)]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _fetch(rule: Rule, splitters: list[bytes]) -> Callable:
+    """Takes texts with their wanted runs; gives the bytes of each run, where its anchor begins in them, and the anchor's bucket."""
+    edges = np.array(splitters, f"S{rule.gram}")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, values, offsets in chunks(batch["text"]):
                 runs = batch["runs"].slice(row, len(offsets) - 1)
                 flat = runs.flatten()
-                _, bounds, starts, stops = rule.units(values, offsets)
-                n = np.diff(np.asarray(runs.offsets)) if len(runs) else np.zeros(0, np.int64)
+                units, bounds, starts, stops = rule.units(values, offsets)
+                n = np.diff(np.asarray(runs.offsets))
                 first = np.asarray(flat.field("first")) + np.repeat(bounds[:-1], n)
                 last = first + np.asarray(flat.field("count")) + rule.window - 2
                 begin, size = starts[first], stops[last] - starts[first]
-                anchor = np.asarray(flat.field("anchor"))
+                at, bucket = np.zeros(len(first), np.int32), np.zeros(len(first), np.int32)
+                if rule.unit == "bytes" and len(first):
+                    lead = _anchor_places(rule, units, first)
+                    at = (lead - begin).astype(np.int32)
+                    bucket = np.searchsorted(edges, values[lead[:, None] + np.arange(rule.gram)].view(f"S{rule.gram}").ravel(), "right").astype(np.int32)
                 # Rows leave in pieces, so that a batch of long runs stays small.
                 total = np.cumsum(size)
                 cuts = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(1 << 22, int(total[-1]) if len(total) else 0, 1 << 22)), [len(size)]]))
@@ -106,29 +137,43 @@ def _fetch(rule: Rule, splitters: list[int]) -> Callable:
                     piece = values[ranges(begin[a:b], size[a:b])]
                     ends = np.concatenate([[0], np.cumsum(size[a:b])]).astype(np.int32)
                     data = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(piece)])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.searchsorted(edges, anchor[a:b], "right").astype(np.int32)), flat.field("anchor").slice(a, b - a), flat.field("stretch").slice(a, b - a), flat.field("n").slice(a, b - a), flat.field("hot").slice(a, b - a), data],
-                        names=["bucket", "anchor", "stretch", "n", "hot", "run"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[a:b]), flat.field("anchor").slice(a, b - a), flat.field("stretch").slice(a, b - a), pa.array(at[a:b]), data], names=["bucket", "anchor", "stretch", "at", "run"])
 
     return fetch
 
 
+def fetched(texts: DataFrame, wanted: DataFrame, rule: Rule, splitters: list[bytes] = [], few: bool = False) -> DataFrame:
+    """bucket, anchor, stretch, at, run (bytes) of each of the wanted runs: doc_id, text_key, first, count, anchor, stretch.
+
+    Anchors are dealt to buckets by splitters, for rules on bytes. few: wanted is of bounded size, so it goes to the texts.
+    """
+    runs = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "stretch", "first", "count")).alias("runs"))
+    runs = F.broadcast(runs) if few else runs
+    return texts.join(runs, same_doc(texts, runs)).select("text", "runs").mapInArrow(_fetch(rule, splitters), "bucket int, anchor long, stretch long, at int, run binary")
+
+
+def sampled_splitters(texts: DataFrame, wanted: DataFrame, rule: Rule, n: int, sample: int = SPLITTER_SAMPLE) -> list[bytes]:
+    """n - 1 anchors, at most, in the order of their bytes, that part a sample of at most `sample` runs evenly. They decide balance only."""
+    some = wanted.orderBy(F.xxhash64("anchor", "stretch"), "anchor", "stretch").limit(sample)
+    leads = fetched(texts, some, rule, few=True).select(F.expr(f"substring(run, at + 1, {rule.gram})").alias("lead")).toArrow()["lead"].to_pylist()
+    leads.sort()
+    return sorted({leads[k * len(leads) // n] for k in range(1, n)}) if leads else []
+
+
 def _matched(rule: Rule, match: Callable) -> Callable:
     """Whole anchors at a time, in blocks of bounded size; the anchor that a block's end cuts goes on with the next."""
 
     def compare(block: pa.Table) -> pa.RecordBatch | None:
-        anchor, stretch = np.asarray(block["anchor"]), np.asarray(block["stretch"])
-        fresh = np.ones(len(block), bool)
-        fresh[1:] = (anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1])
-        block = block.filter(pa.array(fresh)) if not fresh.all() else block
-        column = block["run"].combine_chunks()
-        _, values, offsets = next(chunks(column, 1 << 40))
+        block = block.combine_chunks()
+        _, values, offsets = next(chunks(block["run"].combine_chunks(), 1 << 40))
         units, bounds, _, _ = rule.units(values, offsets)
         windows = np.diff(bounds) - rule.window + 1
-        repeated = match(rule, units, bounds)
-        many = np.asarray(block["n"]) >= 2
-        repeated |= np.repeat(many, windows)
+        anchor, stretch = np.asarray(block["anchor"]), np.asarray(block["stretch"])
+        repeated = match(rule, values, units, bounds, anchor, np.asarray(block["at"]))
+        # Two copies of a run are found alike; the first one speaks.
+        first = np.ones(len(anchor), bool)
+        first[1:] = (anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1])
+        repeated &= np.repeat(first, windows)
         # Maximal runs of repeated windows, not across rows.
         row = np.repeat(np.arange(len(windows)), windows)
         opens, closes = repeated.copy(), repeated.copy()
@@ -155,9 +200,10 @@ def _matched(rule: Rule, match: Callable) -> Callable:
                 continue
             block = pa.Table.from_batches(held)
             anchor = np.asarray(block["anchor"])
-            stop = int(np.searchsorted(anchor, anchor[-1]))
-            if not stop:
+            edges = np.flatnonzero(anchor[1:] != anchor[:-1])
+            if not len(edges):
                 continue
+            stop = int(edges[-1]) + 1
             held = block.slice(stop).combine_chunks().to_batches()
             size = sum(x["run"].nbytes for x in held)
             if (found := compare(block.slice(0, stop))) is not None:
@@ -177,54 +223,70 @@ def _windows_of(rule: Rule) -> Callable:
                 units, bounds, _, _ = rule.units(values, offsets)
                 windows = np.diff(bounds) - rule.window + 1
                 start = ranges(bounds[:-1], windows)
-                half = start + rule.window // 2
-                prints = Prints(units)
+                prints = [Prints(units, family).of(start, start + rule.window).view(np.int64) for family in (0, 1)]
                 rows = pa.array(np.repeat(np.arange(len(windows)), windows) + row)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["anchor"].take(rows), batch["stretch"].take(rows), batch["n"].take(rows), pa.array(ranges(np.zeros(len(windows), np.int64), windows).astype(np.int32)), pa.array(prints.of(start, half).view(np.int64)), pa.array(prints.of(half, start + rule.window).view(np.int64))],
-                    names=["anchor", "stretch", "n", "skip", "left_print", "right_print"],
+                    [batch["anchor"].take(rows), batch["stretch"].take(rows), pa.array(ranges(np.zeros(len(windows), np.int64), windows).astype(np.int32)), *map(pa.array, prints)],
+                    names=["anchor", "stretch", "skip", "left_print", "right_print"],
                 )
 
     return emit
 
 
-def repeated_windows(texts: DataFrame, rule: Rule, match: Callable) -> DataFrame:
-    """doc_id, text_hash and spans, array<struct<first, windows>>: all windows that stand elsewhere too.
+def _copies(groups: DataFrame) -> DataFrame:
+    """One place of each different run, two of those that stand more than once."""
+    places = F.when(F.col("n") > 1, F.array("low", "high")).otherwise(F.array("low"))
+    return groups.withColumn("at", F.explode(places)).select("at.*", "count", "anchor", "stretch")
 
-    texts is what keyed() gives. match(rule, units, bounds) gets a block of
-    runs and tells for each window of it whether it stands in the block twice.
+
+def _hot_windows(texts: DataFrame, groups: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """The windows of hot anchors (groups), each on its own: all of them, and the places of those worth comparing."""
+    one = groups.select("low.*", "count", "anchor", "stretch")
+    windows = fetched(texts, one, rule).mapInArrow(_windows_of(rule), "anchor long, stretch long, skip int, left_print long, right_print long")
+    windows = cut(windows.join(groups.select("anchor", "stretch", "n"), ["anchor", "stretch"]))
+    at = F.struct("anchor", "stretch", "skip")
+    often = windows.groupBy("left_print", "right_print").agg(F.sum("n").alias("n"), F.min(at).alias("a"), F.max(at).alias("b")).where("n > 1")
+    # The second place is in another run, or the same run's second place.
+    picks = often.select("left_print", "right_print", F.explode(F.array(F.struct("a.*", F.lit(False).alias("second")), F.struct("b.*", (F.col("a") == F.col("b")).alias("second")))).alias("p")).select("left_print", "right_print", "p.*")
+    placed = picks.join(groups.select("anchor", "stretch", "low", "high"), ["anchor", "stretch"]).withColumn("at", F.when(F.col("second"), F.col("high")).otherwise(F.col("low")))
+    wanted = placed.select("at.doc_id", "at.text_key", (F.col("at.first") + F.col("skip")).alias("first"), F.lit(1).alias("count"), F.col("left_print").alias("anchor"), F.col("right_print").alias("stretch"))
+    return windows, wanted
+
+
+def repeated_windows(texts: DataFrame, rule: Rule, match: Callable, ranged: bool = False) -> DataFrame:
+    """doc_id, text_key and spans, array<struct<first, windows>>: all windows that stand elsewhere too.
+
+    texts is what keyed() gives. match(rule, bytes, units, bounds, anchors, at)
+    gets a block of runs and tells for each window of it whether it stands in
+    the block twice. ranged: buckets are ranges of anchors in the order of
+    their bytes, between sampled splitters, and ordered so; else anchors are dealt by hash.
     """
-    spark = texts.sparkSession
+    texts = different(texts)
     rows = window_rows(texts, rule)
-    counts = rows.groupBy("anchor").agg(F.count("*").alias("n_rows"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("n_rows > 1")
-    alike = cut(apart(rows, counts, ["anchor"]).select("doc_id", "text_hash", "first", "count", "anchor", "stretch", (F.col("low") == F.col("high")).alias("equal")))
-    whole = alike.where("equal").select("doc_id", "text_hash", F.struct(F.col("first"), F.col("count").alias("windows")).alias("span"))
-
-    mixed = alike.where("not equal")
-    groups = mixed.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "first", "count")).alias("at"))
-    groups = cut(groups)
-    crowded = groups.groupBy("anchor").count().where(F.col("count") > rule.hot).select("anchor", F.lit(True).alias("hot"))
+    counts = rows.groupBy("anchor").agg(F.sum("copies").alias("n_rows")).where("n_rows > 1").select("anchor")
+    alike = cut(apart(rows, counts, ["anchor"]).select("doc_id", "text_key", "first", "count", "anchor", "stretch", "copies"))
+    place = F.struct("doc_id", "text_key", "first")
+    groups = cut(alike.groupBy("anchor", "stretch").agg(F.sum("copies").alias("n"), F.min("count").alias("count"), F.min(place).alias("low"), F.max(place).alias("high")))
+    crowded = cut(groups.groupBy("anchor").count().where(F.col("count") > rule.hot).select("anchor"))
     some_hot = not crowded.isEmpty()
     if some_hot:
-        groups = groups.join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        windows, single = _hot_windows(texts, groups.join(crowded, "anchor", "left_semi"), rule)
+        wanted = cut(_copies(groups.join(crowded, "anchor", "left_anti")).unionByName(single))
+    else:
+        wanted = _copies(groups)
+    if ranged:
+        n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = fetched(texts, wanted, rule, sampled_splitters(texts, wanted, rule, n)).repartitionById(n, F.col("bucket"))
+        dealt = dealt.sortWithinPartitions(F.expr(f"substring(run, at + 1, {rule.gram})"), "anchor", "stretch")
     else:
-        groups = groups.withColumn("hot", F.lit(False))
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = ", ".join(str(k / n_buckets) for k in range(1, n_buckets)) or "0.5"
-    splitters = groups.selectExpr(f"percentile_approx(anchor, array({at}), 10000) AS at").first()["at"] or []
-
-    runs = groups.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")).agg(
-        F.collect_list(F.struct("anchor", "stretch", F.col("n").cast("int").alias("n"), "hot", F.col("at.first").alias("first"), F.col("at.count").alias("count"))).alias("runs")
-    )
-    fetched = texts.join(runs, same_doc(texts, runs)).select("text", "runs").mapInArrow(_fetch(rule, splitters), "bucket int, anchor long, stretch long, n int, hot boolean, run binary")
-    cool = fetched.where("not hot") if some_hot else fetched
-    matched = cool.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("anchor", "stretch").mapInArrow(_matched(rule, match), "anchor long, stretch long, skip int, windows int")
+        dealt = fetched(texts, wanted, rule).repartition("anchor").sortWithinPartitions("anchor", "stretch")
+    found = dealt.mapInArrow(_matched(rule, match), "anchor long, stretch long, skip int, windows int")
     if some_hot:
-        single = fetched.where("hot").mapInArrow(_windows_of(rule), "anchor long, stretch long, n int, skip int, left_print long, right_print long")
-        often = single.groupBy("left_print", "right_print").agg(F.sum("n").alias("times")).where("times > 1").drop("times")
-        matched = matched.unionByName(single.join(often, ["left_print", "right_print"]).select("anchor", "stretch", "skip", F.lit(1).alias("windows")).distinct())
-    part = mixed.join(matched, ["anchor", "stretch"]).select("doc_id", "text_hash", F.struct((F.col("first") + F.col("skip")).alias("first"), F.col("windows")).alias("span"))
-    return whole.unionByName(part).groupBy("doc_id", "text_hash").agg(F.collect_list("span").alias("spans"))
+        found = cut(found)
+        again = found.select(F.col("anchor").alias("left_print"), F.col("stretch").alias("right_print")).distinct()
+        found = found.unionByName(windows.join(again, ["left_print", "right_print"]).select("anchor", "stretch", "skip", F.lit(1).alias("windows")))
+    spans = alike.join(found, ["anchor", "stretch"]).select("doc_id", "text_key", F.struct((F.col("first") + F.col("skip")).alias("first"), F.col("windows")).alias("span"))
+    return spans.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"))
 
 
 def with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .carry import with_text_columns
-from .kernels import BYTE_VALUES, IS_WORD, Prints, Words, chunks, covered, lists, mixed, row_of
+from .kernels import IS_WORD, Prints, Words, chunks, covered, lists, mixed, row_of, stretch_prints
 from .session import table
 
 #: Labelled documents that the field is fitted on, at most, and lines of one of them.
@@ -58,8 +58,7 @@ class Lines:
 
         words = Words(values, offsets)
         self.n_words = np.diff(words.bounds)
-        prints = Prints(BYTE_VALUES[values])
-        word_prints = prints.of(words.starts, words.stops)
+        word_prints = words.prints()
         word_row = row_of(words.bounds)
         in_word = IS_WORD[values]
         chars = _before(in_word & ((values & 0xC0) != 0x80))
@@ -83,7 +82,8 @@ class Lines:
         # Lines with a word that equal an earlier line of their row.
         first, last = np.searchsorted(words.starts, self.start), np.searchsorted(words.starts, self.stop)
         has_word = last > first
-        line_print = mixed(prints.of(self.start, self.stop) ^ (self.row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        self.line_print = stretch_prints(values, self.start, self.stop)
+        line_print = mixed(self.line_print ^ (self.row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
         order = np.argsort(line_print, kind="stable")
         again = np.zeros(len(self.row), bool)
         again[order[1:][line_print[order][1:] == line_print[order][:-1]]] = True
@@ -110,7 +110,6 @@ class Lines:
             ],
             axis=1,
         )
-        self.line_print = prints.of(self.start, self.stop)
 
 
 @dataclass(frozen=True)
@@ -192,7 +191,11 @@ def fit_field(features: np.ndarray, labels: np.ndarray, bounds: np.ndarray, roun
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> Field | None:
-    """A field fitted on at most `sample` labelled documents, chosen by hash of their ids; None if there are none of both kinds."""
+    """A field fitted on at most `sample` labelled documents, chosen by hash of their ids.
+
+    Documents of more than `sample_lines` lines are not fitted on (they are judged like all others).
+    None where no document of one of the kinds is left.
+    """
     chosen = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{quality_col}`").alias("good")).dropna().orderBy(F.xxhash64("id"), "id", "good").limit(sample)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
     # The chosen rows are at most `sample`, so they can go to all executors.
@@ -209,6 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         keep = short[lines.row]
         parts.append((lines.features[keep], lines.line_print[keep], lines.row[keep] + row))
     features, prints, row = (np.concatenate(x) for x in zip(*parts))
+    if good[row].all() or not good[row].any():
+        return None
     label = ~good[row] & ~np.isin(prints, np.unique(prints[good[row]]))
     bounds = np.append(np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])), len(row))
     return fit_field(features, label.astype(np.int64), bounds)

@@ -1,11 +1,13 @@
 """Substring dedup: a compressed FM-index per shard.
 
-Runs of words that may repeat are dealt to shards by anchor (see overlap.py).
-Each shard joins its runs into one text, builds an FM-index over it (a
-bit-packed wavelet matrix of the Burrows-Wheeler transform), and streams the
-runs through it backwards: the matching statistics of each word are the length
-of the longest stretch from there that stands in the shard at least twice.
-Words covered by an interval of at least `window` words go.
+Runs of words that may repeat are dealt to shards by anchor (see overlap.py), so
+that a shard holds every place that a run of it can match. Each shard joins its
+runs into one text, builds an FM-index over it (a bit-packed wavelet matrix of
+the Burrows-Wheeler transform), and streams the runs through it backwards: the
+matching statistics of each word are the length of the longest stretch from
+there that stands in the shard at least twice. Words covered by an interval of
+at least `window` words go. Counts only prune what is indexed; every removal
+comes from an index.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from .session import table
 RULE = Rule("words", window=35, gram=8)
 
 
-def shard_matches(rule: Rule, units: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def shard_matches(rule: Rule, values: np.ndarray, units: np.ndarray, bounds: np.ndarray, anchors: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each window of each run of a shard, whether it stands in the shard at least twice."""
     symbols = np.unique(units, return_inverse=True)[1] + 1
     n = np.diff(bounds)

@@ -1,11 +1,14 @@
 """Suffix-array dedup over bytes.
 
-Suffixes are dealt to buckets by sampled splitters on their leading token, the
-anchor of a run of windows (see overlap.py). A bucket orders its suffixes by
-multikey quicksort over tokens, the fingerprints of consecutive stretches of
-bytes: each round orders only what is still equal by the next token. Neighbours
-that are equal to the end of the window repeat. Where a block of a bucket ends
-inside a leading token, that token goes on with the next block, so suffixes are
+The suffixes that are ordered begin at anchors (see overlap.py), and each
+stands for the windows around its anchor. Splitters sampled from the anchors'
+bytes, the leading token, range-partition them, so buckets are ranges of
+suffixes in the order of their bytes. A bucket orders what it has by its
+leading token, then the windows of equal ones by multikey quicksort: windows
+that hold the anchor at the same place are ordered by their next eight bytes,
+only where these are equal by the eight after them, and so on. Windows
+that are equal to their last byte repeat. Where a block of a bucket ends inside
+a leading token, that token goes on with the next block, so suffixes are
 compared across the boundary; splitters never part equal leading tokens.
 """
 
@@ -18,35 +21,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import Prints, chunks, ranges
+from .kernels import chunks, ranges
 from .overlap import Rule, keyed, removed_units, repeated_windows, span_lists, with_spans
 from .session import table
 
 RULE = Rule("bytes", window=400, gram=64)
-TOKEN_BYTES = 100
-
-
-def equal_suffixes(prints: Prints, starts: np.ndarray, window: int, token: int) -> np.ndarray:
-    """For each suffix, whether another one has the same first `window` bytes: multikey quicksort, token by token."""
-    open_ = np.arange(len(starts))
-    group = np.zeros(len(starts), np.int64)
-    for begin in range(0, window, token):
-        at = starts[open_]
-        key = prints.of(at + begin, at + min(begin + token, window))
-        order = np.lexsort((key, group)) if begin else np.argsort(key)
-        open_, group, key = open_[order], group[order], key[order]
-        fresh = np.ones(len(open_), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+TOKEN_BYTES = 8
+
+
+def equal_windows(values: np.ndarray, starts: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
+    """For each start, whether another one of its group has the same `window` bytes: multikey quicksort, all groups at once."""
+    padded = np.append(values, np.zeros(TOKEN_BYTES, np.uint8)).tobytes()
+    tokens = np.ndarray((len(values) + 1,), ">u8", padded, strides=(1,)).astype(np.uint64)
+    order = np.argsort(group, kind="stable")
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = group[order][1:] != group[order][:-1]
+    last = max(0, window - TOKEN_BYTES)
+    for depth in [*range(0, last, TOKEN_BYTES), last]:
         alone = fresh & np.append(fresh[1:], True)
-        open_, group = open_[~alone], np.cumsum(fresh)[~alone]
+        order, fresh = order[~alone], fresh[~alone]
+        if not len(order):
+            break
+        token = tokens[starts[order] + depth]
+        if window < TOKEN_BYTES:
+            token >>= np.uint64(8 * (TOKEN_BYTES - window))
+        parts = (token[1:] != token[:-1]) & ~fresh[1:]
+        if not parts.any():
+            continue
+        # Groups whose members differ in this token are ordered by it and parted.
+        of = np.cumsum(fresh) - 1
+        mixed = np.zeros(of[-1] + 1, bool)
+        mixed[of[1:][parts]] = True
+        at = np.flatnonzero(mixed[of])
+        by = at[np.lexsort((token[at], of[at]))]
+        order[at], token[at] = order[by], token[by]
+        fresh[1:] |= token[1:] != token[:-1]
+    alone = fresh & np.append(fresh[1:], True)
     found = np.zeros(len(starts), bool)
-    found[open_] = True
+    found[order[~alone]] = True
     return found
 
 
-def bucket_matches(rule: Rule, units: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    starts = ranges(bounds[:-1], np.diff(bounds) - rule.window + 1)
-    return equal_suffixes(Prints(units), starts, rule.window, min(TOKEN_BYTES, rule.window))
+def bucket_matches(rule: Rule, values: np.ndarray, units: np.ndarray, bounds: np.ndarray, anchors: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each window of the runs of a block, whether it stands in the block twice."""
+    windows = np.diff(bounds) - rule.window + 1
+    starts = ranges(bounds[:-1], windows)
+    fresh = np.concatenate([[True], anchors[1:] != anchors[:-1]])
+    # Windows can be equal only under one leading token that they hold at the same place.
+    offset = np.repeat(at + bounds[:-1], windows) - starts
+    group = np.repeat(np.cumsum(fresh), windows) * (rule.window + 1) + offset
+    return equal_windows(values, starts, group, rule.window)
 
 
 def _kept(rule: Rule):
@@ -79,7 +103,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty table. Other columns are not read. A task holds its longest text.
     """
     texts = keyed(docs, id_col, text_col)
-    spans = repeated_windows(texts, rule, bucket_matches)
+    spans = repeated_windows(texts, rule, bucket_matches, ranged=True)
     kind = texts.schema["doc_id"].dataType.simpleString()
     return with_spans(texts, spans).mapInArrow(_kept(rule), f"doc_id {kind}, n_bytes long, n_removed long, removed array<struct<start:int,stop:int>>, kept binary")
 
