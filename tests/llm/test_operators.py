@@ -80,7 +80,7 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-@pytest.mark.parametrize("hot,block", [(256, 1 << 20), (1, 1 << 20), (0, 300), (256, 300)])
+@pytest.mark.parametrize("hot,block", [(4096, 1 << 20), (1, 1 << 20), (0, 300), (4096, 300)])
 def test_substring_dedup(docs, corpus, hot, block):
     rule = replace(substring_dedup.RULE, hot=hot, block_bytes=block)
     got = substring_dedup.substring_dedup(docs, rule=rule).select("doc_id", "n_words", "n_removed", "kept_text").collect()
@@ -89,7 +89,7 @@ def test_substring_dedup(docs, corpus, hot, block):
     assert bag(got) == bag(want)
 
 
-@pytest.mark.parametrize("hot", [256, 1, 0])
+@pytest.mark.parametrize("hot", [4096, 1, 0])
 def test_suffix_dedup(docs, corpus, hot):
     got = suffix_dedup.suffix_dedup(docs, rule=replace(suffix_dedup.RULE, window=120, gram=24, hot=hot)).collect()
     data = [(r[1] or "").encode() for r in corpus]
@@ -218,8 +218,8 @@ def test_line_dedup(docs, corpus, batches):
     for r in corpus:
         for k in {key(x) for x in (r[1] or "").split("\n")}:
             if len(k) >= 20:
-                holders.setdefault(k, []).append(r[0])
-    last = {k: max(i for i in ids if i is not None) for k, ids in holders.items() if len(ids) >= 3 and any(i is not None for i in ids)}
+                holders.setdefault(k, set()).add(r[0])
+    last = {k: max(i for i in ids if i is not None) for k, ids in holders.items() if len(ids) >= 3 and ids != {None}}
     want = []
     for r in corpus:
         lines = (r[1] or "").split("\n")
@@ -228,6 +228,32 @@ def test_line_dedup(docs, corpus, batches):
     assert bag(got) == bag(want) and any(w[2] for w in want)
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_line_dedup_counts_documents_of_any_id_type(spark, batches):
+    """A line in five rows of one id and one of another is in two documents; string ids come in batches too."""
+    line, other = "a line that stands in some documents", "another line, found in four documents"
+    rows = [("b", line)] * 5 + [("a", line)] + [(i, f"head\n {other.upper()}\t\n{other}\n") for i in ("c", "e", "d", "é")] + [(None, line), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = line_dedup.line_dedup(docs, least_chars=20, least_docs=4, batches=batches).collect()
+    want = [(i, 1, 0, t) for i, t in rows[:6]] + [(i, 4, 2, "head\n") for i in ("c", "e", "d")] + [("é", 4, 0, rows[9][1]), (None, 1, 0, line), (None, 1, 0, "")]
+    assert bag(got) == bag(want)
+    runs = line_dedup.LineRuns(2)
+    for k in range(5):
+        runs.add(spark.createDataFrame([(f"d{9 - k}", f"l{j}".encode()) for j in range(k, k + 3)], "id string, line binary"))
+    assert [len(x) for x in runs.levels] == [1, 0, 1]
+    assert {bytes(r.line): (r.n_docs, r.last_id) for r in runs.counts().collect()} == {f"l{j}".encode(): (min(j, 4) - max(0, j - 2) + 1, f"d{9 - max(0, j - 2)}") for j in range(7)}
+
+
+def test_line_dedup_of_a_long_text(spark):
+    """200,000 lines, every second one dropped."""
+    rng = random.Random(2)
+    many = [f"line number {k} of a very long text, {rng.random()}" for k in range(100_000)]
+    rows = [(1, "\n".join(x for k, line in enumerate(many) for x in (line, f"own {k}"))), *((k, "\n".join(many)) for k in (2, 3))]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), least_docs=3).collect()}
+    assert got[1].n_lines == 200_000 and got[1].n_dropped == 100_000 and got[1].kept_text == "\n".join(f"own {k}" for k in range(100_000))
+    assert got[2].kept_text == "" and got[3].kept_text == rows[2][1]
+
+
 def test_quality_counts_and_verdicts(spark, docs, corpus):
     got = quality.quality_rules(docs, None).collect()
     want = []

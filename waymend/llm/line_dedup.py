@@ -9,16 +9,22 @@ the next level, where the counts of a line are summed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from .kernels import chunks, ranges, row_of
 from .session import cut, table
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
 BATCHES = 3
 FANOUT = 2
+#: Ids that the bounds of the batches are sampled from.
+SPLITTER_SAMPLE = 1000
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,10 +37,6 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
 
 
-def line_hash(line: Column) -> Column:
-    return F.unhex(F.md5(line_key(line)))
-
-
 class LineRuns:
     """Runs of (line, n_docs, last_id), by level; last_id is null where an earlier batch has the last holder."""
 
@@ -79,6 +81,55 @@ class LineRuns:
         return self._merged(self.runs())
 
 
+def falling_parts(ids: DataFrame, parts: int, sample: int = SPLITTER_SAMPLE) -> list[Column]:
+    """Conditions on doc_id that part ids, of any type with an order, into ranges of falling ids; null ids are in the last one.
+
+    The bounds come from at most `sample` ids, chosen by hash; they decide the batches' sizes only.
+    """
+    some = [r[0] for r in ids.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    some.sort(reverse=True)
+    edges = sorted({some[k * len(some) // parts] for k in range(1, parts)}, reverse=True) if some else []
+    if not edges:
+        return [F.lit(True)]
+    id_ = F.col("doc_id")
+    return [id_ > edges[0], *((id_ <= a) & (id_ > b) for a, b in zip(edges, edges[1:])), (id_ <= edges[-1]) | id_.isNull()]
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the places of lines to drop (`gone`) to number of lines, number of dropped ones, kept text."""
+    for batch in batches:
+        for row, values, offsets in chunks(batch["text"]):
+            n = len(offsets) - 1
+            gone = batch["gone"].slice(row, n)
+            gone = gone.fill_null([]) if gone.null_count else gone
+            breaks = np.flatnonzero(values == 0x0A)
+            per_row = np.diff(np.searchsorted(breaks, offsets)) + 1
+            bounds = np.concatenate([[0], np.cumsum(per_row)])
+            # A line ends behind its break, a row's last line at the row's end.
+            stops = np.sort(np.concatenate([breaks + 1, offsets[1:]]), kind="stable")
+            last = np.zeros(int(bounds[-1]), bool)
+            last[bounds[1:] - 1] = True
+            # An empty row's end sorts before or after another row's break alike: both are the same place.
+            starts = np.concatenate([[0], stops[:-1]])
+            size = stops - starts
+            kept = np.ones(len(stops), bool)
+            n_gone = np.diff(np.asarray(gone.offsets))
+            kept[np.asarray(gone.flatten()) + np.repeat(bounds[:-1], n_gone)] = False
+            of = row_of(bounds)
+            taken = np.flatnonzero(kept)
+            keep = np.zeros(len(values), bool)
+            keep[ranges(starts[taken], size[taken])] = True
+            # The break behind a row's last kept line goes, unless it is the row's last line.
+            final = np.ones(len(taken), bool)
+            final[:-1] = of[taken][1:] != of[taken][:-1]
+            cut_ = taken[final]
+            cut_ = cut_[~last[cut_]]
+            keep[stops[cut_] - 1] = False
+            where = np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int32)
+            text = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(where), pa.py_buffer(values[keep])])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(row, n), pa.array(per_row), pa.array(n_gone.astype(np.int64)), text], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """Drop lines that stand in at least least_docs documents, but in the last document that holds them.
 
@@ -86,34 +137,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A line's key is the line without ASCII white space at its ends, A-Z
     lower-cased; keys under least_chars code points stay. A null or empty text
-    is one empty line. Each row counts as a document once; rows that share
-    the largest doc_id all keep the line. Null ids come before all others.
-    Tables may be empty; other columns are not read. Ids of a type other than
-    numbers are taken in one batch.
+    is one empty line. Rows of one doc_id are one document, whose rows all
+    keep the line if its id is the largest. A null id is an id like others and
+    comes before all of them; lines that only it holds stay. Tables may be
+    empty; other columns are not read. Ids of any type with an order are taken in batches alike.
     """
     text = F.col(f"`{text_col}`")
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.hash(text).alias("text_hash"), text.alias("text"))
-    keys = F.array_distinct(F.filter(F.transform(lines(F.col("text")), line_key), lambda k: F.char_length(k) >= least_chars))
-    parts = [F.lit(True)]
-    if batches > 1 and isinstance(texts.schema["doc_id"].dataType, T.NumericType):
-        edges = texts.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000).alias("e")).first()["e"] or []
-        edges = sorted(set(edges), reverse=True)
-        if edges:
-            id_ = F.col("doc_id")
-            parts = [id_ > edges[0], *((id_ <= a) & (id_ > b) for a, b in zip(edges, edges[1:])), (id_ <= edges[-1]) | id_.isNull()]
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    numbered = texts.select("doc_id", "text_key", F.posexplode(F.transform(lines(F.col("text")), line_key)).alias("at", "key")).where(F.char_length("key") >= least_chars)
+    placed = cut(numbered.select("doc_id", "text_key", "at", F.unhex(F.md5("key")).alias("line")))
     runs = LineRuns(fanout)
-    for part in parts:
-        runs.add(texts.where(part).select(F.col("doc_id").alias("id"), F.explode(keys).alias("key")).select("id", F.unhex(F.md5("key")).alias("line")))
+    for part in falling_parts(texts, batches):
+        runs.add(placed.where(part).select(F.col("doc_id").alias("id"), "line").distinct())
     often = cut(runs.counts().where((F.col("n_docs") >= least_docs) & F.col("last_id").isNotNull()).select(F.col("line").alias("often"), "last_id"))
-    numbered = texts.select("doc_id", "text_hash", F.posexplode(F.transform(lines(F.col("text")), line_key)).alias("at", "key")).where(F.char_length("key") >= least_chars)
-    placed = numbered.select("doc_id", "text_hash", "at", F.unhex(F.md5("key")).alias("line"))
-    gone = placed.join(often, F.col("line") == F.col("often")).where(~F.col("doc_id").eqNullSafe(F.col("last_id"))).groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).agg(F.collect_set("at").alias("gone"))
-    joined = texts.join(gone, F.expr("doc_id <=> gone_id AND text_hash = gone_hash"), "left").select("doc_id", "text", F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("gone"))
-    split = lines(F.col("text"))
-    kept = F.when(F.size("gone") == 0, F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.filter(split, lambda line, at: ~F.array_contains("gone", at)), "\n")
-    )
-    return joined.select("doc_id", F.size(split).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    gone = placed.join(often, F.col("line") == F.col("often")).where(~F.col("doc_id").eqNullSafe(F.col("last_id"))).groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(F.collect_set("at").alias("gone"))
+    joined = texts.join(gone, F.expr("doc_id <=> gone_id AND text_key = gone_key"), "left").select("doc_id", "text", "gone")
+    return joined.mapInArrow(_kept, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_lines long, n_dropped long, kept_text string")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,10 @@ from .kernels import BYTE_VALUES, Prints, Words, chunks, lists, ranges, row_of,
 from .session import apart, cut
 
 #: Positions that are looked at together where anchors are placed.
-PLACED = 1 << 20
+PLACED = 1 << 18
+#: Bytes of runs that leave a task in one batch, and rows that are looked at together where they are compared.
+PIECE_BYTES = 1 << 20
+PIECE_ROWS = 1024
 #: Runs that splitters are sampled from.
 SPLITTER_SAMPLE = 4096
 
@@ -48,7 +51,7 @@ class Rule:
     unit: str
     window: int
     gram: int
-    hot: int = 256
+    hot: int = 4096
     block_bytes: int = 1 << 20
 
     def units(self, values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +135,7 @@ def _fetch(rule: Rule, splitters: list[bytes]) -> Callable:
                     bucket = np.searchsorted(edges, values[lead[:, None] + np.arange(rule.gram)].view(f"S{rule.gram}").ravel(), "right").astype(np.int32)
                 # Rows leave in pieces, so that a batch of long runs stays small.
                 total = np.cumsum(size)
-                cuts = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(1 << 22, int(total[-1]) if len(total) else 0, 1 << 22)), [len(size)]]))
+                cuts = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(PIECE_BYTES, int(total[-1]) if len(total) else 0, PIECE_BYTES)), [len(size)]]))
                 for a, b in zip(cuts[:-1], cuts[1:]):
                     piece = values[ranges(begin[a:b], size[a:b])]
                     ends = np.concatenate([[0], np.cumsum(size[a:b])]).astype(np.int32)
@@ -193,7 +196,7 @@ def _matched(rule: Rule, match: Callable) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in (x.slice(k, PIECE_ROWS) for x in batches for k in range(0, x.num_rows, PIECE_ROWS)):
             held.append(batch)
             size += batch["run"].nbytes
             if size < rule.block_bytes:
