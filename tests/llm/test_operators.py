@@ -60,7 +60,7 @@ def nothing(spark):
 
 
 def bag(rows):
-    return Counter(map(tuple, rows))
+    return Counter(tuple(tuple(x.items()) if isinstance(x, dict) else x for x in r) for r in rows)
 
 
 def covered(sequences, window):
@@ -311,6 +311,21 @@ def test_sharding_against_the_ring(spark, docs, corpus):
     assert bag((r.doc_id, r.text_crc32, r.shard) for r in rows) == bag((r.doc_id, r.text_crc32, r.shard) for r in got)
 
 
+def test_sharding_of_any_columns(spark):
+    """Clashing names, a map, a hot key of which 400 rows are equal, null keys."""
+    clash = ["cell", "before", "inside", "first", "stop", "slot0", "at", "arc", "part", "rank", "c0", "__at", "__arc", "shard", "slot"]
+    rows = [(7 if k % 3 == 0 else None if k % 50 == 1 else k, {"a": k % 2} if k % 5 else None, *[0 if k % 3 == 0 else k] * len(clash)) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "id long, m map<string,int>, " + ", ".join(f"{c} long" for c in clash)).repartition(3)
+    got = sharding.shard_rows(docs, "id", shards=7, nodes=5)
+    assert got.columns == ["id", "m", *clash[:-2], "shard", "slot"]
+    found = got.collect()
+    assert bag((r.id, tuple(sorted((r.m or {}).items())), r.cell) for r in found) == bag((r[0], tuple(sorted((r[1] or {}).items())), r[2]) for r in rows)
+    for s in range(7):
+        slots = sorted(r.slot for r in found if r.shard == s)
+        assert slots == list(range(len(slots))) and 171 <= len(slots) <= 172
+    assert bag(found) == bag(sharding.shard_rows(docs.repartition(5), "id", shards=7, nodes=5).collect())
+
+
 def test_overflow_goes_on_clockwise():
     rng = random.Random(4)
     owners, counts = [rng.randrange(4) for _ in range(20)], [rng.randrange(9) for _ in range(20)]

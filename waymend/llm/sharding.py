@@ -2,25 +2,27 @@
 
 Each shard has virtual nodes on a ring; a key belongs to the arc of the next
 node clockwise. A shard takes keys up to its capacity; keys that overflow go
-on clockwise to the next nodes until a shard has room. Only counts of arcs
-reach the driver: which ranks of an arc's keys go to which shard follows from
-them, and each row then finds its place by its rank within its arc.
+on clockwise to the next nodes until a shard has room. Only counts of arcs, in
+a fixed number of parts each, reach the driver: which ranks of an arc's keys go
+to which shard follows from them, and each row then finds its place by its
+rank within its part of the arc.
 """
 
 from __future__ import annotations
 
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .session import cut, table
 
 SHARDS = 16
 VIRTUAL_NODES = 64
-#: Rows that an arc should hold; larger inputs get more virtual nodes, at most MOST_NODES a shard.
-ROWS_PER_ARC = 1 << 20
-MOST_NODES = 4096
+#: Parts that the rows of each arc are numbered in.
+SALTS = 64
 RING_BITS = 32
 
 
@@ -58,23 +60,33 @@ def slices(counts: list[int], owners: list[int], room: list[int]) -> list[tuple[
     return placed
 
 
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def shard_rows(rows: DataFrame, key_col: str, shards: int = SHARDS, nodes: int = VIRTUAL_NODES) -> DataFrame:
     """Adds shard (int) and slot (long, gapless from 0 within the shard) to rows; counts of shards are at most one apart.
 
-    Keys are placed by hash of key_col; rows of equal keys, repeated rows
-    among them, take places in order of all their columns and are
-    interchangeable if they are equal. A null key is a key like others. An
-    empty table gives an empty table. Columns named shard or slot are replaced.
+    Keys are placed by hash of key_col. Within an arc rows go by their own
+    hash first, so that an arc's rows, those of one hot key among them, are
+    numbered in SALTS parts; then by position and all their columns (maps by
+    their JSON). Repeated rows are interchangeable. A null key is a key like
+    others. An empty table gives an empty table. Columns named shard or slot
+    are replaced; all other names are free.
     """
     spark = rows.sparkSession
-    rows = rows.drop("shard", "slot")
-    total = rows.count()
-    nodes = min(MOST_NODES, max(nodes, -(-total // (ROWS_PER_ARC * shards))))
+    names = [c for c in rows.columns if c not in ("shard", "slot")]
+    inner = rows.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
+    comparable = [F.col(f"c{k}") if _orderable(rows.schema[c].dataType) else F.to_json(F.struct(f"c{k}")) for k, c in enumerate(names)]
     where = ring(shards, nodes)
     owners = [s for _, s in where]
     # The arc of a position by bisection over the nodes, in an expression of bounded size: first
     # an equal-width cell, then the nodes inside it.
-    position = F.pmod(F.xxhash64(F.col(f"`{key_col}`")), F.lit(1 << RING_BITS))
+    position = F.pmod(F.xxhash64(comparable[names.index(key_col)]), F.lit(1 << RING_BITS))
     cells = 1 << 12
     width = (1 << RING_BITS) // cells
     inside: list[list[int]] = [[] for _ in range(cells)]
@@ -85,16 +97,29 @@ def shard_rows(rows: DataFrame, key_col: str, shards: int = SHARDS, nodes: int =
         before[c] = n
         n += len(inside[c])
     lookup = F.broadcast(spark.createDataFrame([(c, before[c], inside[c]) for c in range(cells)], "cell int, before int, inside array<long>"))
-    placed = rows.withColumn("__at", position).withColumn("cell", F.floor(F.col("__at") / width).cast("int")).join(lookup, "cell")
-    placed = placed.withColumn("__arc", F.pmod(F.col("before") + F.size(F.filter("inside", lambda p: p < F.col("__at"))), F.lit(len(where)))).drop("cell", "before", "inside")
-    counts = dict(placed.groupBy("__arc").count().collect())
-    plan = slices([counts.get(a, 0) for a in range(len(where))], owners, capacities(total, shards))
-    # At most one slice more than arcs for each time a shard fills: bounded by the ring.
-    pieces = spark.createDataFrame(plan, "__arc int, first long, stop long, shard int, slot0 long")
-    order = Window.partitionBy("__arc").orderBy("__at", *(F.col(f"`{c}`") for c in rows.columns))
-    ranked = placed.withColumn("__rank", F.row_number().over(order) - 1)
-    found = ranked.join(F.broadcast(pieces), "__arc").where((F.col("__rank") >= F.col("first")) & (F.col("__rank") < F.col("stop")))
-    return found.select(*(F.col(f"`{c}`") for c in rows.columns), "shard", (F.col("slot0") + F.col("__rank") - F.col("first")).alias("slot"))
+    placed = inner.withColumn("at", position).withColumn("cell", F.floor(F.col("at") / width).cast("int")).join(lookup, "cell")
+    placed = placed.withColumn("arc", F.pmod(F.col("before") + F.size(F.filter("inside", lambda p: p < F.col("at"))), F.lit(len(where)))).drop("cell", "before", "inside")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64(*comparable), F.lit(SALTS)).cast("int"))
+    # At most nodes * shards * SALTS counts.
+    parts = sorted((r.arc, r.part, r["count"]) for r in placed.groupBy("arc", "part").count().collect())
+    counts = [0] * len(where)
+    ends: dict[int, list[tuple[int, int, int]]] = {}
+    for arc, part, n in parts:
+        ends.setdefault(arc, []).append((part, counts[arc], counts[arc] + n))
+        counts[arc] += n
+    # A slice of an arc is cut at the ends of the arc's parts: ranks within the part, and where they go.
+    pieces = [
+        (arc, part, max(first, a) - a, min(stop, b) - a, shard, slot + max(first, a) - first)
+        for arc, first, stop, shard, slot in slices(counts, owners, capacities(sum(counts), shards))
+        for part, a, b in ends[arc]
+        if max(first, a) < min(stop, b)
+    ]
+    table_ = pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*pieces) if pieces else [[]] * 6, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["arc", "part", "first", "stop", "shard", "slot0"])
+    order = Window.partitionBy("arc", "part").orderBy("at", *comparable)
+    ranked = placed.withColumn("rank", F.row_number().over(order) - 1)
+    # Bounded by the ring: a piece for each part, and one more for each place where a shard fills.
+    found = ranked.join(F.broadcast(spark.createDataFrame(table_)), ["arc", "part"]).where("rank >= first AND rank < stop")
+    return found.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)), "shard", (F.col("slot0") + F.col("rank") - F.col("first")).alias("slot"))
 
 
 def shard_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
