@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Removes the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -23,12 +27,42 @@ def with_library(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; a folder of this machine only where the master is local and none is set."""
+    context = spark.sparkContext
+    folder = context._jsc.sc().getCheckpointDir()
+    if folder.isDefined():
+        return folder.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The path of a new folder in the checkpoint folder, which goes when the driver's JVM ends."""
+    folder = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder: iterations restart from there."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    """df as a table written in the shared checkpoint folder: what follows restarts from there, and a lost executor costs nothing more.
+
+    The shuffle files that led to it go at once, so that long chains of steps hold only their tables.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def ranked(df: DataFrame, col: str, name: str = "rank") -> DataFrame:
