@@ -8,13 +8,15 @@ that most others share buckets with, so a bucket of n documents costs n
 comparisons; signatures rule most pairs out, the full sets decide. A candidate
 group is what buckets join. Where one still has several components, the second
 round compares the full sets of all but its largest component with the whole
-group, through an inverted index of shingles over blocks of bounded size. What
+group, through inverted indexes of shingles over blocks of bounded size, each
+for sets of like size, which bounded shares of the seeking members pass. What
 one component holds already needs no further link, and one link between two
 components is enough, so neither round gives a row for each pair of a group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, Prints, Words, chunks, mixed, ranges, row_of
-from .session import apart, cut, table
+from .session import cut, table
 
 HASHES = 112
 BAND_ROWS = 4
 #: Ids that are sent to all executors to meet their texts there; more are shuffled with them.
 BROADCAST_IDS = 100_000
-#: Shingles of one block of a candidate group's inverted index.
+#: Shingles of one block of a candidate group's inverted index, and members that seek links in one task.
 BLOCK_SHINGLES = 300_000
+TASK_SEEKERS = 1000
 SHINGLE_WORDS = 5
 PERCENT = 80
 #: Least share of equal minima at which a pair goes on to the full sets: six standard
@@ -99,7 +102,7 @@ def _signatures(size: int, hashes: int, band: int):
 
 
 def _across(size: int, percent: int):
-    """Links between components, from rows sorted by group, block and role: the block's members first, then those that seek.
+    """Links between components, from rows sorted by cell (a block, a share of its seekers) and role: members first, then those that seek.
 
     A block's members become an inverted index; seekers stream past it. Each
     seeker gives one link for each other component that it is linked with.
@@ -127,12 +130,12 @@ def _across(size: int, percent: int):
                 sets, bounds = shingle_sets(values, offsets, size)
                 n = len(offsets) - 1
                 part = batch.slice(row, n)
-                group, block, seeks = part["place"].to_pylist(), np.asarray(part["block"]), part["seeks"].to_numpy(zero_copy_only=False)
-                component = np.asarray(part["label"])
-                change = np.flatnonzero([True] + [group[k] != group[k - 1] or block[k] != block[k - 1] or seeks[k] != seeks[k - 1] for k in range(1, n)])
+                cell, seeks = part["cell"].to_pylist(), part["seeks"].to_numpy(zero_copy_only=False)
+                component = part["label"].to_numpy(zero_copy_only=False)
+                change = np.flatnonzero([True] + [cell[k] != cell[k - 1] or seeks[k] != seeks[k - 1] for k in range(1, n)])
                 for a, b in zip(change, np.append(change[1:], n)):
-                    if (group[a], block[a]) != key:
-                        key, held, index = (group[a], block[a]), [], None
+                    if cell[a] != key:
+                        key, held, index = cell[a], [], None
                     ids, own, edge = part["id"].slice(a, b - a).to_pylist(), sets[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
                     if not seeks[a]:
                         held.append((ids, component[a:b], own, np.diff(edge)))
@@ -250,18 +253,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # Equal sets are one class, with its smallest document as the one that is compared.
     classes = cut(full.groupBy("left_print", "right_print").agg(F.min("doc_id").alias("head")))
-    equal = apart(full.select("doc_id", "left_print", "right_print"), classes, ["left_print", "right_print"]).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b")
+    equal = full.select("doc_id", "left_print", "right_print").join(classes, ["left_print", "right_print"]).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b")
     # Only where a doc_id stands twice must rows be made distinct before they are joined.
     repeated = not full.groupBy("doc_id").count().where("count > 1").isEmpty()
     heads = full.join(classes.select(F.col("head").alias("doc_id"), "left_print", "right_print"), ["doc_id", "left_print", "right_print"], "left_semi")
     heads = heads.dropDuplicates(["doc_id", "left_print", "right_print"]) if repeated else heads
     heads = cut(heads.select(F.col("doc_id").alias("id"), "n_shingles", "bands", "signature"))
     members = heads.select("id", F.explode("bands").alias("band"))
-    sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(apart(members, sizes, ["band"]).select("id", "band", "n"))
+    # Counts and hubs are written apart, so that members of a hot bucket can be split where they are joined.
+    sizes = cut(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut(members.join(sizes, "band").select("id", "band", "n"))
     score = shared.groupBy("id").agg(F.sum("n").alias("score"))
-    hubs = shared.join(score, "id").groupBy("band").agg(F.max_by("id", "score").alias("hub"))
-    pairs = cut(apart(shared, hubs, ["band"]).where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct())
+    hubs = cut(shared.join(score, "id").groupBy("band").agg(F.max_by("id", F.struct("score", "id")).alias("hub")))
+    pairs = cut(shared.join(hubs, "band").where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct())
     signs = heads.select("id", "n_shingles", "signature")
     source = texts.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
     source = source.distinct() if repeated else source
@@ -275,17 +279,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = verified(pairs)
     nodes = connected_components(first)
     place = connected_components(pairs).select(F.col("node").alias("id"), F.col("component").alias("place"))
-    labelled = cut(place.join(nodes.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "place", F.xxhash64(F.coalesce("component", "id")).alias("label")).join(heads.select("id", "n_shingles").dropDuplicates(["id"]), "id"))
-    parts = labelled.groupBy("place", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
-    groups = cut(parts.groupBy("place").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("largest"), F.ceil(F.sum("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")).where("parts > 1"))
-    waiting = cut(apart(labelled, groups, ["place"]).select("id", "place", "label", "largest", "blocks"))
+    # Sets of one link differ in size by 100 / percent at most, so a member's links are in its own step of sizes or the next ones.
+    step = F.floor(F.log(F.col("n_shingles")) / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n_shingles")
+    sized = heads.select("id", "n_shingles").dropDuplicates(["id"])
+    labelled = cut(place.join(nodes.select(F.col("node").alias("id"), "component"), "id", "left").join(sized, "id").select("id", "place", F.coalesce("component", "id").alias("label"), "n_shingles", step.cast("long").alias("step")))
+    parts = labelled.groupBy("place", "label").agg(F.count("*").alias("n"))
+    groups = parts.groupBy("place").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("largest"), (F.sum("n") - F.max("n")).alias("seekers")).where("parts > 1")
+    groups = cut(groups.select("place", "largest", F.ceil(F.col("seekers") / TASK_SEEKERS).cast("int").alias("salts")))
+    waiting = cut(labelled.join(groups, "place"))
+    seekers = waiting.where("label <> largest").withColumn("step", F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)))
+    sought = seekers.select("place", "step").distinct()
+    blocks = cut(waiting.join(sought, ["place", "step"], "left_semi").groupBy("place", "step").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")))
+
+    def cells(rows: DataFrame, block: F.Column, salt: F.Column, seeks: bool) -> DataFrame:
+        rows = rows.join(blocks, ["place", "step"]).withColumn("block", block).withColumn("salt", salt)
+        return rows.select("id", "label", F.concat_ws("/", "place", "step", "block", "salt").alias("cell"), F.lit(seeks).alias("seeks"))
+
+    # Members stand in one block of their step for each share of the seekers; a seeker passes all blocks of its steps.
+    members_of = cells(waiting, F.pmod(F.xxhash64("id"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), False)
+    seekers_of = cells(seekers, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.pmod(F.xxhash64("id", F.lit("salt")), F.col("salts")), True)
+    roles = cut(members_of.unionByName(seekers_of))
     # At most BROADCAST_IDS narrow rows go to all executors.
-    waiting = F.broadcast(waiting) if waiting.count() <= BROADCAST_IDS else waiting
-    texts_of = source.join(waiting, "id")
-    roles = F.array(F.struct(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("seeks")))
-    seekers = F.when(F.col("label") != F.col("largest"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.lit(True).alias("seeks")))).otherwise(F.expr("array()"))
-    dealt = texts_of.withColumn("role", F.explode(F.concat(roles, seekers))).select("id", "place", "label", "text", "role.*")
-    second = cut(dealt.repartition("place", "block").sortWithinPartitions("place", "block", "seeks").mapInArrow(_across(shingle, percent), f"a {kind}, b {kind}"))
+    roles = F.broadcast(roles) if roles.count() <= BROADCAST_IDS else roles
+    dealt = source.join(roles, "id").select("id", "label", "cell", "seeks", "text")
+    second = cut(dealt.repartition("cell").sortWithinPartitions("cell", "seeks").mapInArrow(_across(shingle, percent), f"a {kind}, b {kind}"))
     found = connected_components(first.unionByName(second).unionByName(equal))
     return signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import BYTE_VALUES, Prints, Words, chunks, lists, ranges, row_of, window_runs
-from .session import apart, cut
+from .session import cut
 
 #: Positions that are looked at together where anchors are placed.
 PLACED = 1 << 18
@@ -145,14 +145,18 @@ def _fetch(rule: Rule, splitters: list[bytes]) -> Callable:
     return fetch
 
 
+def _with_runs(texts: DataFrame, wanted: DataFrame, few: bool = False) -> DataFrame:
+    runs = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "stretch", "first", "count")).alias("runs"))
+    runs = F.broadcast(runs) if few else runs
+    return texts.join(runs, same_doc(texts, runs)).select("text", "runs")
+
+
 def fetched(texts: DataFrame, wanted: DataFrame, rule: Rule, splitters: list[bytes] = [], few: bool = False) -> DataFrame:
     """bucket, anchor, stretch, at, run (bytes) of each of the wanted runs: doc_id, text_key, first, count, anchor, stretch.
 
     Anchors are dealt to buckets by splitters, for rules on bytes. few: wanted is of bounded size, so it goes to the texts.
     """
-    runs = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "stretch", "first", "count")).alias("runs"))
-    runs = F.broadcast(runs) if few else runs
-    return texts.join(runs, same_doc(texts, runs)).select("text", "runs").mapInArrow(_fetch(rule, splitters), "bucket int, anchor long, stretch long, at int, run binary")
+    return _with_runs(texts, wanted, few).mapInArrow(_fetch(rule, splitters), "bucket int, anchor long, stretch long, at int, run binary")
 
 
 def sampled_splitters(texts: DataFrame, wanted: DataFrame, rule: Rule, n: int, sample: int = SPLITTER_SAMPLE) -> list[bytes]:
@@ -218,10 +222,11 @@ def _matched(rule: Rule, match: Callable) -> Callable:
 
 
 def _windows_of(rule: Rule) -> Callable:
-    """Takes runs; gives each window on its own, with two fingerprints."""
+    """Takes texts with their runs; gives each window on its own, with two fingerprints."""
+    fetch = _fetch(rule, [])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in fetch(batches):
             for row, values, offsets in chunks(batch["run"], 1 << 18):
                 units, bounds, _, _ = rule.units(values, offsets)
                 windows = np.diff(bounds) - rule.window + 1
@@ -245,7 +250,7 @@ def _copies(groups: DataFrame) -> DataFrame:
 def _hot_windows(texts: DataFrame, groups: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """The windows of hot anchors (groups), each on its own: all of them, and the places of those worth comparing."""
     one = groups.select("low.*", "count", "anchor", "stretch")
-    windows = fetched(texts, one, rule).mapInArrow(_windows_of(rule), "anchor long, stretch long, skip int, left_print long, right_print long")
+    windows = _with_runs(texts, one).mapInArrow(_windows_of(rule), "anchor long, stretch long, skip int, left_print long, right_print long")
     windows = cut(windows.join(groups.select("anchor", "stretch", "n"), ["anchor", "stretch"]))
     at = F.struct("anchor", "stretch", "skip")
     often = windows.groupBy("left_print", "right_print").agg(F.sum("n").alias("n"), F.min(at).alias("a"), F.max(at).alias("b")).where("n > 1")
@@ -266,8 +271,9 @@ def repeated_windows(texts: DataFrame, rule: Rule, match: Callable, ranged: bool
     """
     texts = different(texts)
     rows = window_rows(texts, rule)
-    counts = rows.groupBy("anchor").agg(F.sum("copies").alias("n_rows")).where("n_rows > 1").select("anchor")
-    alike = cut(apart(rows, counts, ["anchor"]).select("doc_id", "text_key", "first", "count", "anchor", "stretch", "copies"))
+    # Written apart, so that rows of a hot anchor can be split where they are joined.
+    counts = cut(rows.groupBy("anchor").agg(F.sum("copies").alias("n_rows")).where("n_rows > 1").select("anchor"))
+    alike = cut(rows.join(counts, "anchor").select("doc_id", "text_key", "first", "count", "anchor", "stretch", "copies"))
     place = F.struct("doc_id", "text_key", "first")
     groups = cut(alike.groupBy("anchor", "stretch").agg(F.sum("copies").alias("n"), F.min("count").alias("count"), F.min(place).alias("low"), F.max(place).alias("high")))
     crowded = cut(groups.groupBy("anchor").count().where(F.col("count") > rule.hot).select("anchor"))

@@ -1,49 +1,12 @@
-"""Where iterative operators keep their cut points, and how they take them."""
+"""What the operators of this subpackage take from the library's session helpers, and the test tables."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set."""
-    context = spark.sparkContext
-    folder = context._jsc.sc().getCheckpointDir()
-    if folder.isDefined():
-        return folder.get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder, so that a lost executor costs nothing more.
-
-    The shuffle files of what led to it go when the driver's JVM collects its
-    garbage; a long chain of steps would hold them all, so it is asked to here.
-    """
-    checkpoint_dir(df.sparkSession)
-    kept = df.checkpoint()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return kept
-
 
-def apart(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of rows with one row for each group, as a join that can split a hot key.
+from ..session import checkpoint_dir, cut, shared_folder
 
-    Groups that come from an aggregation are already dealt by their keys, and
-    Spark then joins in the same stage, where it can't split a large partition
-    of rows. Joined by the complement of the first key, both sides are dealt anew.
-    """
-    turn = F.bitwise_not if rows.schema[keys[0]].dataType.simpleString() in ("int", "bigint") else lambda c: F.reverse(c.cast("string"))
-    turned = groups.select(turn(F.col(keys[0])).alias("__turned"), *(F.col(k).alias(f"__{k}") for k in keys[1:]), *(c for c in groups.columns if c not in keys))
-    on = turn(rows[keys[0]]) == turned["__turned"]
-    for k in keys[1:]:
-        on = on & (rows[k] == turned[f"__{k}"])
-    return rows.join(turned, on).drop("__turned", *(f"__{k}" for k in keys[1:]))
+__all__ = ["checkpoint_dir", "cut", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
