@@ -1,7 +1,7 @@
 """Benchmark decontamination: an FM-index per training shard.
 
-The test phrases are the query set, taken in blocks of bounded size. For each
-block the training texts stream by, one shard at a time: words that stand in
+The test phrases are the query set, taken in blocks of bounded size, broadcast
+to the tasks. For each block the training texts stream by, one shard at a time: words that stand in
 no phrase end a segment, segments shorter than the shortest phrase go, and the
 rest is indexed (wavelet matrix over the Burrows-Wheeler transform). All
 phrases are searched backwards together, their occurrences located by sampled
@@ -15,18 +15,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
 from .kernels import IS_ALNUM, LOWER, Words, chunks, covered, lists, ranges, row_of, spans_of
-from .session import table
+from .session import cut, table
 
 WINDOW = 13
 #: Bytes of benchmark text that one pass over the documents takes.
 BLOCK_BYTES = 8 << 20
 #: Words of one shard's index, at most, but for a single longer document.
 SHARD_WORDS = 1 << 18
+#: Runs of what is a word character after A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 class Phrases:
@@ -68,8 +71,8 @@ class Phrases:
         return found
 
 
-def _scan(phrases: Phrases) -> Callable:
-    def shard(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _scan(sent: Broadcast) -> Callable:
+    def shard(phrases: Phrases, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """start and stop of each occurrence among the words of the shard; its word, its item."""
         none = np.zeros(0, np.int64)
         inside = symbols > 0
@@ -100,6 +103,7 @@ def _scan(phrases: Phrases) -> Callable:
         return start, start + phrases.lengths[which], np.repeat(start, n_items), phrases.items[ranges(phrases.items_at[which], n_items)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = sent.value
         for batch in batches:
             for row, values, offsets in chunks(batch["text"], 6 * SHARD_WORDS):
                 n = len(offsets) - 1
@@ -107,13 +111,9 @@ def _scan(phrases: Phrases) -> Callable:
                 total = int(words.bounds[-1])
                 start = stop = at = item = np.zeros(0, np.int64)
                 if len(phrases.patterns):
-                    start, stop, at, item = shard(phrases.symbols(words.prints()), words.bounds)
+                    start, stop, at, item = shard(phrases, phrases.symbols(words.prints()), words.bounds)
                 of = row_of(words.bounds)
-                # What earlier blocks of the benchmark found comes first.
-                before = batch["hits"].slice(row, n)
-                flat, counts = before.flatten(), np.diff(np.asarray(before.offsets))
-                head = np.repeat(words.bounds[:-1], counts)
-                hit = covered(total, np.concatenate([start, np.asarray(flat.field("start")) + head]).astype(np.int64), np.concatenate([stop, np.asarray(flat.field("stop")) + head]).astype(np.int64))
+                hit = covered(total, start, stop)
                 # Merge per row: cut the runs at row bounds.
                 edges = hit.copy()
                 ends = hit.copy()
@@ -124,17 +124,30 @@ def _scan(phrases: Phrases) -> Callable:
                 base = words.bounds[of[begin]]
                 merged = lists(np.searchsorted(begin, words.bounds), pa.StructArray.from_arrays([pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32))], names=["start", "stop"]))
                 pairs = np.unique(np.stack([of[at], item], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-                found = batch["items"].slice(row, n).to_pylist()
+                found: list[list] = [[] for _ in range(n)]
                 for r, i in pairs:
                     found[r].append(phrases.names[i])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(row, n) for k in range(batch.num_columns - 3)), pa.array(np.diff(words.bounds)), merged, pa.array(found, pa.list_(pa.string()))],
-                    names=[*batch.schema.names[:-3], "n_words", "hits", "items"],
+                    [*(x.slice(row, n) for x in batch.columns), pa.array(np.diff(words.bounds)), merged, pa.array(found, pa.list_(pa.string()))],
+                    names=[*batch.schema.names, "n_words", "hits", "items"],
                 )
 
     return scan
 
 
+def _merged(hits: F.Column) -> F.Column:
+    """Spans in any order, as maximal ones."""
+    kind = "array<struct<start:int,stop:int>>"
+
+    def add(done: F.Column, x: F.Column) -> F.Column:
+        last = F.element_at(done, -1)
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"))
+        meets = (F.size(done) > 0) & (x["start"] <= F.try_element_at(done, F.lit(-1))["stop"])
+        return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(hits), F.array().cast(kind), add)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Find every occurrence of every benchmark window in the documents.
 
@@ -146,26 +159,41 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     lower-cased. A window is `window` words of an item; an item of fewer, but
     not none, is one window. Null and empty texts have no words and no hits. A
     null item_id counts as an item without a name: its windows hit, its id is
-    null in items. Equal items both count. Repeated rows are judged alike, an
-    empty table on either side gives no hits. The benchmark is the stated query set: blocks of
-    at most block_bytes of text (one item at least) each take one pass over the
-    documents, within one stage and without a shuffle.
+    null in items. Equal items of different ids both count. Repeated rows are
+    judged alike, an empty table on either side gives no hits.
+
+    The benchmark is the stated query set. Different items go in blocks of
+    about block_bytes of text (one item at least), one on the driver at a time. One block is
+    searched in one pass over the documents, without a shuffle. Several
+    take a pass each, which keeps only the texts it hits; these are
+    brought together by the texts' fingerprints (MD5) and joined to the documents.
     """
-    queries = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).where("text is not null")
+    spark = docs.sparkSession
+    queries = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).where("text is not null").distinct()
     total = queries.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-int(total) // block_bytes))
-    others = [c for c in docs.columns if c not in (text_col, "n_words", "hits", "items")]
-    found = docs.select(
-        *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)), F.col(f"`{text_col}`").alias("text"),
-        F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"),
-    )
-    kinds = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(others))
-    schema = ", ".join(filter(None, [kinds, "text string, n_words long, hits array<struct<start:int,stop:int>>, items array<string>"]))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    for k in range(n_blocks):
-        phrases = Phrases(queries.where(part == k).toArrow(), window)
-        found = found.mapInArrow(_scan(phrases), schema)
+    kinds = "n_words long, hits array<struct<start:int,stop:int>>, items array<string>"
+
+    def searched(rows: DataFrame, schema: str, k: int) -> DataFrame:
+        phrases = spark.sparkContext.broadcast(Phrases(queries.where(part == k).toArrow(), window))
+        return rows.mapInArrow(_scan(phrases), f"{schema}, {kinds}")
+
+    others = [c for c in docs.columns if c not in (text_col, "n_words", "hits", "items")]
     names = {c: f"c{k}" for k, c in enumerate(others)} | {text_col: "text"}
+    inner = docs.select(*(F.col(f"`{c}`").alias(names[c]) for c in (*others, text_col)))
+    if n_blocks == 1:
+        found = searched(inner, ", ".join(f"{names[c]} {docs.schema[c].dataType.simpleString()}" for c in (*others, text_col)), 0)
+    else:
+        texts = inner.select(F.md5("text").alias("print"), "text")
+        hit = None
+        for k in range(n_blocks):
+            one = searched(texts, "print string, text string", k).where("size(hits) > 0").select("print", F.struct(F.lit(k).alias("block"), "hits", "items").alias("found"))
+            hit = one if hit is None else hit.unionByName(one)
+        hit = cut(hit.groupBy("print").agg(F.collect_set("found").alias("found")))
+        hit = hit.select("print", _merged(F.flatten("found.hits")).alias("hits"), F.flatten("found.items").alias("items"))
+        found = inner.withColumn("print", F.md5("text")).join(hit, "print", "left").withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+        found = found.withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<start:int,stop:int>>"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return found.select(*(F.col(names[c]).alias(c) for c in docs.columns if c in names), "n_words", "hits", F.array_distinct("items").alias("items"))
 
 
