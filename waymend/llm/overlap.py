@@ -51,7 +51,7 @@ class Rule:
     unit: str
     window: int
     gram: int
-    hot: int = 4096
+    hot: int = 256
     block_bytes: int = 1 << 20
 
     def units(self, values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
