@@ -39,6 +39,15 @@ def graph_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
 
 
+def labelled_nodes(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """id, component; nodes (id) adds those without edges, each a component of its own."""
+    labels = connected_components(edges).withColumnRenamed("node", "id")
+    if nodes is None:
+        return labels
+    every = nodes.select("id").union(graph_nodes(edges)).distinct()
+    return every.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 def node_degree(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """id, degree; nodes (id) adds those without edges."""
     ends = edges.select(F.col("u").alias("id")).union(edges.select("v"))

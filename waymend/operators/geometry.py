@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, node_degree, spanning_forest
+from ..session import cut
+from .components import labelled_nodes, node_degree, spanning_forest
 
 
 def norm(a: Column, b: Column) -> Column:
@@ -53,32 +54,45 @@ def candidate_bridges(edges: DataFrame, places: DataFrame, distance: float = 30.
     return pairs.where((F.col("angle_u") <= angle) & (F.col("angle_v") <= angle)).select("u", "v", "dist", "angle_u", "angle_v")
 
 
-def heal_bridges(edges: DataFrame, places: DataFrame, distance: float = 30.0, angle: float = 45.0, scale: float = 10.0, mode: str = "reference") -> DataFrame:
+def heal_bridges(edges: DataFrame, places: DataFrame, distance: float = 30.0, angle: float = 45.0, scale: float = 10.0, mode: str = "reference", nodes: DataFrame | None = None) -> DataFrame:
     """The bridges that mend the network: u, v, weight, length_px, healed, angle_u, angle_v.
 
+    A network of one component, or of none, needs none. nodes (id) adds those
+    without edges, each a component of its own.
+
     mode "reference": bridges form a minimum spanning forest of the candidates
     alone, so one may close a cycle within a component. mode "strict": only
     bridges between different components of the network.
     """
     if mode not in ("reference", "strict"):
         raise ValueError(f"mode is reference or strict, not {mode}")
+    labels = cut(labelled_nodes(edges, nodes))
     found = candidate_bridges(edges, places, distance, angle)
-    labels = connected_components(edges) if mode == "strict" else None
-    forest = spanning_forest(found, labels)
+    if len(labels.select("component").distinct().limit(2).collect()) < 2:
+        found = found.limit(0)
+    found = cut(found)
+    forest = spanning_forest(found, labels.withColumnRenamed("id", "node") if mode == "strict" else None)
     return forest.join(found, ["u", "v", "dist"]).select("u", "v", (F.col("dist") * scale).alias("weight"), F.col("dist").alias("length_px"), F.lit(True).alias("healed"), "angle_u", "angle_v")
 
 
-def largest_component(edges: DataFrame) -> DataFrame:
-    return connected_components(edges).groupBy("component").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("largest"))
+def heal_summary(edges: DataFrame, bridges: DataFrame, candidates: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """One row: healed_edges_added, components_before, components_after, candidate_bridges_evaluated."""
+    healed = edges.select("u", "v").unionByName(bridges.select("u", "v"))
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    parts = lambda e, name: labelled_nodes(e, nodes).agg(F.countDistinct("component").alias(name))
+    added = count(bridges, "healed_edges_added").crossJoin(parts(edges, "components_before")).crossJoin(parts(healed, "components_after"))
+    return added.crossJoin(count(candidates, "candidate_bridges_evaluated"))
+
 
+def largest_component(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    return labelled_nodes(edges, nodes).groupBy("component").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("largest"))
 
-def connectivity_ratio(raw: DataFrame, healed: DataFrame) -> DataFrame:
-    """One row: largest component before and after, connectivity_gain, connectivity_coverage."""
-    from .components import graph_nodes
 
-    before = largest_component(raw).withColumnRenamed("largest", "largest_before")
-    after = largest_component(healed).withColumnRenamed("largest", "largest_after")
-    total = graph_nodes(healed).agg(F.count("*").alias("n"))
+def connectivity_ratio(raw: DataFrame, healed: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """One row: largest component before and after, connectivity_gain, connectivity_coverage. nodes (id) adds those without edges."""
+    before = largest_component(raw, nodes).withColumnRenamed("largest", "largest_before")
+    after = largest_component(healed, nodes).withColumnRenamed("largest", "largest_after")
+    total = labelled_nodes(healed, nodes).agg(F.count("*").alias("n"))
     return before.crossJoin(after).crossJoin(total).select(
         "largest_before", "largest_after", (F.col("largest_after") / F.greatest("largest_before", F.lit(1))).alias("connectivity_gain"), (F.col("largest_after") / F.greatest("n", F.lit(1))).alias("connectivity_coverage")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -157,6 +157,12 @@ def skeleton_graph(skeleton: DataFrame, scale: float = 10.0) -> DataFrame:
     return shortest.select("u", "v", (F.col("length_px") * scale).alias("weight"), "length_px")
 
 
+def skeleton_nodes(skeleton: DataFrame) -> DataFrame:
+    """id, tile_id, y, x, degree, is_endpoint of the skeleton's nodes: pixels with other than 2 neighbours, lone ones among them."""
+    kinds = pixel_classify(skeleton).where("degree <> 2")
+    return kinds.select(pixel_id().alias("id"), *PIXEL, "degree", (F.col("degree") <= 1).alias("is_endpoint"))
+
+
 def mask_iou_dice(pred: DataFrame, target: DataFrame) -> DataFrame:
     """tile_id, iou, dice; a denominator of 0 counts as 1."""
     both = pred.select(*PIXEL, F.lit(1).alias("p")).join(target.select(*PIXEL, F.lit(1).alias("t")), PIXEL, "full")
@@ -231,19 +237,42 @@ def occlusion_mask(a: DataFrame, b: DataFrame, least: float = 15.0) -> DataFrame
     return joined.where(diff > least).select(*PIXEL)
 
 
-def grid(spark, tiles: list[int], height: int, width: int) -> DataFrame:
-    """All pixels of tiles of one size."""
-    cells = spark.range(len(tiles) * height * width)
-    tile = F.element_at(F.array(*(F.lit(t) for t in tiles)), (F.floor(F.col("id") / (height * width)) + 1).cast("int"))
-    return cells.select(tile.alias("tile_id"), F.floor(F.col("id") % (height * width) / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"))
+def grid(tiles: DataFrame, height: int, width: int) -> DataFrame:
+    """All pixels of tiles (tile_id) of one size."""
+    rows = tiles.select("tile_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
+    return rows.select("tile_id", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+
+
+def rasterize_ways(points: DataFrame, height: int, width: int, thickness: int = 5) -> DataFrame:
+    """Pixels within thickness / 2 of the ways (tile_id, way_id, pos, y, x): each from one point to the next by pos, then y, x.
+
+    A segment only looks at the pixels of its bounding box, so the rows follow
+    the length of the ways; pixels outside the image are left out.
+    """
+    half = thickness / 2
+    along = Window.partitionBy("tile_id", "way_id").orderBy("pos", "y", "x")
+    ends = points.select("tile_id", F.col("y").cast("double").alias("ya"), F.col("x").cast("double").alias("xa"), F.lead("y").over(along).cast("double").alias("yb"), F.lead("x").over(along).cast("double").alias("xb")).where("yb IS NOT NULL")
+
+    def span(a: str, b: str, most: int) -> Column:
+        low = F.greatest(F.lit(0), F.floor(F.least(a, b) - half)).cast("int")
+        high = F.least(F.lit(most), F.ceil(F.greatest(a, b) + half)).cast("int")
+        return F.explode(F.when(low <= high, F.sequence(low, high)))
+
+    cells = ends.withColumn("y", span("ya", "yb", height - 1)).withColumn("x", span("xa", "xb", width - 1))
+    dy, dx = F.col("yb") - F.col("ya"), F.col("xb") - F.col("xa")
+    size = dy * dy + dx * dx
+    t = F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("y") - F.col("ya")) * dy + (F.col("x") - F.col("xa")) * dx) / F.greatest(size, F.lit(1e-9)))))
+    near = F.pow(F.col("y") - (F.col("ya") + t * dy), 2) + F.pow(F.col("x") - (F.col("xa") + t * dx), 2) <= half * half
+    return cells.where(near).select(*PIXEL).distinct()
 
 
 def synthetic_road_mask(spark, height: int = 64, width: int = 64, thickness: int = 5) -> DataFrame:
     """A grid of roads: rows at 25, 50 and 75 %, columns at 20, 50 and 80 %, two pixels wider than a bent diagonal."""
+    #: The bends of the diagonal, as shares of height and width.
     wide = (thickness + 2) / 2
     rows = [int(height * s) for s in (0.25, 0.5, 0.75)]
     columns = [int(width * s) for s in (0.2, 0.5, 0.8)]
-    bends = [(int(height * 0.1), int(width * 0.1)), (int(height * 0.4), int(width * 0.6)), (int(height * 0.9), int(width * 0.9))]
+    bends = [(int(height * b), int(width * a)) for a, b in ((0.1, 0.1), (0.4, 0.35), (0.7, 0.85))]
     y, x = F.col("y").cast("double"), F.col("x").cast("double")
     near = F.lit(False)
     for r in rows:
@@ -254,4 +283,104 @@ def synthetic_road_mask(spark, height: int = 64, width: int = 64, thickness: int
         size = float((yb - ya) ** 2 + (xb - xa) ** 2)
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((y - ya) * (yb - ya) + (x - xa) * (xb - xa)) / size))
         near = near | (F.sqrt(F.pow(y - (ya + t * (yb - ya)), 2) + F.pow(x - (xa + t * (xb - xa)), 2)) <= thickness / 2)
-    return grid(spark, [0], height, width).where(near)
+    return grid(spark.range(1).select(F.lit(0).alias("tile_id")), height, width).where(near)
+
+
+def normalise(image: DataFrame) -> DataFrame:
+    """image (tile_id, y, x, r, g, b) with channels from 0 to 1."""
+    return image.select(*PIXEL, *((F.col(c) / 255.0).alias(c) for c in "rgb"))
+
+
+def swap_channels(image: DataFrame) -> DataFrame:
+    """Red and blue change places."""
+    return image.select(*PIXEL, F.col("b").alias("r"), "g", F.col("r").alias("b"))
+
+
+def gray_to_rgb(mask: DataFrame, value: int = 255) -> DataFrame:
+    """Mask pixels as image pixels of equal channels."""
+    return mask.select(*PIXEL, *(F.lit(value).alias(c) for c in "rgb"))
+
+
+def side_by_side(images: list[DataFrame], width: int) -> DataFrame:
+    """Images of one height and width as one, the first on the left."""
+    found = None
+    for k, image in enumerate(images):
+        moved = image.withColumn("x", (F.col("x") + k * width).cast("int"))
+        found = moved if found is None else found.unionByName(moved)
+    return found
+
+
+def gaussian_kernel(size: int, sigma: float) -> list[tuple[int, int, float]]:
+    """(dy, dx, weight) of a square kernel of odd size; weights add up to 1."""
+    line = [math.exp(-((k - size // 2) ** 2) / (2 * sigma * sigma)) for k in range(size)]
+    total = sum(line) ** 2
+    return [(dy - size // 2, dx - size // 2, line[dy] * line[dx] / total) for dy in range(size) for dx in range(size)]
+
+
+def gaussian_blur(pixels: DataFrame, columns: list[str], height: int, width: int, size: int = 5, sigma: float = 1.0) -> DataFrame:
+    """pixels of full images with the columns blurred; at the border the image is reflected without repeating its edge.
+
+    A pixel sends its weighted value to the pixels that see it, itself or its reflection.
+    """
+    kernel = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for dy, dx, w in gaussian_kernel(size, sigma)))
+
+    def mirrors(at: str, n: int) -> Column:
+        return F.array(F.col(at), -F.col(at), 2 * (n - 1) - F.col(at))
+
+    seen = pixels.select("tile_id", *columns, F.explode(F.array_distinct(mirrors("y", height))).alias("y"), mirrors("x", width).alias("xs")).select("tile_id", *columns, "y", F.explode(F.array_distinct("xs")).alias("x"))
+    reach = size // 2
+    seen = seen.where(F.col("y").between(-reach, height - 1 + reach) & F.col("x").between(-reach, width - 1 + reach))
+    sent = inside(seen.withColumn("k", F.explode(kernel)).select("tile_id", (F.col("y") - F.col("k.dy")).alias("y"), (F.col("x") - F.col("k.dx")).alias("x"), *((F.col(c) * F.col("k.w")).alias(c) for c in columns)), height, width)
+    return sent.groupBy(*PIXEL).agg(*(F.sum(c).alias(c) for c in columns))
+
+
+def resize(pixels: DataFrame, columns: list[str], height: int, width: int, new_height: int, new_width: int) -> DataFrame:
+    """Full images in another size by cubic convolution (a = -0.75), pixel centres aligned, edges repeated.
+
+    Which old pixels a new one sees depends on its place only; these weights
+    are one small table of new_height and new_width rows, joined by place.
+    """
+
+    def weights(n: int, m: int) -> list[tuple[int, int, float]]:
+        a, found = -0.75, {}
+        for k in range(m):
+            at = (k + 0.5) * n / m - 0.5
+            for j in range(math.floor(at) - 1, math.floor(at) + 3):
+                d = abs(at - j)
+                w = ((a + 2) * d - (a + 3)) * d * d + 1 if d <= 1 else ((a * d - 5 * a) * d + 8 * a) * d - 4 * a if d < 2 else 0.0
+                place = min(max(j, 0), n - 1)
+                found[place, k] = found.get((place, k), 0.0) + w
+        return [(j, k, w) for (j, k), w in sorted(found.items())]
+
+    spark = pixels.sparkSession
+    found = pixels
+    for axis, n, m in (("y", height, new_height), ("x", width, new_width)):
+        other = "x" if axis == "y" else "y"
+        table = F.broadcast(spark.createDataFrame(weights(n, m), f"{axis} int, new int, weight double"))
+        found = found.join(table, axis).groupBy("tile_id", other, F.col("new").alias(axis)).agg(*(F.sum(F.col(c) * F.col("weight")).alias(c) for c in columns))
+    return found.select(*PIXEL, *columns)
+
+
+def _chance(name: str, seed: int) -> Column:
+    """From 0 up to 1, drawn by MD5 of the tile, the seed and a name."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", "tile_id", F.lit(str(seed)), F.lit(name))), 1, 8), 16, 10).cast("long") / float(1 << 32)
+
+
+def augment(image: DataFrame, height: int, width: int, seed: int = 42, flip: float = 0.5, turn: float = 0.5, brightness: float = 0.3, most: float = 0.2) -> DataFrame:
+    """Training variants of square tiles (tile_id, y, x and channels r, g, b where present): each tile by its own draws.
+
+    With chance `flip` each, left-right and top-bottom change; with chance
+    `turn` the tile is turned to the left by 0 to 3 quarters; with chance
+    `brightness` channels are scaled by 1 - most to 1 + most and then moved by up to
+    most * 255 to either side. Masks go with their image under the same seed.
+    """
+    y, x = F.col("y"), F.col("x")
+    x = F.when(_chance("horizontal", seed) < flip, width - 1 - x).otherwise(x)
+    y = F.when(_chance("vertical", seed) < flip, height - 1 - y).otherwise(y)
+    quarters = F.when(_chance("turn", seed) < turn, F.floor(4 * _chance("quarters", seed))).otherwise(0)
+    turned_y = F.when(quarters == 1, width - 1 - x).when(quarters == 2, height - 1 - y).when(quarters == 3, x).otherwise(y)
+    turned_x = F.when(quarters == 1, y).when(quarters == 2, width - 1 - x).when(quarters == 3, height - 1 - y).otherwise(x)
+    bright = _chance("bright", seed) < brightness
+    scale, shift = 1 + most * (2 * _chance("scale", seed) - 1), 255 * most * (2 * _chance("shift", seed) - 1)
+    colours = [F.when(bright, F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.col(c) * scale + shift)))).otherwise(F.col(c)).cast("int").alias(c) for c in "rgb" if c in image.columns]
+    return image.select("tile_id", turned_y.cast("int").alias("y"), turned_x.cast("int").alias("x"), *colours)

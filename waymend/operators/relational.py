@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Closures that are looked at as scenarios of one network.
+MOST_SCENARIOS = 1000
+
+
 def valid_location(lat: Column, lon: Column, radius: Column) -> Column:
     return lat.between(-90, 90) & lon.between(-180, 180) & radius.between(100, 5000)
 
@@ -27,9 +31,13 @@ def affected_km(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg((F.sum(F.coalesce("w", F.lit(0))) / 1000).alias("km"))
 
 
-def node_removal(edges: DataFrame, closures: DataFrame) -> DataFrame:
-    """closed, u, v, w: the network without each of the closed nodes. closures is a set of scenarios, sent to all tasks."""
-    return edges.join(F.broadcast(closures.select("closed")), (F.col("u") != F.col("closed")) & (F.col("v") != F.col("closed"))).select("closed", "u", "v", "w")
+def node_removal(edges: DataFrame, closures: DataFrame, most: int = MOST_SCENARIOS) -> DataFrame:
+    """closed, u, v, w: the network without each of the closed nodes, a scenario for each; at most `most` of them, else an error."""
+    nodes = [r[0] for r in closures.select("closed").distinct().limit(most + 1).collect()]
+    if len(nodes) > most:
+        raise ValueError(f"more than {most} scenarios")
+    scenarios = F.array(*map(F.lit, nodes)) if nodes else F.array().cast("array<long>")
+    return edges.withColumn("closed", F.explode(scenarios)).where("u <> closed AND v <> closed").select("closed", "u", "v", "w")
 
 
 def edge_geometry(edges: DataFrame, places: DataFrame) -> DataFrame:
@@ -39,10 +47,11 @@ def edge_geometry(edges: DataFrame, places: DataFrame) -> DataFrame:
 
 def edge_style(edges: DataFrame, closed: DataFrame) -> DataFrame:
     """colour, width and opacity of each edge: those at a closed node (closed) stand out."""
-    shut = F.broadcast(closed.select(F.col("closed").alias("c")).distinct())
-    touched = edges.join(shut, (F.col("u") == F.col("c")) | (F.col("v") == F.col("c")), "left_semi").select("u", "v", F.lit(True).alias("hit"))
-    styled = edges.join(touched, ["u", "v"], "left")
-    hit = F.coalesce("hit", F.lit(False))
+    shut = closed.select(F.col("closed").alias("u")).distinct()
+    at_u = shut.withColumn("hit_u", F.lit(True))
+    at_v = shut.select(F.col("u").alias("v"), F.lit(True).alias("hit_v"))
+    styled = edges.join(at_u, "u", "left").join(at_v, "v", "left")
+    hit = F.coalesce("hit_u", "hit_v", F.lit(False))
     return styled.select("u", "v", F.when(hit, "red").otherwise("green").alias("colour"), F.when(hit, 5).otherwise(2).alias("width"), F.when(hit, 0.9).otherwise(0.6).alias("opacity"))
 
 
@@ -82,3 +91,14 @@ def geo_to_pixel(points: DataFrame, box: tuple[float, float, float, float], heig
     x = ((F.col("lon") - min_lon) / (max_lon - min_lon) * (width - 1)).cast("int")
     y = ((max_lat - F.col("lat")) / (max_lat - min_lat) * (height - 1)).cast("int")
     return points.withColumn("py", y).withColumn("px", x)
+
+
+def epoch_means(batches: DataFrame) -> DataFrame:
+    """epoch, loss: the mean loss of an epoch's batches (epoch, loss, n) weighted by their sizes; 0 for an epoch without rows."""
+    return batches.groupBy("epoch").agg(F.coalesce(F.sum(F.col("loss") * F.col("n")) / F.sum("n"), F.lit(0.0)).alias("loss"))
+
+
+def sample_rows(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
+    """k rows, those of the least MD5 of key and seed: the same ones in every run."""
+    drawn = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
+    return rows.orderBy(drawn, key).limit(k)

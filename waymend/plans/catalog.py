@@ -13,10 +13,10 @@ from ..operators import paths as p
 from ..operators import raster as r
 from ..operators import relational as rel
 from ..operators.components import connected_components, graph_nodes, graph_summary, node_degree
-from ..session import rounded
+from ..session import cut, rounded
 from ..sources.graphml import read_graphml, write_graphml
 from ..sources.synthetic import grid_graph
-from .views import SIDE, view
+from .views import DENSE, SIDE, SPARSE, tile, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WIDE = {"distance": 60.0, "angle": 90.0}
@@ -42,7 +42,7 @@ def table_query(name: str):
     return add
 
 
-query("edges")(graph_summary)
+query("broken_edges", "all_nodes")(graph_summary)
 
 
 @query("edges")
@@ -54,6 +54,11 @@ QUERIES["connected_components"] = QUERIES.pop("connected_components_")
 QUERIES["node_degree"] = lambda spark, d: node_degree(view(spark, d, "edges"), view(spark, d, "gpos").select("id"))
 
 
+@query("broken_edges", "all_nodes")
+def betweenness_with_lone_nodes(edges, nodes):
+    return p.betweenness(edges, nodes).select("id", rounded(F.col("score")).alias("score"))
+
+
 @query("edges")
 def betweenness(edges):
     return p.betweenness(edges).select("id", rounded(F.col("score")).alias("score"))
@@ -71,13 +76,14 @@ def top_gatekeeper(edges):
     return best.select("id", rounded(F.col("score")).alias("score"))
 
 
-def busiest(edges: DataFrame, n: int = TOP_CLOSURES) -> DataFrame:
-    return p.betweenness(edges).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "id").limit(n).select(F.col("id").alias("closed"))
+def busiest(edges: DataFrame, n: int = TOP_CLOSURES, network=None) -> DataFrame:
+    return p.betweenness(edges, network=network).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "id").limit(n).select(F.col("id").alias("closed"))
 
 
 @query("edges")
 def node_closure(edges):
-    done = p.node_closures(edges, busiest(edges), OD_PAIRS)
+    network = p.gathered(edges)
+    done = p.node_closures(edges, busiest(edges, network=network), OD_PAIRS, network=network)
     return done.select(*(rounded(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in done.dtypes))
 
 
@@ -95,18 +101,20 @@ def topological_accuracy(edges, gpos):
     return p.topological_accuracy(edges, gpos).select(rounded(F.col("mean_error_pct")).alias("mean_error_pct"), rounded(F.col("reachable_pct")).alias("reachable_pct"))
 
 
-@query("broken_edges")
-def reachability(edges):
-    labels = connected_components(edges)
-    pairs = edges.select(F.col("u").alias("a"), F.lit(1).alias("k")).distinct().join(edges.select(F.col("v").alias("b"), F.lit(1).alias("k")).distinct(), "k").where("a < b")
-    left, right = labels.toDF("a", "ca"), labels.toDF("b", "cb")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("ca") == F.col("cb")).alias("reachable"))
+@query("broken_edges", "gpos", "edges", "all_nodes")
+def topological_accuracy_of_truth(edges, gpos, truth, nodes):
+    return p.topological_accuracy(edges, gpos, truth, nodes=nodes).select(rounded(F.col("mean_error_pct")).alias("mean_error_pct"), rounded(F.col("reachable_pct")).alias("reachable_pct"))
+
+
+@query("broken_edges", "all_nodes")
+def reachability(edges, nodes):
+    every = edges.sparkSession.createDataFrame([(None,)], "closed long")
+    return p.od_attempts(edges, every, 2 * OD_PAIRS, nodes).select("attempt", "u", "v", F.col("connected").alias("reachable"))
 
 
 @query("edges")
 def shortest_paths(edges):
-    sources = graph_nodes(edges).orderBy("id").limit(5).select(F.col("id").alias("src"))
-    return p.shortest_paths(edges, sources)
+    return p.shortest_paths(edges, graph_nodes(edges).select(F.col("id").alias("src")))
 
 
 QUERIES["parallel_edge_min"] = lambda spark, d: rel.parallel_edge_min(view(spark, d, "multi_edges"))
@@ -159,13 +167,12 @@ def validate_location(customer):
 
 @table_query("lineitem")
 def binarize_threshold(lineitem):
-    scores = lineitem.where("l_quantity <= 3").groupBy((F.col("l_linenumber") % 2).cast("int").alias("tile_id"), (F.col("l_partkey") % SIDE).cast("int").alias("y"), (F.col("l_orderkey") % SIDE).cast("int").alias("x"))
-    scores = scores.agg(F.max(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount") * 10).otherwise(F.col("l_discount") * 2550)).alias("p"))
-    return r.binarize(scores)
+    scores = lineitem.groupBy(F.expr(tile(DENSE)).alias("tile_id"), (F.col("l_partkey") % SIDE).cast("int").alias("y"), (F.col("l_orderkey") % SIDE).cast("int").alias("x"))
+    return r.binarize(scores.agg(F.max("l_discount").alias("p")).withColumn("p", F.when(F.col("tile_id") % 2 == 0, F.col("p") * 10).otherwise(F.col("p") * 2550)))
 
 
 def _image(lineitem: DataFrame, k: int) -> DataFrame:
-    cell = lineitem.where("l_quantity <= 5").groupBy(F.lit(0).alias("tile_id"), (F.col("l_partkey") % SIDE).cast("int").alias("y"), (F.col("l_orderkey") % SIDE).cast("int").alias("x"))
+    cell = lineitem.groupBy(F.expr(tile(SPARSE)).alias("tile_id"), (F.col("l_partkey") % SIDE).cast("int").alias("y"), (F.col("l_orderkey") % SIDE).cast("int").alias("x"))
     return cell.agg(*(((F.sum(F.col(c)) * k) % 256).cast("int").alias(n) for n, c in (("r", "l_partkey"), ("g", "l_suppkey"), ("b", "l_orderkey"))))
 
 
@@ -174,7 +181,7 @@ def occlusion_mask(lineitem):
     return r.occlusion_mask(_image(lineitem, 1), _image(lineitem, 2), 60.0)
 
 
-QUERIES["overlay_roads"] = lambda spark, d: r.overlay_roads(_image(spark.read.parquet(f"{d}/lineitem.parquet"), 1), view(spark, d, "mask").where("tile_id = 0"))
+QUERIES["overlay_roads"] = lambda spark, d: r.overlay_roads(_image(spark.read.parquet(f"{d}/lineitem.parquet"), 1), view(spark, d, "mask"))
 
 
 @query("mask")
@@ -231,25 +238,35 @@ def candidate_bridges(edges, gpos):
     return _bridges(g.candidate_bridges(edges, gpos, **WIDE))
 
 
-@query("broken_edges", "gpos")
-def heal_bridges(edges, gpos):
-    return _bridges(g.heal_bridges(edges, gpos, **WIDE), "length_px")
+@query("broken_edges", "gpos", "all_nodes")
+def heal_bridges(edges, gpos, nodes):
+    return _bridges(g.heal_bridges(edges, gpos, **WIDE, nodes=nodes), "length_px")
 
 
-@query("broken_edges", "gpos")
-def heal_bridges_narrow(edges, gpos):
-    return _bridges(g.heal_bridges(edges, gpos), "length_px")
+@query("broken_edges", "gpos", "all_nodes")
+def heal_bridges_narrow(edges, gpos, nodes):
+    return _bridges(g.heal_bridges(edges, gpos, nodes=nodes), "length_px")
 
 
-@query("broken_edges", "gpos")
-def heal_bridges_strict(edges, gpos):
-    return _bridges(g.heal_bridges(edges, gpos, **WIDE, mode="strict"), "length_px")
+@query("broken_edges", "gpos", "all_nodes")
+def heal_bridges_strict(edges, gpos, nodes):
+    return _bridges(g.heal_bridges(edges, gpos, **WIDE, mode="strict", nodes=nodes), "length_px")
 
 
-@query("broken_edges", "gpos")
-def connectivity_ratio(edges, gpos):
-    healed = edges.select("u", "v").unionByName(g.heal_bridges(edges, gpos, **WIDE).select("u", "v"))
-    found = g.connectivity_ratio(edges, healed)
+@query("edges", "gpos")
+def heal_bridges_of_one_component(edges, gpos):
+    return _bridges(g.heal_bridges(edges, gpos, distance=1000.0, angle=180.0), "length_px")
+
+
+@query("broken_edges", "gpos", "all_nodes")
+def heal_summary(edges, gpos, nodes):
+    return g.heal_summary(edges, g.heal_bridges(edges, gpos, **WIDE, nodes=nodes), g.candidate_bridges(edges, gpos, **WIDE), nodes)
+
+
+@query("broken_edges", "gpos", "all_nodes")
+def connectivity_ratio(edges, gpos, nodes):
+    healed = cut(edges.select("u", "v").unionByName(g.heal_bridges(edges, gpos, **WIDE, nodes=nodes).select("u", "v")))
+    found = g.connectivity_ratio(edges, healed, nodes)
     return found.select("largest_before", "largest_after", rounded(F.col("connectivity_gain")).alias("connectivity_gain"), rounded(F.col("connectivity_coverage")).alias("connectivity_coverage"))
 
 
@@ -257,6 +274,8 @@ query("mask")(r.pixel_adjacency)
 query("mask")(r.pixel_classify)
 query("mask")(r.component_area_filter)
 query("mask")(r.thinning_step)
+query("mask")(r.skeletonize)
+query("mask")(r.skeleton_nodes)
 
 
 @query("mask")
@@ -315,6 +334,52 @@ def polyline_length(lineitem):
     return rel.polyline_length(points).select("path_id", rounded(F.col("length")).alias("length"))
 
 
+@table_query("lineitem")
+def rasterize_ways(lineitem):
+    points = lineitem.select(F.expr(tile(SPARSE)).alias("tile_id"), F.col("l_orderkey").alias("way_id"), F.col("l_linenumber").alias("pos"), (F.col("l_orderkey") % 48 + F.col("l_suppkey") % 16).alias("y"), (F.col("l_linenumber") * 9 - 8).alias("x"))
+    return r.rasterize_ways(points, SIDE, SIDE, 3)
+
+
+@table_query("lineitem")
+def normalise(lineitem):
+    return r.normalise(_image(lineitem, 1)).select(*r.PIXEL, *(rounded(F.col(c)).alias(c) for c in "rgb"))
+
+
+@table_query("lineitem")
+def swap_channels(lineitem):
+    return r.swap_channels(_image(lineitem, 1))
+
+
+@table_query("lineitem")
+def augment(lineitem):
+    return r.augment(_image(lineitem, 1), SIDE, SIDE)
+
+
+@query("mask", "pred")
+def side_by_side(mask, pred):
+    return r.side_by_side([r.gray_to_rgb(mask), r.gray_to_rgb(pred, 127)], SIDE)
+
+
+@query("dense")
+def gaussian_blur(dense):
+    return r.gaussian_blur(dense, ["p"], SIDE, SIDE).select(*r.PIXEL, rounded(F.col("p")).alias("p"))
+
+
+@query("dense")
+def resize(dense):
+    return r.resize(dense, ["p"], SIDE, SIDE, 24, 40).select(*r.PIXEL, rounded(F.col("p")).alias("p"))
+
+
+@table_query("lineitem")
+def epoch_means(lineitem):
+    return rel.epoch_means(lineitem.select(F.col("l_linenumber").alias("epoch"), F.col("l_discount").alias("loss"), F.col("l_quantity").alias("n"))).select("epoch", rounded(F.col("loss")).alias("loss"))
+
+
+@table_query("part")
+def sample_rows(part):
+    return rel.sample_rows(part, "p_partkey", 5).select("p_partkey", "p_name")
+
+
 QUERIES["synthetic_road_mask"] = lambda spark, d: r.synthetic_road_mask(spark, SIDE, SIDE)
 QUERIES["grid_graph"] = lambda spark, d: grid_graph(spark)
 
@@ -334,7 +399,7 @@ def sobel_edges(dense):
 
 @query("dense")
 def laplacian(dense):
-    return lo.convolve(dense, ["p", "t"], {"lap": lo.LAPLACIAN}).select(*r.PIXEL, rounded(F.col("lap_p")).alias("lap_p"), rounded(F.col("lap_t")).alias("lap_t"))
+    return lo.convolve(dense, ["p", "t"], {"lap": lo.LAPLACIAN}).select(*r.PIXEL, (rounded(F.col("lap_p")) + F.lit(0.0)).alias("lap_p"), (rounded(F.col("lap_t")) + F.lit(0.0)).alias("lap_t"))
 
 
 def graphml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .views import SIDE, with_views
+from ..operators.raster import gaussian_kernel
+from .views import DENSE, SIDE, SPARSE, tile, with_views
 
 S = SIDE
 NEIGHBOURS = "(VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) o(dy, dx)"
@@ -10,6 +11,8 @@ NEIGHBOURS = "(VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) o(d
 NODES = ("nodes", "SELECT u AS id FROM {e} UNION SELECT v FROM {e}")
 SYM = ("sym", "SELECT u, v, w FROM {e} UNION ALL SELECT v, u, w FROM {e}")
 REACH = ("reach(s, n) AS", "SELECT id, id FROM nodes UNION SELECT s, v FROM reach JOIN sym ON sym.u = n")
+#: As NODES and REACH, over all nodes, lone ones too.
+ALL_NODES = ("nodes", "SELECT id FROM all_nodes UNION SELECT u FROM {e} UNION SELECT v FROM {e}")
 LABELS = ("labels", "SELECT s AS node, min(n) AS component FROM reach GROUP BY s")
 DEGREE = ("deg", "SELECT id, count(*) AS degree FROM (SELECT u AS id FROM {e} UNION ALL SELECT v FROM {e}) GROUP BY id")
 DIST = (
@@ -35,6 +38,7 @@ SCORE = graph(
 )
 G = graph("edges", NODES, SYM)
 GB = graph("broken_edges", NODES, SYM)
+GA = graph("broken_edges", ALL_NODES, SYM)
 BC = [*G, *graph("edges", DIST), *SCORE]
 RANK = "ORDER BY round(score, 9) DESC, id"
 
@@ -63,7 +67,7 @@ WAYS = [
 
 def bridges(distance: float, angle: float) -> list[tuple[str, str]]:
     return [
-        *GB, *graph("broken_edges", DEGREE), *WAYS,
+        *GA, *graph("broken_edges", DEGREE), *WAYS,
         ("near", f"SELECT a.id AS u, b.id AS v, sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS dist, a.dy AS ua, a.dx AS ub, b.dy AS va, b.dx AS vb, b.y - a.y AS ty, b.x - a.x AS tx FROM ways a JOIN ways b ON a.id < b.id AND sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) <= {distance}"),
         ("angled", "SELECT u, v, dist, degrees(acos(greatest(-1, least(1, (ua * ty + ub * tx) / greatest(dist, 1e-6))))) AS angle_u, degrees(acos(greatest(-1, least(1, -(va * ty + vb * tx) / greatest(dist, 1e-6))))) AS angle_v FROM near"),
         ("cand", f"SELECT * FROM angled WHERE angle_u <= {angle} AND angle_v <= {angle}"),
@@ -122,6 +126,32 @@ TURNS = " + ".join(f"CASE WHEN p{k} = 0 AND p{(k + 1) % 8} = 1 THEN 1 ELSE 0 END
 COUNT = " + ".join(f"p{k}" for k in range(8))
 
 
+#: Sub-iterations of thinning that settle the test masks.
+THIN_STEPS = 16
+
+
+def thin(k: int) -> list[tuple[str, str]]:
+    """One sub-iteration: thin<k> to thin<k + 1>."""
+    of = "mask" if k == 0 else f"thin{k}"
+    corners = "p0 * p2 * p4 = 0 AND p2 * p4 * p6 = 0" if k % 2 == 0 else "p0 * p2 * p6 = 0 AND p0 * p4 * p6 = 0"
+    ring = "SELECT m.tile_id, m.y, m.x, " + ", ".join(f"max(CASE WHEN n.y - m.y = {dy} AND n.x - m.x = {dx} THEN 1 ELSE 0 END) AS p{j}" for j, (dy, dx) in enumerate(RING)) + f" FROM {of} m CROSS JOIN {NEIGHBOURS} LEFT JOIN {of} n ON n.tile_id = m.tile_id AND n.y = m.y + dy AND n.x = m.x + dx GROUP BY ALL"
+    return [(f"thin{k + 1}", f"SELECT tile_id, y, x FROM ({ring}) WHERE NOT ({COUNT} BETWEEN 2 AND 6 AND {TURNS} = 1 AND {corners})")]
+
+
+def cubic(m: int) -> str:
+    """j, k, w: the weight of old place j for new place k of m."""
+    at = f"((k + 0.5::DOUBLE) * {S} / {m} - 0.5)"
+    d = "abs(place - (base + o))"
+    return (
+        f"SELECT least(greatest(CAST(base + o AS INT), 0), {S - 1}) AS j, k, CASE WHEN {d} <= 1 THEN (1.25 * {d} - 2.25) * {d} * {d} + 1 WHEN {d} < 2 THEN ((-0.75 * {d} + 3.75) * {d} - 6) * {d} + 3 ELSE 0 END AS w "
+        f"FROM (SELECT k, {at} AS place, floor({at}) AS base FROM range({m}) r(k)), range(-1, 3) s(o)"
+    )
+
+
+def chance(name: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat(tile_id, '-42-{name}')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
 def conv(name: str, col: str, kernel: list[tuple[int, int, int]]) -> tuple[str, str]:
     values = ", ".join(f"({dy}, {dx}, {w})" for dy, dx, w in kernel)
     return name, f"SELECT g.tile_id, g.y, g.x, sum(coalesce(n.{col}, 0) * k) AS {name} FROM dense g, (VALUES {values}) o(dy, dx, k) LEFT JOIN dense n ON n.tile_id = g.tile_id AND n.y = g.y + dy AND n.x = g.x + dx GROUP BY ALL"
@@ -144,7 +174,7 @@ MOST_LINKED = "SELECT id AS closed FROM deg ORDER BY degree DESC, id LIMIT {n}"
 LINKED = lambda n: [*graph("edges", DEGREE), ("closures", MOST_LINKED.format(n=n))]
 
 ROADS = [int(S * s) for s in (0.25, 0.5, 0.75)], [int(S * s) for s in (0.2, 0.5, 0.8)]
-BENDS = [(int(S * 0.1), int(S * 0.1)), (int(S * 0.4), int(S * 0.6)), (int(S * 0.9), int(S * 0.9))]
+BENDS = [(int(S * b), int(S * a)) for a, b in ((0.1, 0.1), (0.4, 0.35), (0.7, 0.85))]
 
 
 def near_segment(a: tuple[int, int], b: tuple[int, int]) -> str:
@@ -158,7 +188,7 @@ ROAD = " OR ".join([*(f"abs(y - {r}) <= 3.5" for r in ROADS[0]), *(f"abs(x - {c}
 
 def image(k: int) -> str:
     parts = ", ".join(f"CAST(sum({c}) * {k} % 256 AS INT) AS {n}" for n, c in (("r", "l_partkey"), ("g", "l_suppkey"), ("b", "l_orderkey")))
-    return f"SELECT 0 AS tile_id, CAST(l_partkey % {S} AS INT) AS y, CAST(l_orderkey % {S} AS INT) AS x, {parts} FROM lineitem WHERE l_quantity <= 5 GROUP BY 1, 2, 3"
+    return f"SELECT {tile(SPARSE)} AS tile_id, CAST(l_partkey % {S} AS INT) AS y, CAST(l_orderkey % {S} AS INT) AS x, {parts} FROM lineitem GROUP BY 1, 2, 3"
 
 
 CLOSE = [
@@ -177,10 +207,11 @@ CLOSE = [
 ]
 
 SQL: dict[str, str] = {
-    "graph_summary": with_views("edges", [*G, *graph("edges", REACH, LABELS)], "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT component) FROM labels) AS components"),
+    "graph_summary": with_views("broken_edges all_nodes", [*GA, *graph("broken_edges", REACH, LABELS)], "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM broken_edges) AS edges, (SELECT count(DISTINCT component) FROM labels) AS components"),
     "connected_components": with_views("edges", [*G, *graph("edges", REACH, LABELS)], "SELECT node, component FROM labels"),
     "node_degree": with_views("edges gpos", graph("edges", DEGREE), "SELECT id, coalesce(degree, 0) AS degree FROM gpos LEFT JOIN deg USING (id)"),
     "betweenness": with_views("edges", BC, "SELECT id, round(score, 6) AS score FROM score"),
+    "betweenness_with_lone_nodes": with_views("broken_edges all_nodes", [*GA, *graph("broken_edges", DIST), *SCORE], "SELECT id, round(score, 6) AS score FROM score"),
     "gatekeeper_topn": with_views("edges gpos", [*BC, *graph("edges", DEGREE)], f"SELECT id, round(round(score, 9), 6) AS score, degree, round(y, 6) AS y, round(x, 6) AS x, degree <= 1 AS is_endpoint FROM score JOIN deg USING (id) JOIN gpos USING (id) {RANK} LIMIT 10"),
     "top_gatekeeper": with_views("edges", BC, f"SELECT id, round(round(score, 9), 6) AS score FROM score {RANK} LIMIT 1"),
     "node_closure": with_views(
@@ -195,8 +226,15 @@ SQL: dict[str, str] = {
         ("t", "SELECT connected, d, sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) * 10 AS direct FROM attempts JOIN gpos a ON a.id = u JOIN gpos b ON b.id = v LEFT JOIN dist ON s = u AND n = v")],
         "SELECT round(coalesce(avg(CASE WHEN connected THEN abs(d - direct) / greatest(direct, 1e-3) END), 0) * 100, 6) AS mean_error_pct, round(100.0::DOUBLE * sum(CAST(connected AS INT)) / count(*), 6) AS reachable_pct FROM t",
     ),
-    "reachability": with_views("broken_edges", [*GB, *graph("broken_edges", REACH, LABELS)], "SELECT a, b, x.component = y.component AS reachable FROM (SELECT DISTINCT u AS a FROM broken_edges), (SELECT DISTINCT v AS b FROM broken_edges) JOIN labels x ON x.node = a JOIN labels y ON y.node = b WHERE a < b"),
-    "shortest_paths": with_views("edges", [*G, *graph("edges", DIST)], "SELECT s AS src, n AS node, d AS dist FROM dist WHERE s IN (SELECT id FROM nodes ORDER BY id LIMIT 5)"),
+    "topological_accuracy_of_truth": with_views(
+        "broken_edges edges gpos all_nodes", [*GA, *graph("broken_edges", REACH, LABELS, DIST), ("closures", "SELECT CAST(NULL AS BIGINT) AS closed"), *od(50, 50),
+        ("tsym", "SELECT u, v, w FROM edges UNION ALL SELECT v, u, w FROM edges"), ("tn", "SELECT DISTINCT u AS id FROM tsym"),
+        (DIST[0].replace("dist", "tdist"), DIST[1].replace("sym", "tsym").replace("FROM nodes", "FROM tn").replace("dist", "tdist")),
+        ("t", "SELECT connected, dist.d AS d, coalesce(tdist.d, sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) * 10) AS direct FROM attempts JOIN gpos a ON a.id = u JOIN gpos b ON b.id = v LEFT JOIN dist ON dist.s = u AND dist.n = v LEFT JOIN tdist ON tdist.s = u AND tdist.n = v")],
+        "SELECT round(coalesce(avg(CASE WHEN connected THEN abs(d - direct) / greatest(direct, 1e-3) END), 0) * 100, 6) AS mean_error_pct, round(100.0::DOUBLE * sum(CAST(connected AS INT)) / count(*), 6) AS reachable_pct FROM t",
+    ),
+    "reachability": with_views("broken_edges all_nodes", [*GA, *graph("broken_edges", REACH, LABELS), ("closures", "SELECT CAST(NULL AS BIGINT) AS closed"), *od(200, 200)], "SELECT attempt, u, v, connected AS reachable FROM attempts"),
+    "shortest_paths": with_views("edges", [*G, *graph("edges", DIST)], "SELECT s AS src, n AS node, d AS dist FROM dist"),
     "parallel_edge_min": with_views("multi_edges", [], "SELECT least(u, v) AS u, greatest(u, v) AS v, min(length) AS weight, arg_min(highway, (length, highway)) AS highway FROM multi_edges GROUP BY 1, 2"),
     "affected_km": with_views("edges", G, "SELECT u AS id, round(sum(w) / 1000, 6) AS km FROM sym GROUP BY 1"),
     "node_removal": with_views("edges", LINKED(3), "SELECT closed, u, v, w FROM edges, closures WHERE u <> closed AND v <> closed"),
@@ -206,7 +244,7 @@ SQL: dict[str, str] = {
     "node_style": with_views("edges", [*G, *LINKED(5)], "SELECT id, CASE WHEN id = (SELECT closed FROM closures LIMIT 1) THEN 'red' WHEN id IN (SELECT closed FROM closures) THEN 'orange' ELSE 'blue' END AS colour, CASE WHEN id = (SELECT closed FROM closures LIMIT 1) THEN 10 WHEN id IN (SELECT closed FROM closures) THEN 7 ELSE 4 END AS radius FROM nodes"),
     "kpi_flags": "SELECT l_orderkey, l_linenumber, 1 - l_discount * 3 < 0.8 AS index_low, l_tax * 100 > 5 AS impact_high FROM lineitem",
     "validate_location": "SELECT c_custkey, c_acctbal / 100 BETWEEN -90 AND 90 AND c_custkey % 400 - 200 BETWEEN -180 AND 180 AND c_custkey * 7 % 6000 BETWEEN 100 AND 5000 AS valid FROM customer",
-    "binarize_threshold": f"WITH s AS (SELECT CAST(l_linenumber % 2 AS INT) AS tile_id, CAST(l_partkey % {S} AS INT) AS y, CAST(l_orderkey % {S} AS INT) AS x, max(CASE WHEN l_linenumber % 2 = 0 THEN l_discount * 10 ELSE l_discount * 2550 END) AS p FROM lineitem WHERE l_quantity <= 3 GROUP BY 1, 2, 3), t AS (SELECT *, max(p) OVER (PARTITION BY tile_id) AS top FROM s) SELECT tile_id, y, x FROM t WHERE p > CASE WHEN top > 1 THEN 0.5 * 255 ELSE 0.5 END",
+    "binarize_threshold": f"WITH q AS (SELECT {tile(DENSE)} AS tile_id, CAST(l_partkey % {S} AS INT) AS y, CAST(l_orderkey % {S} AS INT) AS x, max(l_discount) AS p FROM lineitem GROUP BY 1, 2, 3), s AS (SELECT tile_id, y, x, CASE WHEN tile_id % 2 = 0 THEN p * 10 ELSE p * 2550 END AS p FROM q), t AS (SELECT *, max(p) OVER (PARTITION BY tile_id) AS top FROM s) SELECT tile_id, y, x FROM t WHERE p > CASE WHEN top > 1 THEN 0.5 * 255 ELSE 0.5 END",
     "occlusion_mask": f"WITH a AS ({image(1)}), b AS ({image(2)}) SELECT tile_id, y, x FROM a JOIN b USING (tile_id, y, x) WHERE (abs(a.r - b.r) + abs(a.g - b.g) + abs(a.b - b.b)) / 3 > 60",
     "overlay_roads": with_views("mask", [("i", image(1))], "SELECT i.tile_id, i.y, i.x, " + ", ".join(f"CAST(CASE WHEN mask.y IS NULL THEN {c} ELSE floor({c} * (1 - 0.6::DOUBLE) + 200 * 0.6::DOUBLE) END AS INT) AS {c}" for c in "rgb") + " FROM i LEFT JOIN mask ON mask.tile_id = i.tile_id AND mask.y = i.y AND mask.x = i.x"),
     "mask_summary": with_views("mask", [], "SELECT tile_id, count(*) AS road_pixels FROM mask GROUP BY 1"),
@@ -216,13 +254,18 @@ SQL: dict[str, str] = {
     "running_best": "SELECT event_id, coalesce(value >= max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM events",
     "endpoint_trajectory": with_views("broken_edges gpos", [*GB, *graph("broken_edges", DEGREE), *WAYS], "SELECT id, round(dy, 6) AS dy, round(dx, 6) AS dx FROM ways"),
     "angular_deviation": "SELECT vec_id, round(degrees(acos(greatest(-1, least(1, (a * c + b * d) / sqrt(a * a + b * b) / sqrt(c * c + d * d))))), 4) AS degrees FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[4] AS DOUBLE) AS d FROM embeddings)",
-    "endpoint_range_join": with_views("broken_edges gpos", bridges(60, 90), "SELECT u, v, round(dist, 6) AS dist FROM near"),
-    "candidate_bridges": with_views("broken_edges gpos", bridges(60, 90), f"SELECT {SHOWN} FROM cand"),
-    "heal_bridges": with_views("broken_edges gpos", forest(60, 90), f"SELECT {SHOWN} FROM forest"),
-    "heal_bridges_narrow": with_views("broken_edges gpos", forest(30, 45), f"SELECT {SHOWN} FROM forest"),
-    "heal_bridges_strict": with_views("broken_edges gpos", forest(60, 90, True), f"SELECT {SHOWN} FROM forest"),
+    "endpoint_range_join": with_views("broken_edges gpos all_nodes", bridges(60, 90), "SELECT u, v, round(dist, 6) AS dist FROM near"),
+    "candidate_bridges": with_views("broken_edges gpos all_nodes", bridges(60, 90), f"SELECT {SHOWN} FROM cand"),
+    "heal_bridges": with_views("broken_edges gpos all_nodes", forest(60, 90), f"SELECT {SHOWN} FROM forest"),
+    "heal_bridges_narrow": with_views("broken_edges gpos all_nodes", forest(30, 45), f"SELECT {SHOWN} FROM forest"),
+    "heal_bridges_strict": with_views("broken_edges gpos all_nodes", forest(60, 90, True), f"SELECT {SHOWN} FROM forest"),
+    "heal_bridges_of_one_component": with_views("edges gpos", [], "SELECT CAST(0 AS BIGINT) AS u, CAST(0 AS BIGINT) AS v, 0::DOUBLE AS dist, 0::DOUBLE AS angle_u, 0::DOUBLE AS angle_v FROM edges WHERE false"),
+    "heal_summary": with_views(
+        "broken_edges gpos all_nodes", [*forest(60, 90), *graph("broken_edges", REACH, LABELS), ("s2", "SELECT u, v FROM sym UNION SELECT u, v FROM forest UNION SELECT v, u FROM forest"), ("r2(s, n) AS", "SELECT id, id FROM nodes UNION SELECT s, v FROM r2 JOIN s2 ON s2.u = n")],
+        "SELECT (SELECT count(*) FROM forest) AS healed_edges_added, (SELECT count(DISTINCT component) FROM labels) AS components_before, (SELECT count(DISTINCT m) FROM (SELECT s, min(n) AS m FROM r2 GROUP BY s)) AS components_after, (SELECT count(*) FROM cand) AS candidate_bridges_evaluated",
+    ),
     "connectivity_ratio": with_views(
-        "broken_edges gpos", [*forest(60, 90), *graph("broken_edges", REACH, LABELS), ("s2", "SELECT u, v FROM sym UNION SELECT u, v FROM forest UNION SELECT v, u FROM forest"), ("r2(s, n) AS", "SELECT id, id FROM nodes UNION SELECT s, v FROM r2 JOIN s2 ON s2.u = n"),
+        "broken_edges gpos all_nodes", [*forest(60, 90), *graph("broken_edges", REACH, LABELS), ("s2", "SELECT u, v FROM sym UNION SELECT u, v FROM forest UNION SELECT v, u FROM forest"), ("r2(s, n) AS", "SELECT id, id FROM nodes UNION SELECT s, v FROM r2 JOIN s2 ON s2.u = n"),
         ("a", "SELECT max(k) AS k FROM (SELECT component, count(*) AS k FROM labels GROUP BY 1)"), ("b", "SELECT max(k) AS k FROM (SELECT m, count(*) AS k FROM (SELECT s, min(n) AS m FROM r2 GROUP BY 1) GROUP BY 1)")],
         "SELECT a.k AS largest_before, b.k AS largest_after, round(b.k / a.k, 6) AS connectivity_gain, round(b.k / (SELECT count(*) FROM nodes), 6) AS connectivity_coverage FROM a, b",
     ),
@@ -239,6 +282,8 @@ SQL: dict[str, str] = {
     "flip_rotate": with_views("mask", [], f"SELECT tile_id, 'horizontal' AS variant, y, {S - 1} - x AS x FROM mask UNION ALL SELECT tile_id, 'vertical', {S - 1} - y, x FROM mask UNION ALL SELECT tile_id, 'rot90', {S - 1} - x, y FROM mask"),
     "morph_skeleton": with_views("mask", MORPH, " UNION ".join(f"SELECT tile_id, y, x FROM s{k}" for k in range(12))),
     "thinning_step": with_views("mask", [ADJ, *THIN], f"SELECT tile_id, y, x FROM ring WHERE NOT ({COUNT} BETWEEN 2 AND 6 AND {TURNS} = 1 AND p0 * p2 * p4 = 0 AND p2 * p4 * p6 = 0)"),
+    "skeletonize": with_views("mask", [step for k in range(THIN_STEPS) for step in thin(k)], f"SELECT tile_id, y, x FROM thin{THIN_STEPS}"),
+    "skeleton_nodes": with_views("mask", [ADJ, KIND], f"SELECT {pid('tile_id', 'y', 'x')} AS id, tile_id, y, x, degree, degree <= 1 AS is_endpoint FROM kind WHERE degree <> 2"),
     "skeleton_graph": with_views(
         "mask", [ADJ, KIND,
         ("links", f"SELECT {pid('a.tile_id', 'a.y', 'a.x')} AS a, {pid('a.tile_id', 'a.ny', 'a.nx')} AS b, k.degree = 2 AS inside, m.degree = 2 AS n_inside, sqrt(abs(a.y - a.ny) + abs(a.x - a.nx)) AS step FROM adj a JOIN kind k ON k.tile_id = a.tile_id AND k.y = a.y AND k.x = a.x JOIN kind m ON m.tile_id = a.tile_id AND m.y = a.ny AND m.x = a.nx"),
@@ -248,6 +293,24 @@ SQL: dict[str, str] = {
         "SELECT u, v, round(min(len) * 10, 6) AS weight, round(min(len), 6) AS length_px FROM every GROUP BY 1, 2",
     ),
     "polyline_length": "WITH s AS (SELECT l_orderkey AS path_id, sqrt((l_partkey % 97 - lag(l_partkey % 97) OVER w) ** 2 + (l_suppkey % 89 - lag(l_suppkey % 89) OVER w) ** 2) AS step FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 97, l_suppkey % 89)) SELECT path_id, round(coalesce(sum(step), 0), 6) AS length FROM s GROUP BY 1",
+    "rasterize_ways": f"WITH p AS (SELECT {tile(SPARSE)} AS tile_id, l_orderkey AS way, l_linenumber AS pos, CAST(l_orderkey % 48 + l_suppkey % 16 AS DOUBLE) AS y, CAST(l_linenumber * 9 - 8 AS DOUBLE) AS x FROM lineitem), "
+    "s AS (SELECT tile_id, y AS ya, x AS xa, lead(y) OVER w AS yb, lead(x) OVER w AS xb FROM p WINDOW w AS (PARTITION BY tile_id, way ORDER BY pos, y, x)), "
+    f"c AS (SELECT s.*, unnest(range(greatest(0, CAST(floor(least(ya, yb) - 1.5) AS INT)), least({S - 1}, CAST(ceil(greatest(ya, yb) + 1.5) AS INT)) + 1)) AS y FROM s WHERE yb IS NOT NULL), "
+    f"d AS (SELECT c.*, unnest(range(greatest(0, CAST(floor(least(xa, xb) - 1.5) AS INT)), least({S - 1}, CAST(ceil(greatest(xa, xb) + 1.5) AS INT)) + 1)) AS x FROM c), "
+    "t AS (SELECT *, CASE WHEN ya = yb AND xa = xb THEN 0 ELSE greatest(0, least(1, ((y - ya) * (yb - ya) + (x - xa) * (xb - xa)) / greatest((yb - ya) ** 2 + (xb - xa) ** 2, 1e-9))) END AS k FROM d) "
+    "SELECT DISTINCT tile_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM t WHERE (y - (ya + k * (yb - ya))) ** 2 + (x - (xa + k * (xb - xa))) ** 2 <= 2.25",
+    "normalise": f"WITH i AS ({image(1)}) SELECT tile_id, y, x, round(r / 255, 6) AS r, round(g / 255, 6) AS g, round(b / 255, 6) AS b FROM i",
+    "swap_channels": f"WITH i AS ({image(1)}) SELECT tile_id, y, x, b AS r, g, r AS b FROM i",
+    "augment": f"WITH i AS ({image(1)}), d AS (SELECT tile_id, {chance('horizontal')} < 0.5 AS h, {chance('vertical')} < 0.5 AS v, CASE WHEN {chance('turn')} < 0.5 THEN CAST(floor(4 * {chance('quarters')}) AS INT) ELSE 0 END AS q, {chance('bright')} < 0.3 AS l, 1 + 0.2::DOUBLE * (2 * {chance('scale')} - 1) AS k, 255 * 0.2::DOUBLE * (2 * {chance('shift')} - 1) AS m FROM (SELECT DISTINCT tile_id FROM i)), "
+    f"f AS (SELECT i.tile_id, CASE WHEN v THEN {S - 1} - y ELSE y END AS y, CASE WHEN h THEN {S - 1} - x ELSE x END AS x, q, " + ", ".join(f"CASE WHEN l THEN CAST(least(255, greatest(0, floor({c} * k + m))) AS INT) ELSE {c} END AS {c}" for c in "rgb") + " FROM i JOIN d USING (tile_id)) "
+    f"SELECT tile_id, CAST(CASE q WHEN 1 THEN {S - 1} - x WHEN 2 THEN {S - 1} - y WHEN 3 THEN x ELSE y END AS INT) AS y, CAST(CASE q WHEN 1 THEN y WHEN 2 THEN {S - 1} - x WHEN 3 THEN {S - 1} - y ELSE x END AS INT) AS x, r, g, b FROM f",
+    "side_by_side": with_views("mask pred", [], f"SELECT tile_id, y, x, 255 AS r, 255 AS g, 255 AS b FROM mask UNION ALL SELECT tile_id, y, CAST(x + {S} AS INT), 127, 127, 127 FROM pred"),
+    "gaussian_blur": with_views("dense", [("k(dy, dx, w)", "VALUES " + ", ".join(f"({dy}, {dx}, {w!r}::DOUBLE)" for dy, dx, w in gaussian_kernel(5, 1.0)))],
+        "SELECT g.tile_id, g.y, g.x, round(sum(n.p * w), 6) AS p FROM dense g CROSS JOIN k JOIN dense n ON n.tile_id = g.tile_id "
+        f"AND n.y = CASE WHEN g.y + dy < 0 THEN -(g.y + dy) WHEN g.y + dy > {S - 1} THEN {2 * S - 2} - (g.y + dy) ELSE g.y + dy END AND n.x = CASE WHEN g.x + dx < 0 THEN -(g.x + dx) WHEN g.x + dx > {S - 1} THEN {2 * S - 2} - (g.x + dx) ELSE g.x + dx END GROUP BY ALL"),
+    "resize": with_views("dense", [("wy", cubic(24)), ("wx", cubic(40))], "SELECT tile_id, CAST(wy.k AS INT) AS y, CAST(wx.k AS INT) AS x, round(sum(p * wy.w * wx.w), 6) AS p FROM dense JOIN wy ON wy.j = y JOIN wx ON wx.j = x GROUP BY 1, 2, 3"),
+    "epoch_means": "SELECT l_linenumber AS epoch, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS loss FROM lineitem GROUP BY 1",
+    "sample_rows": "SELECT p_partkey, p_name FROM part ORDER BY md5(concat(p_partkey, '-42')), p_partkey LIMIT 5",
     "synthetic_road_mask": f"SELECT 0 AS tile_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM range({S}) a(y), range({S}) b(x) WHERE {ROAD}",
     "grid_graph": "WITH e AS (SELECT i AS u, i + 1 AS v FROM range(36) r(i) WHERE i % 6 < 5 UNION ALL SELECT i, i + 6 FROM range(30) r(i)) SELECT u, v, 50 + CAST('0x' || substr(md5(concat(u, '-', v)), 1, 8) AS BIGINT) % 151 AS w FROM e",
     "dice_loss": with_views("dense", [], f"SELECT round({DICE}, 6) AS dice_loss"),
@@ -256,6 +319,6 @@ SQL: dict[str, str] = {
     "connectivity_loss": with_views("dense", LAPS, f"SELECT round({CONN}, 6) AS connectivity_loss"),
     "composite_loss": with_views("dense", [*EDGE, *LAPS], f"SELECT round({DICE}, 6) AS dice_loss, round({BCE}, 6) AS bce_loss, round({BOUND}, 6) AS boundary_loss, round({CONN}, 6) AS connectivity_loss, round({DICE} * 1.0 + {BCE} * 0.5 + {BOUND} * 0.2 + {CONN} * 0.1, 6) AS total_loss"),
     "sobel_edges": with_views("dense", EDGE, "SELECT tile_id, y, x, round(edge_p, 6) AS edge_p, round(edge_t, 6) AS edge_t FROM sob"),
-    "laplacian": with_views("dense", LAPS, "SELECT tile_id, y, x, round(lp, 6) AS lap_p, round(lt, 6) AS lap_t FROM lp JOIN lt USING (tile_id, y, x)"),
+    "laplacian": with_views("dense", LAPS, "SELECT tile_id, y, x, round(lp, 6) + 0.0::DOUBLE AS lap_p, round(lt, 6) + 0.0::DOUBLE AS lap_t FROM lp JOIN lt USING (tile_id, y, x)"),
     "graphml_roundtrip": with_views("edges", [], "SELECT u, v, CAST(w AS DOUBLE) AS weight, round(w / 10, 6) AS length_px, false AS healed FROM edges"),
 }

@@ -1,4 +1,10 @@
-"""Graph and raster stand-ins derived from the plain tables, the same definition for both engines."""
+"""Graph and raster stand-ins derived from whole plain tables, the same definition for both engines.
+
+The network links each supplier with the two that it shares most orders with;
+the broken one keeps only a supplier's first choice, and only where it is
+among the other's first three. A line of an order is a pixel; tiles hold a
+range of orders, so their number grows with the table.
+"""
 
 from __future__ import annotations
 
@@ -6,32 +12,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIDE = 64
-PAIRS = (
-    "SELECT a.l_suppkey AS u, b.l_suppkey AS v, CAST(round(100 * min(a.l_extendedprice)) AS BIGINT) AS w "
-    "FROM {t} a JOIN {t} b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey WHERE a.l_quantity >= {q} AND b.l_quantity >= {q} GROUP BY 1, 2"
+#: Orders of a sparse tile (masks) and of a dense one (images, scores).
+SPARSE, DENSE = 128, 1024
+
+PARTNERS = (
+    "WITH pairs AS (SELECT a.l_suppkey AS u, b.l_suppkey AS v, count(*) AS n, CAST(round(100 * min(least(a.l_extendedprice, b.l_extendedprice))) AS BIGINT) AS w "
+    "FROM {t} a JOIN {t} b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2), "
+    "ranked AS (SELECT u, v, w, row_number() OVER (PARTITION BY u ORDER BY n DESC, v) AS r FROM pairs) "
 )
-PIXELS = f"SELECT DISTINCT CAST(l_linenumber % 2 AS INT) AS tile_id, CAST(l_partkey % {SIDE} AS INT) AS y, CAST(l_orderkey % {SIDE} AS INT) AS x FROM {{t}} WHERE l_quantity = {{q}}"
+EDGES = PARTNERS + "SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v, w FROM ranked WHERE r <= 2"
+BROKEN = PARTNERS + "SELECT DISTINCT least(a.u, a.v) AS u, greatest(a.u, a.v) AS v, a.w AS w FROM ranked a JOIN ranked b ON a.u = b.v AND a.v = b.u WHERE a.r = 1 AND b.r <= 3"
+
+
+def tile(orders: int) -> str:
+    return f"CAST(floor(l_orderkey / {orders}) AS INT)"
+
+
+def pixels(y: str) -> str:
+    return f"SELECT DISTINCT {tile(SPARSE)} AS tile_id, CAST({y} AS INT) AS y, CAST(l_orderkey % {SIDE} AS INT) AS x FROM {{t}}"
+
+
+AT = f"{tile(DENSE)} AS tile_id, CAST(l_partkey % {SIDE} AS INT) AS y, CAST(l_orderkey % {SIDE} AS INT) AS x"
+SCORED = f"SELECT {AT}, 0.05 + 9 * max(l_discount) AS p, max(CASE WHEN l_returnflag = 'R' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS t FROM {{t}} GROUP BY 1, 2, 3"
+FROM_LINES = {
+    "edges": EDGES,
+    "broken_edges": BROKEN,
+    "mask": pixels(f"l_partkey % {SIDE}"),
+    "pred": pixels(f"(l_partkey + CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END) % {SIDE}"),
+    "occ": pixels(f"l_suppkey % {SIDE}"),
+    "scored": SCORED,
+}
 
 #: DuckDB definitions, used in WITH clauses in this order.
-SQL = {
-    "edges": PAIRS.format(t="lineitem", q=49),
-    "broken_edges": PAIRS.format(t="lineitem", q=50),
+SQL = {n: sql.format(t="lineitem") for n, sql in FROM_LINES.items()} | {
+    "all_nodes": "SELECT s_suppkey AS id FROM supplier",
     "gpos": "SELECT vec_id AS id, 100 * CAST(embedding[1] AS DOUBLE) AS y, 100 * CAST(embedding[2] AS DOUBLE) AS x FROM embeddings",
-    "mask": PIXELS.format(t="lineitem", q=1),
-    "pred": PIXELS.format(t="lineitem", q=2),
-    "occ": PIXELS.format(t="lineitem", q=3),
     "multi_edges": "SELECT l_suppkey AS u, l_partkey % 100 AS v, l_extendedprice AS length, l_returnflag AS highway FROM lineitem",
-    "grid": f"SELECT CAST(t AS INT) AS tile_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM range(2) a(t), range({SIDE}) b(y), range({SIDE}) c(x)",
-    "dense": "SELECT g.*, CASE WHEN pred.y IS NULL THEN 0.1::DOUBLE ELSE 0.8::DOUBLE END AS p, CASE WHEN mask.y IS NULL THEN 0::DOUBLE ELSE 1::DOUBLE END AS t FROM grid g LEFT JOIN pred USING (tile_id, y, x) LEFT JOIN mask USING (tile_id, y, x)",
+    "grid": f"SELECT tile_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM (SELECT DISTINCT tile_id FROM scored), range({SIDE}) b(y), range({SIDE}) c(x)",
+    "dense": "SELECT g.tile_id, g.y, g.x, coalesce(p, 0.05::DOUBLE) AS p, coalesce(t, 0::DOUBLE) AS t FROM grid g LEFT JOIN scored USING (tile_id, y, x)",
 }
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    if name in ("edges", "broken_edges"):
-        return spark.sql(PAIRS.replace("{q}", "49" if name == "edges" else "50"), t=read("lineitem"))
-    if name in ("mask", "pred", "occ"):
-        return spark.sql(PIXELS.replace("{q}", str(1 + ["mask", "pred", "occ"].index(name))), t=read("lineitem"))
+    if name in FROM_LINES:
+        return spark.sql(FROM_LINES[name], t=read("lineitem"))
+    if name == "all_nodes":
+        return read("supplier").select(F.col("s_suppkey").alias("id"))
     if name == "gpos":
         return read("embeddings").select(F.col("vec_id").alias("id"), *((100 * F.element_at("embedding", k).cast("double")).alias(c) for k, c in ((1, "y"), (2, "x"))))
     if name == "multi_edges":
@@ -39,9 +66,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "dense":
         from ..operators.raster import PIXEL, grid
 
-        cells = grid(spark, [0, 1], SIDE, SIDE)
-        cells = cells.join(view(spark, sf_dir, "pred").withColumn("hp", F.lit(True)), PIXEL, "left").join(view(spark, sf_dir, "mask").withColumn("ht", F.lit(True)), PIXEL, "left")
-        return cells.select(*PIXEL, F.when(F.col("hp"), 0.8).otherwise(0.1).alias("p"), F.when(F.col("ht"), 1.0).otherwise(0.0).alias("t"))
+        scored = view(spark, sf_dir, "scored")
+        cells = grid(read("lineitem").selectExpr(f"{tile(DENSE)} AS tile_id").distinct(), SIDE, SIDE)
+        return cells.join(scored, PIXEL, "left").select(*PIXEL, F.coalesce("p", F.lit(0.05)).alias("p"), F.coalesce("t", F.lit(0.0)).alias("t"))
     raise KeyError(name)
 
 
@@ -49,6 +76,6 @@ def with_views(names: str, more: list[tuple[str, str]], final: str) -> str:
     """A DuckDB statement over the named views and further steps."""
     wanted = names.split()
     if "dense" in wanted:
-        wanted += ["grid", "pred", "mask"]
+        wanted += ["grid", "scored"]
     steps = [(n, SQL[n]) for n in SQL if n in wanted] + more
     return "WITH RECURSIVE " + ",\n".join(f"{n} ({sql})" if n.endswith("AS") else f"{n} AS ({sql})" for n, sql in steps) + "\n" + final
