@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from waymend.llm.decontaminate import contaminated, decontaminate
 from waymend.llm.minhash import near_duplicates
 from waymend.llm.mixing import mixed_documents
 from waymend.llm.quality import fit, quality_rules
-from waymend.llm.session import checkpoint_dir, table
+from waymend.llm.session import shared_folder, table
 from waymend.llm.sharding import shard_rows
 from waymend.session import with_library
 
@@ -26,13 +24,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of smallest id. Rows of a null id stay."""
-    groups = near_duplicates(docs, shingle=SHINGLE_WORDS)
-    keepers = groups.where("doc_id = component_id").select("doc_id")
-    again = not keepers.groupBy("doc_id").count().where("count > 1").isEmpty()
-    kept = docs.join(keepers.distinct() if again else keepers, "doc_id", "left_semi")
-    kept = kept.dropDuplicates(["doc_id"]) if again else kept
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One document of each group of near-duplicates: the one of smallest id. Rows of a null id stay.
+
+    Where a doc_id stands more than once, its rows are told apart by their
+    texts: of rows that are equal in both one stays, of others only those that are near-duplicates go.
+    """
+    own = docs.where("doc_id IS NOT NULL")
+    if own.groupBy("doc_id").count().where("count > 1").isEmpty():
+        keepers = near_duplicates(own, shingle=SHINGLE_WORDS).where("doc_id = component_id").select("doc_id")
+        kept = own.join(keepers, "doc_id", "left_semi")
+    else:
+        key = F.concat_ws("-", F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lpad(F.hex(F.xxhash64("text")), 16, "0"))
+        named = own.withColumn("__key", key)
+        keepers = near_duplicates(named, "__key", shingle=SHINGLE_WORDS).where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
+        kept = named.join(keepers, "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again."""
+    """All stages over documents, each written as Parquet in a folder of the shared one, which goes with the session, and read again."""
     with_library(spark)
     docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v", most_roun
     for _ in range(most_rounds):
         both = stars.unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
+        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y")
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").unionByName(least.select("x", F.col("m").alias("y"))).distinct()
         stars = cut(small)
