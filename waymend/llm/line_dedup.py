@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import chunks, ranges, row_of
+from .kernels import chunks, row_of
 from .session import cut, table
 
 LEAST_CHARS = 40
@@ -116,16 +116,17 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_gone = np.diff(np.asarray(gone.offsets))
             kept[np.asarray(gone.flatten()) + np.repeat(bounds[:-1], n_gone)] = False
             of = row_of(bounds)
-            taken = np.flatnonzero(kept)
-            keep = np.zeros(len(values), bool)
-            keep[ranges(starts[taken], size[taken])] = True
+            keep = np.repeat(kept, size)
+            size[~kept] = 0
             # The break behind a row's last kept line goes, unless it is the row's last line.
+            taken = np.flatnonzero(kept)
             final = np.ones(len(taken), bool)
             final[:-1] = of[taken][1:] != of[taken][:-1]
-            cut_ = taken[final]
-            cut_ = cut_[~last[cut_]]
-            keep[stops[cut_] - 1] = False
-            where = np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int32)
+            ends = taken[final]
+            ends = ends[~last[ends]]
+            keep[stops[ends] - 1] = False
+            size[ends] -= 1
+            where = np.concatenate([[0], np.cumsum(size)])[bounds].astype(np.int32)
             text = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(where), pa.py_buffer(values[keep])])
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(row, n), pa.array(per_row), pa.array(n_gone.astype(np.int64)), text], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
 
