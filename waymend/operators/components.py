@@ -66,6 +66,21 @@ def graph_summary(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame
     return counts.crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges")))).select("nodes", "edges", "components")
 
 
+def _roots(choices: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """c, p: the root that each c reaches where every c chose p and only two that chose each other form a ring; the lesser of these is the root."""
+    back = choices.select(F.col("c").alias("p"), F.col("p").alias("back"))
+    now = choices.join(back, "p").select("c", F.when(F.col("back") == F.col("c"), F.least("c", "p")).otherwise(F.col("p")).alias("p"))
+    for _ in range(most_rounds):
+        for _ in range(2):
+            now = now.join(now.select(F.col("c").alias("p"), F.col("p").alias("q")), "p").select("c", F.col("q").alias("p"))
+        step = now.join(now.select(F.col("c").alias("p"), F.col("p").alias("q")), "p").select("c", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved"))
+        step = cut(step)
+        now = step.select("c", "p")
+        if step.where("moved").isEmpty():
+            return now
+    raise RuntimeError("roots did not settle")
+
+
 def spanning_forest(candidates: DataFrame, labels: DataFrame | None = None, most_rounds: int = 40) -> DataFrame:
     """The candidates (u, v, dist) of the minimum spanning forest in the order (dist, u, v), by Boruvka rounds.
 
@@ -86,11 +101,12 @@ def spanning_forest(candidates: DataFrame, labels: DataFrame | None = None, most
         right = place.select(F.col("node").alias("v"), F.col("component").alias("cv"))
         across = cut(open_.join(left, "u").join(right, "v").where("cu <> cv"))
         both = across.select("cu", F.struct("dist", "u", "v", "cu", "cv").alias("e")).union(across.select("cv", F.struct("dist", "u", "v", "cu", "cv")))
-        best = cut(both.groupBy("cu").agg(F.min("e").alias("e")).select("e.*").distinct())
+        best = cut(both.groupBy("cu").agg(F.min("e").alias("e")))
         if best.isEmpty():
             break
-        taken = best.select("u", "v", "dist") if taken is None else taken.unionByName(best.select("u", "v", "dist"))
-        merged = connected_components(best, "cu", "cv")
-        place = cut(place.join(merged.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left").select("node", F.coalesce("into", "component").alias("component")))
+        edges = best.select("e.u", "e.v", "e.dist").distinct()
+        taken = edges if taken is None else taken.unionByName(edges)
+        into = _roots(best.select(F.col("cu").alias("c"), F.when(F.col("e.cu") == F.col("cu"), F.col("e.cv")).otherwise(F.col("e.cu")).alias("p")))
+        place = cut(place.join(into.withColumnRenamed("c", "component"), "component", "left").select("node", F.coalesce("p", "component").alias("component")))
         open_ = across.select("u", "v", "dist")
     return candidates.limit(0).select("u", "v", "dist") if taken is None else taken.distinct()
