@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from waymend.operators import geometry, paths, relational
+from waymend import session
+from waymend.operators import around, geometry, paths, relational
 from waymend.operators.components import connected_components, graph_summary, node_degree, spanning_forest
 
 EDGES = "u long, v long, w long"
@@ -151,3 +152,94 @@ def test_graphml_roundtrip(spark):
     edges = spark.createDataFrame([(1, 2, 100.0, 10.0, True)], "u long, v long, weight double, length_px double, healed boolean")
     n, e = read_graphml(spark, write_graphml(nodes, edges))
     assert rows(n) == rows(nodes) and rows(e) == rows(edges)
+
+
+def test_nodes_without_edges_count(spark):
+    """Betweenness, coverage, draws and healing over a network with two lone nodes."""
+    edges = spark.createDataFrame([(0, 1, 10), (1, 2, 10)], EDGES)
+    nodes = spark.createDataFrame([(k,) for k in range(5)], "id long")
+    assert dict(rows(paths.betweenness(edges, nodes))) == {0: 0.0, 1: pytest.approx(2 / (4 * 3)), 2: 0.0, 3: 0.0, 4: 0.0}
+    assert tuple(geometry.connectivity_ratio(edges, edges, nodes).first()) == (3, 3, 1.0, 0.6)
+    drawn = paths.od_attempts(edges, spark.createDataFrame([(None,)], "closed long"), 200, nodes).collect()
+    assert {r.u for r in drawn} | {r.v for r in drawn} == set(range(5))
+    assert all(r.connected == (r.u < 3 and r.v < 3) for r in drawn)
+    bridges = geometry.heal_bridges(edges, nodes.selectExpr("id", "0.0 AS y", "10.0 * id AS x"), distance=30.0, angle=180.0, nodes=nodes)
+    assert rows(bridges.select("u", "v")) == [(0, 2)]
+    assert tuple(geometry.heal_summary(edges, bridges, bridges, nodes).first()) == (1, 3, 3, 1)
+
+
+def test_a_whole_network_needs_no_bridge(spark):
+    edges = spark.createDataFrame([(0, 1, 10), (1, 2, 10)], EDGES)
+    places = spark.createDataFrame([(k, 0.0, 10.0 * k) for k in range(3)], PLACES)
+    assert geometry.heal_bridges(edges, places, distance=100.0, angle=180.0).isEmpty()
+    assert geometry.heal_bridges(edges.limit(0), places).isEmpty()
+
+
+def test_accuracy_against_a_truth(spark):
+    """Paths that the truth has count against it, others against ten times the straight line."""
+    edges = spark.createDataFrame([(0, 1, 110), (1, 2, 100)], EDGES)
+    truth = spark.createDataFrame([(0, 1, 100)], EDGES)
+    places = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 10.0), (2, 0.0, 20.0)], PLACES)
+    error = {(0, 1): 0.1, (1, 2): 0.0, (0, 2): 0.05}
+    drawn = [tuple(sorted((r.u, r.v))) for r in paths.od_attempts(edges, spark.createDataFrame([(None,)], "closed long"), 50).collect()]
+    r = paths.topological_accuracy(edges, places, truth).first()
+    assert r.reachable_pct == 100.0 and r.mean_error_pct == pytest.approx(100 * sum(error[p] for p in drawn) / 50)
+    assert tuple(paths.topological_accuracy(edges.limit(0), places).first()) == (0.0, 100.0)
+
+
+def test_blocks_of_sources_and_closed_searches_by_joins(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(u, v, rng.randint(1, 9)) for u in range(12) for v in range(u + 1, 12) if rng.random() < 0.3], EDGES)
+    want = dict(rows(paths.betweenness(edges)))
+    sources = spark.createDataFrame([(c, s) for c in (3, 5) for s in (0, 1)], "closed long, src long")
+    closed = rows(paths.closed_paths(edges, sources))
+    monkeypatch.setattr(paths, "GATHERED_BYTES", 0)
+    assert rows(paths.closed_paths(edges, sources)) == closed
+    nodes = edges.select("u").union(edges.select("v")).distinct().withColumnRenamed("u", "id")
+    n = nodes.count()
+    found = {}
+    for r in paths.block_dependencies(edges, nodes, n, most=n * n // 2).collect():
+        found[r.id] = found.get(r.id, 0) + r.score / ((n - 1) * (n - 2))
+    assert {k: pytest.approx(v) for k, v in want.items() if v} == {k: v for k, v in found.items() if v > 1e-12}
+
+
+def test_network_around_a_place(spark):
+    places = spark.createDataFrame([(k, 12.97, 77.59 + 0.001 * k) for k in range(8)], "id long, lat double, lon double")
+    ways = spark.createDataFrame([(1, 0, 9.0, "b"), (0, 1, 9.0, "a"), (1, 2, 5.0, "a"), (1, 1, 1.0, "a"), (3, 4, 2.0, "a"), (6, 7, 2.0, "a")], "u long, v long, length double, highway string")
+    assert rows(around.network_around(ways, places, 12.97, 77.59, 500.0)) == [(0, 1, 9.0, "a"), (1, 2, 5.0, "a")]
+    with pytest.raises(ValueError):
+        around.network_around(ways, places, 40.0, 77.59, 500.0)
+    with pytest.raises(ValueError):
+        relational.node_removal(ways.selectExpr("u", "v", "1L AS w"), places.selectExpr("id AS closed"), most=3)
+
+
+def test_no_local_checkpoint_folder_on_a_cluster():
+    """Only a local master may do without a shared folder."""
+
+    class No:
+        def isDefined(self):
+            return False
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class Inner:
+                    @staticmethod
+                    def getCheckpointDir():
+                        return No()
+
+                return Inner
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Session)

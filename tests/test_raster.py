@@ -1,6 +1,10 @@
 """Masks small enough to work out by hand."""
 
+import math
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from waymend.operators import losses, raster
 
@@ -79,6 +83,64 @@ def test_binarize_scales(spark):
 
 
 def test_losses_of_a_perfect_mask(spark):
-    dense = raster.grid(spark, [0], 6, 6).selectExpr("*", "CASE WHEN y = 3 THEN 0.999999 ELSE 0.000001 END AS p", "CASE WHEN y = 3 THEN 1.0D ELSE 0.0D END AS t")
+    dense = raster.grid(spark.createDataFrame([(0,)], "tile_id int"), 6, 6).selectExpr("*", "CASE WHEN y = 3 THEN 0.999999 ELSE 0.000001 END AS p", "CASE WHEN y = 3 THEN 1.0D ELSE 0.0D END AS t")
     r = losses.composite_loss(dense.withColumn("p", dense.p.cast("double"))).first()
     assert r.dice_loss < 1e-4 and r.bce_loss < 1e-4 and r.boundary_loss < 1e-3 and r.total_loss > 0
+
+
+def test_road_bends_and_ways(spark):
+    """The bent diagonal of the road mask passes its three bends; a way of one point draws nothing."""
+    mask = {(r.y, r.x) for r in raster.synthetic_road_mask(spark, 100, 100).collect()}
+    assert {(10, 10), (35, 40), (85, 70), (60, 55)} <= mask and (90, 90) not in mask
+    ways = [(0, 1, 0, 2.0, 2.0), (0, 1, 1, 2.0, 9.0), (0, 2, 0, 5.0, 5.0), (0, 3, 0, -4.0, 0.0), (0, 3, 1, -1.0, 3.0)]
+    drawn = raster.rasterize_ways(spark.createDataFrame(ways, "tile_id int, way_id int, pos int, y double, x double"), 12, 12, 3)
+    near = lambda y, x, a, b: math.dist((y, x), (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))) if (t := max(0, min(1, ((y - a[0]) * (b[0] - a[0]) + (x - a[1]) * (b[1] - a[1])) / math.dist(a, b) ** 2))) is not None else 0
+    want = sorted((0, y, x) for y in range(12) for x in range(12) if near(y, x, (2, 2), (2, 9)) <= 1.5 or near(y, x, (-4, 0), (-1, 3)) <= 1.5)
+    assert rows(drawn) == want
+
+
+def test_skeleton_nodes_hold_lone_pixels(spark):
+    found = raster.skeleton_nodes(spark.createDataFrame([(0, 1, 1), (0, 5, 5), (0, 5, 6), (0, 5, 7)], PIXELS)).select("y", "x", "degree", "is_endpoint")
+    assert rows(found) == [(1, 1, 0, True), (5, 5, 1, True), (5, 7, 1, True)]
+
+
+def test_blur_resize_and_channels(spark):
+    rng = np.random.default_rng(3)
+    image = rng.random((9, 7))
+    cells = spark.createDataFrame([(0, y, x, float(image[y, x])) for y in range(9) for x in range(7)], PIXELS + ", p double")
+    line = np.exp(-((np.arange(5) - 2) ** 2) / 2)
+    kernel = np.outer(line, line) / line.sum() ** 2
+    padded = np.pad(image, 2, mode="reflect")
+    want = {(y, x): (padded[y : y + 5, x : x + 5] * kernel).sum() for y in range(9) for x in range(7)}
+    got = {(r.y, r.x): r.p for r in raster.gaussian_blur(cells, ["p"], 9, 7).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    same = {(r.y, r.x): r.p for r in raster.resize(cells, ["p"], 9, 7, 9, 7).collect()}
+    assert same == {(y, x): pytest.approx(image[y, x]) for y in range(9) for x in range(7)}
+    flat = raster.resize(cells.withColumn("p", F.lit(0.5)), ["p"], 9, 7, 4, 13).collect()
+    assert len(flat) == 52 and all(r.p == pytest.approx(0.5) for r in flat)
+    rgb = spark.createDataFrame([(0, 1, 2, 10, 20, 255)], PIXELS + ", r int, g int, b int")
+    assert rows(raster.swap_channels(rgb)) == [(0, 1, 2, 255, 20, 10)]
+    assert rows(raster.normalise(rgb))[0][5] == 1.0
+    assert rows(raster.side_by_side([rgb, raster.gray_to_rgb(rgb)], 8)) == [(0, 1, 2, 10, 20, 255), (0, 1, 10, 255, 255, 255)]
+
+
+def test_augment_turns_image_and_mask_alike(spark):
+    rng = np.random.default_rng(5)
+    pixels = [(t, y, x, int(rng.integers(256)), 7, 250) for t in range(12) for y in range(4) for x in range(4)]
+    image = spark.createDataFrame(pixels, PIXELS + ", r int, g int, b int")
+    done = {t: np.zeros((4, 4), int) for t in range(12)}
+    still = raster.augment(image, 4, 4, brightness=0.0)
+    for r in still.collect():
+        done[r.tile_id][r.y, r.x] = r.r
+    ways = set()
+    for t in range(12):
+        before = np.array([p[3] for p in pixels if p[0] == t]).reshape(4, 4)
+        turned = {(f, k): np.rot90(before[:, ::-1] if f else before, k) for f in (0, 1) for k in range(4)}
+        match = [way for way, a in turned.items() if (a == done[t]).all()]
+        assert match
+        ways.add(match[0])
+    assert len(ways) > 2
+    places = lambda df: rows(df.select(*PIXELS.replace(" int", "").split(", ")))
+    assert places(raster.augment(image.select("tile_id", "y", "x"), 4, 4)) == places(raster.augment(image, 4, 4))
+    bright = raster.augment(image, 4, 4, brightness=1.0).collect()
+    assert all(0 <= c <= 255 for r in bright for c in (r.r, r.g, r.b)) and len({r.g for r in bright}) > 3

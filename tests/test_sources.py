@@ -4,7 +4,9 @@ import numpy as np
 
 from waymend.operators.occlusion import occlude_patches
 from waymend.sources.artifact import artifact_lines, deliverable
-from waymend.sources.images import encode_png, foreground, paired_images, mask_pngs, read_images
+from waymend.operators.raster import extract_patches, gray_to_rgb
+from waymend.operators.relational import epoch_means, sample_rows
+from waymend.sources.images import encode_png, foreground, image_pngs, mask_pngs, paired_images, patch_pngs, pixels, read_images, write_patches, write_pngs
 from waymend.sources.synthetic import grid_graph, synthetic_tile
 
 
@@ -45,3 +47,27 @@ def test_occlusion_changes_and_repeats(spark):
     patches = spark.createDataFrame([("a", 256, 256, image), ("b", 40, 40, bytes([128]) * 4800)], "patch_id string, height int, width int, image binary")
     one, two = ({r.patch_id: bytes(r.image) for r in occlude_patches(patches).collect()} for _ in range(2))
     assert one == two and one["a"] != image and len(one["a"]) == len(image) and len(one["b"]) == 4800
+
+
+def test_images_and_patches_are_written(spark, tmp_path):
+    mask = spark.createDataFrame([(t, k, (k * 7 + t) % 20) for t in range(2) for k in range(20)], "tile_id int, y int, x int")
+    saved = write_pngs(image_pngs(gray_to_rgb(mask, 90), 20, 20), str(tmp_path / "tiles"), "tile").collect()
+    assert sorted(r.saved_path for r in saved) == [str(tmp_path / "tiles" / f"tile_{t}.png") for t in range(2)]
+    back = pixels(read_images(spark, str(tmp_path / "tiles"))).where("r = 90 AND g = 90 AND b = 90")
+    assert back.count() == mask.count() and not list((tmp_path / "tiles").glob("*.png.*"))
+    patches = patch_pngs(extract_patches(mask, 20, 20, 8, 2), 8)
+    write_patches(patches, str(tmp_path / "patches"))
+    written = spark.read.parquet(str(tmp_path / "patches"))
+    names = {t: sorted(r.name for r in written.where(f"tile_id = {t}").collect()) for t in range(2)}
+    n = {t: patches.where(f"tile_id = {t}").count() for t in range(2)}
+    for t in range(2):
+        train = n[t] * 8 // 10
+        assert names[t] == sorted([f"patch_{k:03d}.png" for k in range(train)] + [f"val_patch_{k:03d}.png" for k in range(n[t] - train)])
+
+
+def test_means_and_samples(spark):
+    batches = spark.createDataFrame([(1, 2.0, 3), (1, 4.0, 1), (2, 1.0, 0)], "epoch int, loss double, n int")
+    assert sorted(map(tuple, epoch_means(batches).collect())) == [(1, 2.5), (2, 0.0)]
+    files = spark.createDataFrame([(f"f{k}",) for k in range(30)], "name string")
+    some = [r.name for r in sample_rows(files, "name", 4).collect()]
+    assert len(set(some)) == 4 and some == [r.name for r in sample_rows(files.repartition(3), "name", 4).collect()] != [r.name for r in sample_rows(files, "name", 4, seed=7).collect()]

@@ -95,7 +95,7 @@ def geo_to_pixel(points: DataFrame, box: tuple[float, float, float, float], heig
 
 def epoch_means(batches: DataFrame) -> DataFrame:
     """epoch, loss: the mean loss of an epoch's batches (epoch, loss, n) weighted by their sizes; 0 for an epoch without rows."""
-    return batches.groupBy("epoch").agg(F.coalesce(F.sum(F.col("loss") * F.col("n")) / F.sum("n"), F.lit(0.0)).alias("loss"))
+    return batches.groupBy("epoch").agg(F.coalesce(F.try_divide(F.sum(F.col("loss") * F.col("n")), F.sum("n")), F.lit(0.0)).alias("loss"))
 
 
 def sample_rows(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:

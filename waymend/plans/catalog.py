@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import around
 from ..operators import geometry as g
 from ..operators import losses as lo
 from ..operators import paths as p
@@ -15,7 +16,7 @@ from ..operators import relational as rel
 from ..operators.components import connected_components, graph_nodes, graph_summary, node_degree
 from ..session import cut, rounded
 from ..sources.graphml import read_graphml, write_graphml
-from ..sources.synthetic import grid_graph
+from ..sources.synthetic import grid_graph, grid_places
 from .views import DENSE, SIDE, SPARSE, tile, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -367,7 +368,7 @@ def gaussian_blur(dense):
 
 @query("dense")
 def resize(dense):
-    return r.resize(dense, ["p"], SIDE, SIDE, 24, 40).select(*r.PIXEL, rounded(F.col("p")).alias("p"))
+    return r.resize(dense.withColumn("p", F.sqrt("p")), ["p"], SIDE, SIDE, 24, 40).select(*r.PIXEL, rounded(F.col("p")).alias("p"))
 
 
 @table_query("lineitem")
@@ -381,6 +382,13 @@ def sample_rows(part):
 
 
 QUERIES["synthetic_road_mask"] = lambda spark, d: r.synthetic_road_mask(spark, SIDE, SIDE)
+@query("multi_edges", "all_nodes")
+def network_around(ways, nodes):
+    places = nodes.select("id", (12.97 + F.floor(F.col("id") / 10) * 0.003).alias("lat"), (77.59 + F.col("id") % 10 * 0.003).alias("lon"))
+    return around.network_around(ways, places, 12.985, 77.605, 1500.0)
+
+
+QUERIES["grid_places"] = lambda spark, d: grid_places(spark).select("id", rounded(F.col("lat")).alias("lat"), rounded(F.col("lon")).alias("lon"))
 QUERIES["grid_graph"] = lambda spark, d: grid_graph(spark)
 
 

@@ -308,10 +308,20 @@ SQL: dict[str, str] = {
     "gaussian_blur": with_views("dense", [("k(dy, dx, w)", "VALUES " + ", ".join(f"({dy}, {dx}, {w!r}::DOUBLE)" for dy, dx, w in gaussian_kernel(5, 1.0)))],
         "SELECT g.tile_id, g.y, g.x, round(sum(n.p * w), 6) AS p FROM dense g CROSS JOIN k JOIN dense n ON n.tile_id = g.tile_id "
         f"AND n.y = CASE WHEN g.y + dy < 0 THEN -(g.y + dy) WHEN g.y + dy > {S - 1} THEN {2 * S - 2} - (g.y + dy) ELSE g.y + dy END AND n.x = CASE WHEN g.x + dx < 0 THEN -(g.x + dx) WHEN g.x + dx > {S - 1} THEN {2 * S - 2} - (g.x + dx) ELSE g.x + dx END GROUP BY ALL"),
-    "resize": with_views("dense", [("wy", cubic(24)), ("wx", cubic(40))], "SELECT tile_id, CAST(wy.k AS INT) AS y, CAST(wx.k AS INT) AS x, round(sum(p * wy.w * wx.w), 6) AS p FROM dense JOIN wy ON wy.j = y JOIN wx ON wx.j = x GROUP BY 1, 2, 3"),
+    "resize": with_views("dense", [("wy", cubic(24)), ("wx", cubic(40))], "SELECT tile_id, CAST(wy.k AS INT) AS y, CAST(wx.k AS INT) AS x, round(sum(sqrt(p) * wy.w * wx.w), 6) AS p FROM dense JOIN wy ON wy.j = y JOIN wx ON wx.j = x GROUP BY 1, 2, 3"),
     "epoch_means": "SELECT l_linenumber AS epoch, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS loss FROM lineitem GROUP BY 1",
     "sample_rows": "SELECT p_partkey, p_name FROM part ORDER BY md5(concat(p_partkey, '-42')), p_partkey LIMIT 5",
     "synthetic_road_mask": f"SELECT 0 AS tile_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM range({S}) a(y), range({S}) b(x) WHERE {ROAD}",
+    "grid_places": "SELECT i AS id, round(12.97::DOUBLE + i // 6 * 0.003::DOUBLE, 6) AS lat, round(77.59::DOUBLE + i % 6 * 0.003::DOUBLE, 6) AS lon FROM range(36) r(i)",
+    "network_around": with_views(
+        "multi_edges all_nodes",
+        [("spot", "SELECT id, 12.97::DOUBLE + id // 10 * 0.003::DOUBLE AS lat, 77.59::DOUBLE + id % 10 * 0.003::DOUBLE AS lon FROM all_nodes"),
+         ("close", "SELECT id FROM spot WHERE 2 * 6371000 * asin(least(1, sqrt(sin(radians(12.985::DOUBLE - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(12.985::DOUBLE)) * sin(radians(77.605::DOUBLE - lon) / 2) ** 2))) <= 1500"),
+         ("e", "SELECT least(u, v) AS u, greatest(u, v) AS v, min(length) AS weight, arg_min(highway, (length, highway)) AS highway FROM multi_edges WHERE u <> v AND u IN (SELECT id FROM close) AND v IN (SELECT id FROM close) GROUP BY 1, 2"),
+         ("sym", "SELECT u, v FROM e UNION ALL SELECT v, u FROM e"), ("nodes", "SELECT DISTINCT u AS id FROM sym"), REACH, LABELS,
+         ("big", "SELECT component FROM labels GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1")],
+        "SELECT e.* FROM e JOIN labels ON node = u WHERE component IN (SELECT component FROM big)",
+    ),
     "grid_graph": "WITH e AS (SELECT i AS u, i + 1 AS v FROM range(36) r(i) WHERE i % 6 < 5 UNION ALL SELECT i, i + 6 FROM range(30) r(i)) SELECT u, v, 50 + CAST('0x' || substr(md5(concat(u, '-', v)), 1, 8) AS BIGINT) % 151 AS w FROM e",
     "dice_loss": with_views("dense", [], f"SELECT round({DICE}, 6) AS dice_loss"),
     "bce_loss": with_views("dense", [], f"SELECT round({BCE}, 6) AS bce_loss"),

@@ -15,6 +15,12 @@ def grid_graph(spark: SparkSession, side: int = 6) -> DataFrame:
     return right.union(down).select("u", "v", weight.alias("w"))
 
 
+def grid_places(spark: SparkSession, side: int = 6, latitude: float = 12.97, longitude: float = 77.59, step: float = 0.003) -> DataFrame:
+    """id, lat, lon of the lattice's nodes: rows go north, columns east, `step` degrees apart."""
+    cells = spark.range(side * side)
+    return cells.select("id", (F.lit(latitude) + F.floor(F.col("id") / side) * step).alias("lat"), (F.lit(longitude) + F.col("id") % side * step).alias("lon"))
+
+
 def synthetic_tile(spark: SparkSession, height: int = 512, width: int = 512, seed: int = 42) -> DataFrame:
     """An RGB terrain (y, x, r, g, b) from smooth noise that blends two colours, and fine noise on top.
 
