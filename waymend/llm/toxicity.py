@@ -25,6 +25,8 @@ from .session import table
 
 #: Labelled documents that dictionaries and threshold are fitted on, at most.
 SAMPLE = 3000
+#: Windows of ordinary texts among them that the ordinary dictionary is trained on, at most.
+SAMPLE_WINDOWS = 40_000
 WINDOW_WORDS = 8
 LEVEL = 6
 ORDINARY_BYTES = 8192
@@ -41,7 +43,7 @@ def windows(text: bytes) -> list[bytes]:
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
-    """A dictionary's bytes; the samples themselves where there are too few to train on."""
+    """A dictionary's bytes. Where there are too few samples to train on, their last `size` bytes, which zstandard takes as a dictionary too."""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
@@ -83,7 +85,12 @@ class Model:
 
 
 def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
-    """Dictionaries and calibration from labelled texts; with one label only, scores are its share."""
+    """Dictionaries and calibration from labelled texts; with one label only, scores are its share.
+
+    The toxic dictionary knows the words that are in LEAST_SHARE of the toxic
+    texts and LEAST_RATIO times as common there as in the others; the ordinary
+    one is trained on SAMPLE_WINDOWS of the others' windows at most.
+    """
     words = [set(t.lower().split()) for t in texts]
     n_toxic, n_ordinary = int(toxic.sum()), int((~toxic).sum())
     in_toxic = Counter(w for s, bad in zip(words, toxic) if bad for w in s)
@@ -91,7 +98,7 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     telling = {w for w, c in in_toxic.items() if c >= LEAST_SHARE * n_toxic and (c + 0.5) / max(n_toxic, 1) > LEAST_RATIO * (in_ordinary[w] + 0.5) / max(n_ordinary, 1)}
     marks = [b" ".join(w for w in t.lower().split() if w in telling) for t, bad in zip(texts, toxic) if bad]
     plain = [x for t, bad in zip(texts, toxic) if not bad for x in windows(t)]
-    picked = np.random.default_rng(0).permutation(len(plain))[:40_000]
+    picked = np.random.default_rng(0).permutation(len(plain))[:SAMPLE_WINDOWS]
     model = Model(_trained([plain[i] for i in picked], ORDINARY_BYTES), _trained([m for m in marks if len(m) >= 8], TOXIC_BYTES), np.zeros(5), np.ones(5), np.zeros(6))
     compressors = model.compressors()
     x = np.array([Model.features(t, compressors) for t in texts])
