@@ -80,7 +80,7 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-@pytest.mark.parametrize("hot,block", [(256, 1 << 20), (1, 1 << 20), (0, 300), (256, 300)])
+@pytest.mark.parametrize("hot,block", [(16_384, 1 << 20), (1, 1 << 20), (0, 300), (16_384, 300)])
 def test_substring_dedup(docs, corpus, hot, block):
     rule = replace(substring_dedup.RULE, hot=hot, block_bytes=block)
     got = substring_dedup.substring_dedup(docs, rule=rule).select("doc_id", "n_words", "n_removed", "kept_text").collect()
@@ -89,7 +89,7 @@ def test_substring_dedup(docs, corpus, hot, block):
     assert bag(got) == bag(want)
 
 
-@pytest.mark.parametrize("hot", [256, 1, 0])
+@pytest.mark.parametrize("hot", [16_384, 1, 0])
 def test_suffix_dedup(docs, corpus, hot):
     got = suffix_dedup.suffix_dedup(docs, rule=replace(suffix_dedup.RULE, window=120, gram=24, hot=hot)).collect()
     data = [(r[1] or "").encode() for r in corpus]

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import BYTE_VALUES, Prints, Words, chunks, lists, ranges, row_of, window_runs
@@ -44,14 +44,15 @@ SPLITTER_SAMPLE = 4096
 class Rule:
     """A window length in units (words or bytes), the gram whose least value is the anchor.
 
-    An anchor of more than `hot` different runs is dealt by windows;
-    block_bytes of runs, whole anchors, are compared at once.
+    An anchor of more than `hot` different runs (about 10 MB of them, and what
+    one task can compare in 200 MB) is dealt by windows; block_bytes of runs,
+    whole anchors, are compared at once.
     """
 
     unit: str
     window: int
     gram: int
-    hot: int = 256
+    hot: int = 16_384
     block_bytes: int = 1 << 20
 
     def units(self, values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,23 +141,23 @@ def _fetch(rule: Rule, splitters: list[bytes]) -> Callable:
                     piece = values[ranges(begin[a:b], size[a:b])]
                     ends = np.concatenate([[0], np.cumsum(size[a:b])]).astype(np.int32)
                     data = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(piece)])
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[a:b]), flat.field("anchor").slice(a, b - a), flat.field("stretch").slice(a, b - a), pa.array(at[a:b]), data], names=["bucket", "anchor", "stretch", "at", "run"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[a:b]), *(flat.field(c).slice(a, b - a) for c in ("anchor", "stretch", "single")), pa.array(at[a:b]), data], names=["bucket", "anchor", "stretch", "single", "at", "run"])
 
     return fetch
 
 
 def _with_runs(texts: DataFrame, wanted: DataFrame, few: bool = False) -> DataFrame:
-    runs = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "stretch", "first", "count")).alias("runs"))
+    runs = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "stretch", "first", "count", "single")).alias("runs"))
     runs = F.broadcast(runs) if few else runs
     return texts.join(runs, same_doc(texts, runs)).select("text", "runs")
 
 
 def fetched(texts: DataFrame, wanted: DataFrame, rule: Rule, splitters: list[bytes] = [], few: bool = False) -> DataFrame:
-    """bucket, anchor, stretch, at, run (bytes) of each of the wanted runs: doc_id, text_key, first, count, anchor, stretch.
+    """bucket, anchor, stretch, single, at, run (bytes) of each of the wanted runs: doc_id, text_key, first, count, anchor, stretch, single.
 
     Anchors are dealt to buckets by splitters, for rules on bytes. few: wanted is of bounded size, so it goes to the texts.
     """
-    return _with_runs(texts, wanted, few).mapInArrow(_fetch(rule, splitters), "bucket int, anchor long, stretch long, at int, run binary")
+    return _with_runs(texts, wanted, few).mapInArrow(_fetch(rule, splitters), "bucket int, anchor long, stretch long, single boolean, at int, run binary")
 
 
 def sampled_splitters(texts: DataFrame, wanted: DataFrame, rule: Rule, n: int, sample: int = SPLITTER_SAMPLE) -> list[bytes]:
@@ -244,12 +245,12 @@ def _windows_of(rule: Rule) -> Callable:
 def _copies(groups: DataFrame) -> DataFrame:
     """One place of each different run, two of those that stand more than once."""
     places = F.when(F.col("n") > 1, F.array("low", "high")).otherwise(F.array("low"))
-    return groups.withColumn("at", F.explode(places)).select("at.*", "count", "anchor", "stretch")
+    return groups.withColumn("at", F.explode(places)).select("at.*", "count", "anchor", "stretch", F.lit(False).alias("single"))
 
 
 def _hot_windows(texts: DataFrame, groups: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """The windows of hot anchors (groups), each on its own: all of them, and the places of those worth comparing."""
-    one = groups.select("low.*", "count", "anchor", "stretch")
+    one = groups.select("low.*", "count", "anchor", "stretch", F.lit(False).alias("single"))
     windows = _with_runs(texts, one).mapInArrow(_windows_of(rule), "anchor long, stretch long, skip int, left_print long, right_print long")
     windows = cut(windows.join(groups.select("anchor", "stretch", "n"), ["anchor", "stretch"]))
     at = F.struct("anchor", "stretch", "skip")
@@ -257,7 +258,7 @@ def _hot_windows(texts: DataFrame, groups: DataFrame, rule: Rule) -> tuple[DataF
     # The second place is in another run, or the same run's second place.
     picks = often.select("left_print", "right_print", F.explode(F.array(F.struct("a.*", F.lit(False).alias("second")), F.struct("b.*", (F.col("a") == F.col("b")).alias("second")))).alias("p")).select("left_print", "right_print", "p.*")
     placed = picks.join(groups.select("anchor", "stretch", "low", "high"), ["anchor", "stretch"]).withColumn("at", F.when(F.col("second"), F.col("high")).otherwise(F.col("low")))
-    wanted = placed.select("at.doc_id", "at.text_key", (F.col("at.first") + F.col("skip")).alias("first"), F.lit(1).alias("count"), F.col("left_print").alias("anchor"), F.col("right_print").alias("stretch"))
+    wanted = placed.select("at.doc_id", "at.text_key", (F.col("at.first") + F.col("skip")).alias("first"), F.lit(1).alias("count"), F.col("left_print").alias("anchor"), F.col("right_print").alias("stretch"), F.lit(True).alias("single"))
     return windows, wanted
 
 
@@ -285,7 +286,9 @@ def repeated_windows(texts: DataFrame, rule: Rule, match: Callable, ranged: bool
         wanted = _copies(groups)
     if ranged:
         n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = fetched(texts, wanted, rule, sampled_splitters(texts, wanted, rule, n)).repartitionById(n, F.col("bucket"))
+        # Windows of a hot anchor share its leading token; their own fingerprint deals them on.
+        bucket = F.when(F.col("single"), F.pmod(F.xxhash64("anchor"), F.lit(n)).cast("int")).otherwise(F.col("bucket"))
+        dealt = fetched(texts, wanted, rule, sampled_splitters(texts, wanted, rule, n)).repartitionById(n, bucket)
         dealt = dealt.sortWithinPartitions(F.expr(f"substring(run, at + 1, {rule.gram})"), "anchor", "stretch")
     else:
         dealt = fetched(texts, wanted, rule).repartition("anchor").sortWithinPartitions("anchor", "stretch")
@@ -293,7 +296,10 @@ def repeated_windows(texts: DataFrame, rule: Rule, match: Callable, ranged: bool
     if some_hot:
         found = cut(found)
         again = found.select(F.col("anchor").alias("left_print"), F.col("stretch").alias("right_print")).distinct()
-        found = found.unionByName(windows.join(again, ["left_print", "right_print"]).select("anchor", "stretch", "skip", F.lit(1).alias("windows")))
+        # Consecutive windows of a run become one stretch again.
+        order = Window.partitionBy("anchor", "stretch").orderBy("skip")
+        single = windows.join(again, ["left_print", "right_print"]).select("anchor", "stretch", "skip", (F.col("skip") - F.row_number().over(order)).alias("island"))
+        found = found.unionByName(single.groupBy("anchor", "stretch", "island").agg(F.min("skip").alias("skip"), F.count("*").cast("int").alias("windows")).drop("island"))
     spans = alike.join(found, ["anchor", "stretch"]).select("doc_id", "text_key", F.struct((F.col("first") + F.col("skip")).alias("first"), F.col("windows")).alias("span"))
     return spans.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"))
 
