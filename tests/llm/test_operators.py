@@ -286,6 +286,30 @@ def test_viterbi_against_all_paths():
         assert [not y for y in path or []] == got[a:b].tolist()
 
 
+def test_field_is_the_most_likely_one():
+    """Against the likelihood summed over all label sequences: no small step in any direction makes it larger."""
+    rng = np.random.default_rng(11)
+    n = np.array([1, 4, 2, 3, 4, 2])
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    features, labels = rng.normal(size=(bounds[-1], 2)), rng.integers(0, 2, bounds[-1])
+    decay = 0.05
+    field = quality.fit_field(features, labels, bounds, rounds=4000, rate=0.02, decay=decay)
+    best = np.concatenate([field.weights, field.steps.ravel(), field.begins])
+
+    def likelihood(theta):
+        w, s, b = theta[:2], theta[2:6].reshape(2, 2), theta[6:]
+        total = 0.0
+        for a, z in zip(bounds[:-1], bounds[1:]):
+            score = lambda y: b[y[0]] + sum(features[a + k] @ w * y[k] for k in range(z - a)) + sum(s[y[k - 1], y[k]] for k in range(1, z - a))
+            every = [score([c >> k & 1 for k in range(z - a)]) for c in range(2 ** (z - a))]
+            total += score(labels[a:z].tolist()) - np.log(np.sum(np.exp(every)))
+        return total / len(n) - decay * (theta**2).sum() / 2
+
+    for k in range(8):
+        step = np.eye(8)[k] * 1e-3
+        assert abs(likelihood(best + step) - likelihood(best - step)) / 2e-3 < 5e-3
+
+
 def test_quality_learns_junk(spark):
     rng = random.Random(9)
     rows, labels = [], []
@@ -370,6 +394,30 @@ def test_toxicity_separates(spark):
     assert {r.score for r in toxicity.score_toxicity(docs, None).collect()} == {0.0}
 
 
+def test_toxicity_of_held_out_rows(spark):
+    """Area under the curve over the labelled rows of the test table that nothing was learnt from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    texts, toxic = toxicity.sample(docs, labels)
+    assert len(texts) <= toxicity.SAMPLE
+    held = docs.join(labels.dropna(subset=["toxic"]), "doc_id").where(toxicity.held_out("doc_id"))
+    found = [(r.score, r.toxic) for r in toxicity.score_toxicity(held, toxicity.fit(texts, toxic)).select("score", "toxic").collect()]
+    bad, good = [x for x, t in found if t], [x for x, t in found if not t]
+    wins = sum((a > b) + (a == b) / 2 for a in bad for b in good)
+    assert len(bad) > 100 and wins / (len(bad) * len(good)) >= 0.88
+
+
+def test_toxicity_of_repeats_long_texts_and_clashing_names(spark):
+    model = toxicity.fit([b"plain words of some text " * 4, b"vile words of some text " * 4] * 30, np.array([False, True] * 30))
+    text = "vile words of some text " * 20_000
+    rows = [(1, text, "x", "y"), (1, text, "x", "y"), (None, text, None, None), (2, None, None, None), (3, "one", "a", "b")]
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string, score string, predicted string"), model)
+    assert got.dtypes[-2:] == [("score", "double"), ("predicted", "int")] and len(got.columns) == 4
+    scores = {}
+    for r in got.collect():
+        scores.setdefault(r.text, set()).add(r.score)
+    assert all(len(v) == 1 and 0 <= min(v) <= 1 for v in scores.values())
+
+
 def alnum(text):
     low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
@@ -431,6 +479,16 @@ def test_mixed_documents_are_repeated(docs):
     assert got and set(got.values()) <= {1, 2, 3}
 
 
+def test_licenses_of_ties_repeats_and_clashing_names(spark):
+    """The earliest of equal units; repeated rows and null ids each give theirs; a whole license is found as itself."""
+    whole = licenses.TEMPLATES["mit-text"]
+    rows = [(1, "Released under the MIT License.\nReleased under the MIT License.", "x"), (1, "Released under the MIT License.\nReleased under the MIT License.", "x"), (None, "a b c Released under the MIT License.", None), (2, f"Copyright 2020 X\n\n{whole}\n\ndef main(): pass", "y")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect()
+    short = bag((r.doc_id, r.license, r.dice, r.first_word, r.n_words) for r in got if r.license == "mit")
+    assert short == Counter({(1, "mit", 1.0, 0, 5): 2, (None, "mit", 1.0, 3, 5): 1})
+    assert [(r.doc_id, r.dice, r.first_word) for r in got if r.license == "mit-text"] == [(2, 1.0, 3)]
+
+
 def test_licenses(spark):
     text = "x y z\nReleased under the MIT license!\n\nLICENSED under CC BY-NC 4.0\nReleased under the MIT License."
     rows = [(1, text), (2, None), (3, ""), (4, "one"), (5, "Permission is hereby granted, free of charge, to any person\nobtaining a copy")]

@@ -37,3 +37,19 @@ def test_stages(spark, tmp_path):
 def test_run_gives_all_rows(spark):
     found = cp.run(spark, DIR)
     assert found.count() > 0 and found.groupBy("shard").count().agg({"count": "max"}).first()[0] - found.groupBy("shard").count().agg({"count": "min"}).first()[0] <= 1
+
+
+def test_stages_take_empty_tables_nulls_and_repeats(spark):
+    kinds = spark.read.parquet(f"{DIR}/documents.parquet").schema
+    text = " ".join(f"word{k}" for k in range(80))
+    other = " ".join(f"thing{k}" for k in range(80))
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (1, other, "en", None, 9), (2, text, None, "a", None), (None, text, "en", "b", 9), (3, None, None, None, None), (4, "", "en", "b", 0)]
+    for docs in (spark.createDataFrame(rows, kinds), spark.createDataFrame([], kinds)):
+        kept = docs
+        for name, stage in cp.STAGES:
+            kept = stage(spark, kept, DIR)
+            assert kept.columns[: len(docs.columns)] == docs.columns
+            kept.count()
+    near = cp.near_dedup(spark, spark.createDataFrame(rows, kinds), DIR).collect()
+    # One row of the two texts that id 1 has; id 2 is a copy of the first; rows without an id or words stay.
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.text or "") for r in near) == sorted([((False, 1), text), ((False, 1), other), ((True, 0), text), ((False, 3), ""), ((False, 4), "")])
