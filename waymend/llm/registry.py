@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, minhash, mixing, quality, sharding, substring_dedup, suffix_dedup, toxicity
+from . import decontaminate, licenses, line_dedup, minhash, mixing, prefix_trie, quality, sharding, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op8_decontaminate": decontaminate.SQL,
     "op9_suffix_dedup": suffix_dedup.SQL,
     "op10_mixing": mixing.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
