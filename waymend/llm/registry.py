@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, minhash, mixing, prefix_trie, quality, sharding, substring_dedup, suffix_dedup, toxicity
+from . import decontaminate, fuzzy_prints, licenses, line_dedup, minhash, mixing, prefix_trie, quality, sharding, substring_dedup, suffix_dedup, toxicity, vector_codes
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_fuzzy_prints": fuzzy_prints.op13_fuzzy_prints,
 }
 
 SQL = {
@@ -26,5 +28,6 @@ SQL = {
     "op8_decontaminate": decontaminate.SQL,
     "op9_suffix_dedup": suffix_dedup.SQL,
     "op10_mixing": mixing.SQL,
+    "op11_vector_codes": vector_codes.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
 }
