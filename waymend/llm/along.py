@@ -28,7 +28,7 @@ def along(rows: DataFrame, keys: list[str], order: list[Column], running: dict[s
     several partitions; each runs for itself, and what stands in front of it
     is added. Only sequences that cross a border have such a part: no more rows than partitions.
     """
-    tick = Window.partitionBy("along_part", *keys).orderBy(*order)
+    tick = Window.partitionBy("along_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     dealt = cut(rows.repartitionByRange(*keys, *order).withColumn("along_part", F.spark_partition_id()))
     fold = {name: getattr(F, kind)(col) for name, (kind, col) in running.items()}
     sums = dealt.groupBy("along_part", *keys).agg(*(x.alias(f"own_{name}") for name, x in fold.items()))
