@@ -6,27 +6,26 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .kernels import CHUNK_BYTES, chunks
+from .names import Inner
 
 
 def with_text_columns(docs: DataFrame, text_col: str, new: dict[str, str], step: Callable, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """docs with the columns of `new` (name to type) that step(bytes, offsets, is_null) gives as Arrow arrays.
 
-    A column of docs with one of those names gives way to the new one.
+    A column of docs with one of those names, case aside, gives way to the new one.
     """
-    others = [c for c in docs.columns if c != text_col and c not in new]
-    inner = {c: f"c{k}" for k, c in enumerate(others)} | {text_col: "text"}
-    schema = ", ".join([*(f"{inner[c]} {docs.schema[c].dataType.simpleString()}" for c in (*others, text_col)), *(f"{c} {kind}" for c, kind in new.items())])
+    inner = Inner(docs, new)
+    text = inner.at(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            null = batch["text"].is_null()
-            for row, values, offsets in chunks(batch["text"], chunk_bytes):
+            null = batch[text].is_null()
+            for row, values, offsets in chunks(batch[text], chunk_bytes):
                 n = len(offsets) - 1
                 found = step(values, offsets, null.slice(row, n).to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([*(x.slice(row, n) for x in batch.columns), *found], names=[*batch.schema.names, *new])
 
-    done = docs.select(*(F.col(f"`{c}`").alias(inner[c]) for c in (*others, text_col))).mapInArrow(run, schema)
-    return done.select(*(F.col(inner[c]).alias(c) for c in docs.columns if c in inner), *new)
+    done = inner.df.mapInArrow(run, inner.schema(", ".join(f"{c} {kind}" for c, kind in new.items())))
+    return done.select(*inner.outer(), *new)

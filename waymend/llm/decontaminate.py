@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
 from .kernels import IS_ALNUM, LOWER, Words, chunks, covered, lists, ranges, row_of, spans_of
+from .names import Inner
 from .session import cut, table
 
 WINDOW = 13
@@ -71,7 +72,7 @@ class Phrases:
         return found
 
 
-def _scan(sent: Broadcast) -> Callable:
+def _scan(sent: Broadcast, text: str = "text") -> Callable:
     def shard(phrases: Phrases, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """start and stop of each occurrence among the words of the shard; its word, its item."""
         none = np.zeros(0, np.int64)
@@ -105,7 +106,7 @@ def _scan(sent: Broadcast) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = sent.value
         for batch in batches:
-            for row, values, offsets in chunks(batch["text"], 6 * SHARD_WORDS):
+            for row, values, offsets in chunks(batch[text], 6 * SHARD_WORDS):
                 n = len(offsets) - 1
                 words = Words(LOWER[values], offsets, IS_ALNUM)
                 total = int(words.bounds[-1])
@@ -175,26 +176,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
     kinds = "n_words long, hits array<struct<start:int,stop:int>>, items array<string>"
 
-    def searched(rows: DataFrame, schema: str, k: int) -> DataFrame:
-        phrases = spark.sparkContext.broadcast(Phrases(queries.where(part == k).toArrow(), window))
-        return rows.mapInArrow(_scan(phrases), f"{schema}, {kinds}")
+    def sent(k: int) -> Broadcast:
+        return spark.sparkContext.broadcast(Phrases(queries.where(part == k).toArrow(), window))
 
-    others = [c for c in docs.columns if c not in (text_col, "n_words", "hits", "items")]
-    names = {c: f"c{k}" for k, c in enumerate(others)} | {text_col: "text"}
-    inner = docs.select(*(F.col(f"`{c}`").alias(names[c]) for c in (*others, text_col)))
+    inner = Inner(docs, ("n_words", "hits", "items"))
+    text = inner.at(text_col)
     if n_blocks == 1:
-        found = searched(inner, ", ".join(f"{names[c]} {docs.schema[c].dataType.simpleString()}" for c in (*others, text_col)), 0)
+        found = inner.df.mapInArrow(_scan(sent(0), text), inner.schema(kinds))
     else:
-        texts = inner.select(F.md5("text").alias("print"), "text")
+        texts = inner.df.select(F.md5(text).alias("print"), F.col(text).alias("text"))
         hit = None
         for k in range(n_blocks):
-            one = searched(texts, "print string, text string", k).where("size(hits) > 0").select("print", F.struct(F.lit(k).alias("block"), "hits", "items").alias("found"))
+            phrases = sent(k)
+            one = texts.mapInArrow(_scan(phrases), f"print string, text string, {kinds}").where("size(hits) > 0").select("print", F.struct(F.lit(k).alias("block"), "hits", "items").alias("found"))
+            # What a block hits is written before the next block is sent.
+            one = cut(one)
+            phrases.destroy()
             hit = one if hit is None else hit.unionByName(one)
         hit = cut(hit.groupBy("print").agg(F.collect_set("found").alias("found")))
         hit = hit.select("print", _merged(F.flatten("found.hits")).alias("hits"), F.flatten("found.items").alias("items"))
-        found = inner.withColumn("print", F.md5("text")).join(hit, "print", "left").withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+        found = inner.df.withColumn("print", F.md5(text)).join(hit, "print", "left").withColumn("n_words", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
         found = found.withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<start:int,stop:int>>"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return found.select(*(F.col(names[c]).alias(c) for c in docs.columns if c in names), "n_words", "hits", F.array_distinct("items").alias("items"))
+    return found.select(*inner.outer(), "n_words", "hits", F.array_distinct("items").alias("items"))
 
 
 def n_hit() -> F.Column:

@@ -216,8 +216,8 @@ def fuzzy_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = [F.col("doc_id").desc_nulls_last(), F.col("print"), F.col("row")]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").fields])
-    done = cut(placed.mapInArrow(_neighbours, T.StructType([*schema.fields, *T._parse_datatype_string("role string, part int, text string").fields])))
+    schema = T.StructType([T.StructField("doc_id", kind), *T.StructType.fromDDL("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").fields])
+    done = cut(placed.mapInArrow(_neighbours, T.StructType([*schema.fields, *T.StructType.fromDDL("role string, part int, text string").fields])))
     heads, tails = done.where("role = 'head'"), done.where("role = 'tail'").select("doc_id", "part", "text")
     along = Window.orderBy("part")
     after = heads.select("part", F.coalesce(F.lead("part").over(along), F.min("part").over(Window.partitionBy())).alias("after"))

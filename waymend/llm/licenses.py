@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .kernels import IS_ALNUM, LOWER, Prints, Words, chunks, ranges
+from .names import ddl
 from .session import table
 
 LEAST_DICE = 0.8
@@ -202,7 +203,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     names=["doc_id", "license", "dice", "first_word", "n_words"],
                 )
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = ddl(docs.schema[id_col].dataType)
     source = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
     return source.mapInArrow(scan, f"doc_id {kind}, license string, dice double, first_word long, n_words long")
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import chunks, row_of
+from .names import ddl, literal
 from .session import cut, table
 
 LEAST_CHARS = 40
@@ -92,6 +93,7 @@ def falling_parts(ids: DataFrame, parts: int, sample: int = SPLITTER_SAMPLE) ->
     if not edges:
         return [F.lit(True)]
     id_ = F.col("doc_id")
+    edges = [literal(x, ids.schema["doc_id"].dataType) for x in edges]
     return [id_ > edges[0], *((id_ <= a) & (id_ > b) for a, b in zip(edges, edges[1:])), (id_ <= edges[-1]) | id_.isNull()]
 
 
@@ -153,7 +155,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often = cut(runs.counts().where((F.col("n_docs") >= least_docs) & F.col("last_id").isNotNull()).select(F.col("line").alias("often"), "last_id"))
     gone = placed.join(often, F.col("line") == F.col("often")).where(~F.col("doc_id").eqNullSafe(F.col("last_id"))).groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(F.collect_set("at").alias("gone"))
     joined = texts.join(gone, F.expr("doc_id <=> gone_id AND text_key = gone_key"), "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(_kept, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_lines long, n_dropped long, kept_text string")
+    return joined.mapInArrow(_kept, f"doc_id {ddl(texts.schema['doc_id'].dataType)}, n_lines long, n_dropped long, kept_text string")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

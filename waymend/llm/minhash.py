@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, Prints, Words, chunks, mixed, ranges, row_of
+from .names import ddl
 from .session import cut, table
 
 HASHES = 112
@@ -248,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.col(f"`{text_col}`")
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
-    kind = texts.schema["doc_id"].dataType.simpleString()
+    kind = ddl(texts.schema["doc_id"].dataType)
     signed = cut(texts.mapInArrow(_signatures(shingle, hashes, band), f"doc_id {kind}, n_shingles long, left_print long, right_print long, bands array<long>, signature binary"))
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # Equal sets are one class, with its smallest document as the one that is compared.
@@ -293,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def cells(rows: DataFrame, block: F.Column, salt: F.Column, seeks: bool) -> DataFrame:
         rows = rows.join(blocks, ["place", "step"]).withColumn("block", block).withColumn("salt", salt)
-        return rows.select("id", "label", F.concat_ws("/", "place", "step", "block", "salt").alias("cell"), F.lit(seeks).alias("seeks"))
+        return rows.select("id", "label", F.concat_ws("/", F.col("place").cast("string"), "step", "block", "salt").alias("cell"), F.lit(seeks).alias("seeks"))
 
     # Members stand in one block of their step for each share of the seekers; a seeker passes all blocks of its steps.
     members_of = cells(waiting, F.pmod(F.xxhash64("id"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), False)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .along import along
+from .names import Inner
 from .session import cut, table
 
 WEIGHTS = (5, 2, 1)
@@ -36,22 +38,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
     A target stops at `most` times the source's size; what is above is shared
     by weight among the others. The level where shares meet the caps follows
-    from running sums over the sources in order of cap / weight.
+    from running sums over the sources in order of cap / weight, by parts of
+    the sources; the sums of all and the level reach the driver.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*(F.lit(w) for w in weights)), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1)
-    everything = Window.partitionBy()
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_cap.rowsBetween(0, Window.unboundedFollowing)
-    shares = (
-        sizes.withColumn("weight", weight)
-        .withColumn("cap", most * F.col("source_size"))
-        .withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double") / F.sum("weight").over(onward))
-        .withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
-        .withColumn("level", F.min(F.when(F.col("fits"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(everything)["level"])
-    )
-    return shares.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
+    named = sizes.select(F.lit(0).alias("all"), F.col("source"), F.col("source_size").cast("long").alias("source_size"), F.lit(1).cast("long").alias("one"))
+    named = along(named, ["all"], [F.col("source").asc_nulls_last()], {"place": ("sum", "one")})
+    weight = F.element_at(F.array(*(F.lit(w).cast("long") for w in weights)), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
+    shares = named.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")).withColumn("full_at", F.col("cap") / F.col("weight"))
+    shares = along(shares.select("all", "source", "source_size", "weight", "cap", "full_at"), ["all"], [F.col("full_at"), F.col("source").asc_nulls_last()], {"caps": ("sum", "cap"), "weights": ("sum", "weight")})
+    size, weights_sum = shares.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level = (F.lit(size) - (F.col("caps") - F.col("cap"))).cast("double") / (F.lit(weights_sum) - (F.col("weights") - F.col("weight"))).cast("double")
+    fits = shares.withColumn("level", level).where(F.col("level") * F.col("weight") <= F.col("cap"))
+    # From the first source that stays below its cap on, levels fall, so the first one is the largest.
+    level = fits.agg(F.max("level")).first()[0]
+    cap = F.col("cap").cast("double")
+    return shares.select("source", "source_size", (cap if level is None else F.least(cap, F.lit(level) * F.col("weight"))).alias("target"))
 
 
 def thresholds(rows: DataFrame, sources: DataFrame, bits: int = LEVEL_BITS) -> DataFrame:
@@ -88,23 +89,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     limits = cut(thresholds(rows.select("source", "size", "hash"), sources))
     joined = rows.alias("r").join(sources.alias("s"), F.expr("r.source <=> s.source")).join(limits.alias("l"), F.expr("r.source <=> l.source"), "left")
     copies = F.coalesce(F.col("l.copies") + (F.col("r.hash") < F.col("l.threshold")).cast("long"), F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    # Where a source is taken `most` times already, texts without words may lie below its threshold: no more of them either.
+    copies = F.least(copies, F.lit(most).cast("long"))
     return joined.select("r.doc_id", F.col("r.source").alias("source"), "r.size", "source_size", "target", copies.alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of docs as often as mix() takes it, in no order; rows that it doesn't take go."""
-    text = F.col(f"`{text_col}`")
-    rows = cut(docs.select(F.col(f"`{source_col}`").alias("source"), n_words(text).alias("size"), mix_hash(F.col(f"`{id_col}`")).alias("hash")))
-    sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """The mix itself: each row of docs as often as mix() takes it (`most` times at the most), in no order; rows that it doesn't take go.
+
+    Columns keep their names and values, whatever they are called.
+    """
+    inner = Inner(docs)
+    rows = cut(inner.df.select(inner.col(source_col).alias("source"), n_words(inner.col(text_col)).alias("size"), mix_hash(inner.col(id_col)).alias("hash")))
+    sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     limits = sources.select("source", whole.alias("whole")).alias("s").join(thresholds(rows, sources).alias("l"), F.expr("s.source <=> l.source"), "left")
-    limits = cut(limits.select(F.col("s.source").alias("__source"), F.col("whole").alias("__copies"), F.coalesce("threshold", F.lit(0)).alias("__threshold")))
+    limits = cut(limits.select(F.col("s.source").alias("of"), F.col("whole"), F.coalesce("threshold", F.lit(0)).alias("threshold")))
     # A row for each source; sent to all executors only while there are few.
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_SOURCES else limits
-    taken = docs.join(limits, F.col(f"`{source_col}`").eqNullSafe(F.col("__source")))
-    copies = F.col("__copies") + (mix_hash(F.col(f"`{id_col}`")) < F.col("__threshold")).cast("long")
-    repeated = taken.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+    taken = inner.df.join(limits, inner.col(source_col).eqNullSafe(F.col("of")))
+    copies = F.least(F.col("whole") + (mix_hash(inner.col(id_col)) < F.col("threshold")).cast("long"), F.lit(most).cast("long"))
+    repeated = taken.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*inner.outer())
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +130,7 @@ WITH r AS (
   SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
     / CAST(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM w
 ), t AS (
-  SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT level FROM l WHERE level * weight <= cap ORDER BY cap / weight, level LIMIT 1) * weight, CAST(cap AS DOUBLE))) AS target FROM l
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT max(level) FROM l WHERE level * weight <= cap) * weight, CAST(cap AS DOUBLE))) AS target FROM l
 ), c AS (
   SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies,
     sum(size) OVER (PARTITION BY r.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY r.source, h) AS own

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import BYTE_VALUES, Prints, Words, chunks, lists, ranges, row_of, window_runs
+from .names import ddl
 from .session import cut
 
 #: Positions that are looked at together where anchors are placed.
@@ -83,7 +84,7 @@ def different(texts: DataFrame) -> DataFrame:
 
 
 def _type(df: DataFrame, name: str) -> str:
-    return df.schema[name].dataType.simpleString()
+    return ddl(df.schema[name].dataType)
 
 
 def window_rows(texts: DataFrame, rule: Rule) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .along import SHARES
+from .names import Inner
 from .session import cut, table
 
 SHARDS = 16
@@ -24,6 +26,8 @@ VIRTUAL_NODES = 64
 #: Parts that the rows of each arc are numbered in.
 SALTS = 64
 RING_BITS = 32
+#: Equal rows that are numbered in parts of their own: so many at least.
+MANY = 10_000
 
 
 def ring(shards: int, nodes: int) -> list[tuple[int, int]]:
@@ -74,19 +78,20 @@ def shard_rows(rows: DataFrame, key_col: str, shards: int = SHARDS, nodes: int =
     Keys are placed by hash of key_col. Within an arc rows go by their own
     hash first, so that an arc's rows, those of one hot key among them, are
     numbered in SALTS parts; then by position and all their columns (maps by
-    their JSON). Repeated rows are interchangeable. A null key is a key like
-    others. An empty table gives an empty table. Columns named shard or slot
-    are replaced; all other names are free.
+    their JSON). Repeated rows are interchangeable; where they are many (MANY, and a part in SHARES of all), they have parts of
+    their own, dealt by their place in the written table. A null key is a key like
+    others, a text of any length is one column's value. An empty table gives an empty table. Columns named shard or slot,
+    in whatever case, are replaced, even if one is the key; all other names are free.
     """
     spark = rows.sparkSession
-    names = [c for c in rows.columns if c not in ("shard", "slot")]
-    inner = rows.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
-    comparable = [F.col(f"c{k}") if _orderable(rows.schema[c].dataType) else F.to_json(F.struct(f"c{k}")) for k, c in enumerate(names)]
+    inner = Inner(rows, ("shard", "slot"))
+    written = cut(inner.df).withColumn("place", F.monotonically_increasing_id())
+    comparable = [F.col(f"c{k}") if _orderable(kind) else F.to_json(F.struct(f"c{k}")) for k, kind in enumerate(inner.types)]
     where = ring(shards, nodes)
     owners = [s for _, s in where]
     # The arc of a position by bisection over the nodes, in an expression of bounded size: first
     # an equal-width cell, then the nodes inside it.
-    position = F.pmod(F.xxhash64(comparable[names.index(key_col)]), F.lit(1 << RING_BITS))
+    position = F.pmod(F.xxhash64(comparable[int(inner.at(key_col)[1:])]), F.lit(1 << RING_BITS))
     cells = 1 << 12
     width = (1 << RING_BITS) // cells
     inside: list[list[int]] = [[] for _ in range(cells)]
@@ -97,10 +102,17 @@ def shard_rows(rows: DataFrame, key_col: str, shards: int = SHARDS, nodes: int =
         before[c] = n
         n += len(inside[c])
     lookup = F.broadcast(spark.createDataFrame([(c, before[c], inside[c]) for c in range(cells)], "cell int, before int, inside array<long>"))
-    placed = inner.withColumn("at", position).withColumn("cell", F.floor(F.col("at") / width).cast("int")).join(lookup, "cell")
+    placed = written.withColumn("at", position).withColumn("cell", F.floor(F.col("at") / width).cast("int")).join(lookup, "cell")
     placed = placed.withColumn("arc", F.pmod(F.col("before") + F.size(F.filter("inside", lambda p: p < F.col("at"))), F.lit(len(where)))).drop("cell", "before", "inside")
-    placed = placed.withColumn("part", F.pmod(F.xxhash64(*comparable), F.lit(SALTS)).cast("int"))
-    # At most nodes * shards * SALTS counts.
+    placed = placed.withColumn("print", F.xxhash64(*comparable))
+    equal = placed.groupBy("print").count()
+    total = written.count()
+    # Less than SHARES rows, as each stands for more than that part of the table.
+    many = equal.where((F.col("count") >= MANY) & (F.col("count") * SHARES > total)).select("print", (F.row_number().over(Window.orderBy("print")) * SALTS).cast("int").alias("own"))
+    placed = placed.join(F.broadcast(cut(many)), "print", "left")
+    salt = F.when(F.col("own").isNull(), F.col("print")).otherwise(F.col("place"))
+    placed = placed.withColumn("part", F.coalesce("own", F.lit(0)) + F.pmod(salt, F.lit(SALTS)).cast("int"))
+    # At most nodes * shards * SALTS counts, and SALTS for each of many.
     parts = sorted((r.arc, r.part, r["count"]) for r in placed.groupBy("arc", "part").count().collect())
     counts = [0] * len(where)
     ends: dict[int, list[tuple[int, int, int]]] = {}
@@ -119,7 +131,7 @@ def shard_rows(rows: DataFrame, key_col: str, shards: int = SHARDS, nodes: int =
     ranked = placed.withColumn("rank", F.row_number().over(order) - 1)
     # Bounded by the ring: a piece for each part, and one more for each place where a shard fills.
     found = ranked.join(F.broadcast(spark.createDataFrame(table_)), ["arc", "part"]).where("rank >= first AND rank < stop")
-    return found.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)), "shard", (F.col("slot0") + F.col("rank") - F.col("first")).alias("slot"))
+    return found.select(*inner.outer(), "shard", (F.col("slot0") + F.col("rank") - F.col("first")).alias("slot"))
 
 
 def shard_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,5 +141,5 @@ def shard_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cut(shard_sizes(table(spark, sf_dir, "documents")))
+    rows = shard_sizes(table(spark, sf_dir, "documents"))
     return shard_rows(rows, "doc_id").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

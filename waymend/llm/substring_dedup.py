@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .fmindex import FMIndex
 from .kernels import Words, chunks, ranges, row_of
 from .overlap import Rule, keyed, removed_units, repeated_windows, span_lists, with_spans
+from .names import ddl
 from .session import table
 
 RULE = Rule("words", window=35, gram=8)
@@ -82,7 +83,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = keyed(docs, id_col, text_col)
     spans = repeated_windows(texts, rule, shard_matches)
-    kind = texts.schema["doc_id"].dataType.simpleString()
+    kind = ddl(texts.schema["doc_id"].dataType)
     return with_spans(texts, spans).mapInArrow(_kept(rule), f"doc_id {kind}, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, kept_text string")
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .kernels import chunks, ranges
 from .overlap import Rule, keyed, removed_units, repeated_windows, span_lists, with_spans
+from .names import ddl
 from .session import table
 
 RULE = Rule("bytes", window=400, gram=64)
@@ -104,7 +105,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     texts = keyed(docs, id_col, text_col)
     spans = repeated_windows(texts, rule, bucket_matches, ranged=True)
-    kind = texts.schema["doc_id"].dataType.simpleString()
+    kind = ddl(texts.schema["doc_id"].dataType)
     return with_spans(texts, spans).mapInArrow(_kept(rule), f"doc_id {kind}, n_bytes long, n_removed long, removed array<struct<start:int,stop:int>>, kept binary")
 
 

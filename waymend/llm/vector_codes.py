@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .along import SHARES
+from .names import ddl
 from .session import bucketed, cut, table
 
 PARTS = 8
@@ -129,7 +130,7 @@ def vector_codes(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     # `entries` rows: what the codebooks begin with.
     seeds = [r[0] for r in whole.orderBy(F.col("vec_id").asc_nulls_last(), "whole").limit(entries).select("whole").collect()]
     books = np.array(seeds, np.int64).reshape(len(seeds), parts, width).transpose(1, 0, 2)
-    schema = f"rid long, vec_id {rows.schema[id_col].dataType.simpleString()}, label {rows.schema[label_col].dataType.simpleString()}, data binary"
+    schema = f"rid long, vec_id {ddl(rows.schema[id_col].dataType)}, label {ddl(rows.schema[label_col].dataType)}, data binary"
     if not seeds:
         return spark.createDataFrame([], schema).select("vec_id", "label", F.col("data").alias("codes"), F.col("rid").alias("error")), books
     packed = cut(whole.select("rid", "vec_id", "label", "whole").mapInArrow(_packed, schema))
