@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymend.operators import losses, raster
+from waymend.operators import chains, labels, losses, raster
 
 PIXELS = "tile_id int, y int, x int"
 
@@ -57,7 +57,7 @@ def test_bar_thins_to_a_line(spark):
 
 def test_skeleton_graph_of_a_cross(spark):
     cross = [(0, 5, x) for x in range(0, 11)] + [(0, y, 5) for y in range(0, 11) if y != 5]
-    edges = raster.skeleton_graph(spark.createDataFrame(cross, PIXELS)).collect()
+    edges = chains.skeleton_graph(spark.createDataFrame(cross, PIXELS)).collect()
     degree = {}
     for e in edges:
         degree[e.u] = degree.get(e.u, 0) + 1
@@ -67,12 +67,12 @@ def test_skeleton_graph_of_a_cross(spark):
 
 def test_ring_has_no_edge(spark):
     ring = [(0, y, x) for y, x in [(0, 1), (0, 2), (1, 3), (2, 3), (3, 2), (3, 1), (2, 0), (1, 0)]]
-    assert raster.skeleton_graph(spark.createDataFrame(ring, PIXELS)).count() == 0
+    assert chains.skeleton_graph(spark.createDataFrame(ring, PIXELS)).count() == 0
 
 
 def test_area_filter_and_classes(spark):
     mask = spark.createDataFrame([(0, 0, x) for x in range(15)] + [(0, 5, 0), (0, 6, 1)], PIXELS)
-    assert raster.component_area_filter(mask, 15).count() == 15
+    assert labels.component_area_filter(mask, 15).count() == 15
     kinds = {r.kind: r.n for r in raster.pixel_classify(mask).groupBy("kind").count().toDF("kind", "n").collect()}
     assert kinds == {"endpoint": 4, "interior": 13}
 
@@ -144,3 +144,90 @@ def test_augment_turns_image_and_mask_alike(spark):
     assert places(raster.augment(image.select("tile_id", "y", "x"), 4, 4)) == places(raster.augment(image, 4, 4))
     bright = raster.augment(image, 4, 4, brightness=1.0).collect()
     assert all(0 <= c <= 255 for r in bright for c in (r.r, r.g, r.b)) and len({r.g for r in bright}) > 3
+
+
+def walked(points):
+    """Chains of a skeleton by walking: (u, v) to the best (length, first pixel, points)."""
+    near = {p: [(p[0] + dy, p[1] + dx) for dy, dx in raster.NEIGHBOURS if (p[0] + dy, p[1] + dx) in points] for p in points}
+    nodes = {p for p in points if len(near[p]) != 2}
+    best = {}
+    for u in nodes:
+        for first in near[u]:
+            path = [u, first]
+            while path[-1] not in nodes:
+                path.append(next(q for q in near[path[-1]] if q != path[-2]))
+            if u < path[-1]:
+                found = (sum(math.dist(a, b) for a, b in zip(path, path[1:])), first, path)
+                key = (u, path[-1])
+                if key not in best or (round(found[0], 9), first) < (round(best[key][0], 9), best[key][1]):
+                    best[key] = found
+    return best
+
+
+def test_paths_go_from_end_to_end(spark):
+    rng = np.random.default_rng(7)
+    points = {(int(y), int(x)) for y, x in np.argwhere(rng.random((40, 40)) < 0.3)}
+    # Two ways of one length around a block, and a spiral.
+    points |= {(60, x) for x in range(0, 21)} | {(64, x) for x in range(5, 16)} | {(y, x) for y in (61, 62, 63) for x in (4, 16)} | {(80, 3), (81, 4), (81, 5), (80, 6)}
+    got = {(tuple(e.pixel_path[0]), tuple(e.pixel_path[-1])): e for e in chains.skeleton_graph(spark.createDataFrame([(0, *p) for p in points], PIXELS).repartition(5)).collect()}
+    want = walked(points)
+    assert set(got) == set(want)
+    for key, (length, _, path) in want.items():
+        assert [tuple(p) for p in got[key].pixel_path] == path and got[key].length_px == pytest.approx(length) and got[key].weight == pytest.approx(10 * length)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """A snake of some 20,000 pixels."""
+    points, y = [], 0
+    for k in range(100):
+        points += [(y, x) for x in (range(1, 200) if k % 2 == 0 else range(199, 0, -1))] + [(y + 1, 200 if k % 2 == 0 else 0)]
+        y += 2
+    written = []
+    monkeypatch.setattr(chains, "cut", lambda df, cut=chains.cut: written.append(1) or cut(df))
+    (edge,) = chains.skeleton_graph(spark.createDataFrame([(3, *p) for p in points], PIXELS).repartition(4)).collect()
+    path = [tuple(p) for p in edge.pixel_path]
+    assert path in (points, points[::-1]) and len(path) == 20_000
+    assert edge.length_px == pytest.approx(sum(math.dist(a, b) for a, b in zip(path, path[1:]))) and len(written) <= 4 + 15
+
+
+@pytest.mark.parametrize("cell", [1, 3, 8, 256])
+def test_labels_by_cells(spark, cell):
+    rng = np.random.default_rng(9)
+    pixels = [(t, int(y), int(x)) for t in (0, 4) for y, x in np.argwhere(rng.random((24, 31)) < 0.35)]
+    pixels += [(7, y, x) for y in range(3, 20) for x in range(-6, 9)] + [(7, 50, 50)] * 3
+    points, label = set(pixels), {}
+    for p in sorted(points):
+        if p not in label:
+            todo, label[p] = [p], p
+            while todo:
+                t, y, x = todo.pop()
+                for q in ((t, y + dy, x + dx) for dy, dx in raster.NEIGHBOURS):
+                    if q in points and q not in label:
+                        label[q] = p
+                        todo.append(q)
+    side = 1 << 20
+    got = rows(labels.pixel_components(spark.createDataFrame(pixels, PIXELS).repartition(3), cell).select(*raster.PIXEL, "label"))
+    assert got == sorted((*p, (q[0] * side + q[1]) * side + q[2]) for p, q in label.items())
+
+
+def test_inner_pixels_stay_out_of_the_rounds(spark, monkeypatch):
+    """Only labels that meet at borders of cells are linked."""
+    seen = []
+    monkeypatch.setattr(labels, "connected_components", lambda links, real=labels.connected_components: seen.append(links.count()) or real(links))
+    assert labels.pixel_components(box(spark, 0, 64, 0, 64), 32).select("label").distinct().count() == 1
+    assert seen == [6]
+    assert labels.pixel_components(box(spark, 0, 30, 0, 30), 32).count() == 900 and len(seen) == 1
+
+
+def test_wide_blur_and_its_limits(spark):
+    rng = np.random.default_rng(13)
+    image = rng.random((40, 33))
+    cells = spark.createDataFrame([(t, y, x, float(image[y, x]) + t) for t in (0, 1) for y in range(40) for x in range(33)], PIXELS + ", p double").repartition(3)
+    line = np.array(raster.gaussian_line(51))
+    assert line.sum() == pytest.approx(1) and line[25] / line[26] == pytest.approx(math.exp(1 / 128))
+    padded = np.pad(image, 25, mode="reflect")
+    want = np.array([[(padded[y : y + 51, x : x + 51] * np.outer(line, line)).sum() for x in range(33)] for y in range(40)])
+    got = raster.gaussian_blur(cells, ["p"], 40, 33, 51, 0.0).collect()
+    assert len(got) == 2640 and all(r.p == pytest.approx(want[r.y, r.x] + r.tile_id) for r in got)
+    with pytest.raises(ValueError):
+        raster.gaussian_blur(cells, ["p"], 40, 33, 67)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .components import connected_components
 
 PIXEL = ["tile_id", "y", "x"]
 NEIGHBOURS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
@@ -60,19 +59,9 @@ def pixel_id(tile: str = "tile_id", y: str = "y", x: str = "x", side: int = 1 <<
     return (F.col(tile).cast("long") * side + F.col(y)) * side + F.col(x)
 
 
-def pixel_components(mask: DataFrame) -> DataFrame:
-    """Adds label, the least pixel id of each 8-connected component."""
-    links = pixel_adjacency(mask).select(pixel_id().alias("u"), pixel_id(y="ny", x="nx").alias("v"))
-    labels = connected_components(links)
-    named = mask.select(*PIXEL, pixel_id().alias("node"))
-    return named.join(labels, "node", "left").select(*PIXEL, F.coalesce("component", "node").alias("label"))
-
-
-def component_area_filter(mask: DataFrame, least: int = 15) -> DataFrame:
-    """Pixels of components of at least `least` pixels."""
-    labelled = cut(pixel_components(mask))
-    large = labelled.groupBy("label").count().where(F.col("count") >= least).select("label")
-    return labelled.join(large, "label", "left_semi").select(*PIXEL)
+def pixel_place(pixel: Column, side: int = 1 << 20) -> Column:
+    """The struct y, x of a pixel id."""
+    return F.struct(F.pmod(F.floor(pixel / side), F.lit(side)).cast("int").alias("y"), F.pmod(pixel, F.lit(side)).cast("int").alias("x"))
 
 
 def dilate(mask: DataFrame, offsets: list[tuple[int, int]], height: int, width: int) -> DataFrame:
@@ -134,29 +123,6 @@ def skeletonize(mask: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     raise RuntimeError("thinning did not settle")
 
 
-def skeleton_graph(skeleton: DataFrame, scale: float = 10.0) -> DataFrame:
-    """Edges u, v, weight, length_px of a skeleton: chains of interior pixels between nodes, u < v by pixel id.
-
-    Nodes are pixels with other than 2 neighbours. A chain of interior pixels is
-    a component of them with two attachments to nodes; loops back to one node
-    and rings without a node give no edge, of parallel chains the shortest stays.
-    """
-    kinds = cut(pixel_classify(skeleton))
-    near = pixel_adjacency(skeleton)
-    tagged = near.join(kinds.select(*PIXEL, (F.col("degree") == 2).alias("inner")), PIXEL).join(kinds.select("tile_id", F.col("y").alias("ny"), F.col("x").alias("nx"), (F.col("degree") == 2).alias("n_inner")), ["tile_id", "ny", "nx"])
-    step = F.sqrt((F.abs(F.col("y") - F.col("ny")) + F.abs(F.col("x") - F.col("nx"))).cast("double"))
-    links = cut(tagged.select(pixel_id().alias("a"), pixel_id(y="ny", x="nx").alias("b"), "inner", "n_inner", step.alias("step")))
-    direct = links.where("NOT inner AND NOT n_inner AND a < b").select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("step").alias("length_px"))
-    chains = connected_components(links.where("inner AND n_inner").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    inner = kinds.where("degree = 2").select(pixel_id().alias("a"))
-    chain_of = cut(inner.join(chains.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("component", "a").alias("chain")))
-    within = links.where("inner AND n_inner AND a < b").join(chain_of, "a").groupBy("chain").agg(F.sum("step").alias("within"))
-    ends = links.where("inner AND NOT n_inner").join(chain_of, "a").groupBy("chain").agg(F.min("b").alias("u"), F.max("b").alias("v"), F.sum("step").alias("at_ends"), F.count("*").alias("n"))
-    walked = ends.where("n = 2 AND u <> v").join(within, "chain", "left").select("u", "v", (F.col("at_ends") + F.coalesce("within", F.lit(0.0))).alias("length_px"))
-    shortest = direct.unionByName(walked).groupBy("u", "v").agg(F.min("length_px").alias("length_px"))
-    return shortest.select("u", "v", (F.col("length_px") * scale).alias("weight"), "length_px")
-
-
 def skeleton_nodes(skeleton: DataFrame) -> DataFrame:
     """id, tile_id, y, x, degree, is_endpoint of the skeleton's nodes: pixels with other than 2 neighbours, lone ones among them."""
     kinds = pixel_classify(skeleton).where("degree <> 2")
@@ -310,28 +276,41 @@ def side_by_side(images: list[DataFrame], width: int) -> DataFrame:
     return found
 
 
-def gaussian_kernel(size: int, sigma: float) -> list[tuple[int, int, float]]:
-    """(dy, dx, weight) of a square kernel of odd size; weights add up to 1."""
+def gaussian_line(size: int, sigma: float = 0.0) -> list[float]:
+    """Weights of an odd number of places that add up to 1; without a sigma above 0 it follows from the size."""
+    sigma = sigma if sigma > 0 else 0.3 * ((size - 1) * 0.5 - 1) + 0.8
     line = [math.exp(-((k - size // 2) ** 2) / (2 * sigma * sigma)) for k in range(size)]
-    total = sum(line) ** 2
-    return [(dy - size // 2, dx - size // 2, line[dy] * line[dx] / total) for dy in range(size) for dx in range(size)]
+    return [w / sum(line) for w in line]
+
+
+def _blurred(pixels: DataFrame, columns: list[str], axis: str, n: int, weights: list[float]) -> DataFrame:
+    """One pass along an axis of n places: a line of an image is one row meanwhile, put together before it is shuffled."""
+    reach = len(weights) // 2
+    if reach >= n:
+        raise ValueError(f"a blur of {len(weights)} places needs images of more than {reach}")
+    other = "x" if axis == "y" else "y"
+    lines = pixels.groupBy("tile_id", other).agg(F.array_sort(F.collect_list(F.struct(axis, *columns))).alias("line"))
+    taps = F.array(*map(F.lit, weights))
+
+    def reflected(c: str) -> Column:
+        line = F.transform("line", lambda p: p[c].cast("double"))
+        return F.concat(F.reverse(F.slice(line, 2, reach)), line, F.reverse(F.slice(line, n - reach, reach))) if reach else line
+
+    def smooth(c: str) -> Column:
+        return F.transform("line", lambda _, k: F.aggregate(F.zip_with(F.slice(F.col(f"wide_{c}"), k + 1, len(weights)), taps, lambda v, w: v * w), F.lit(0.0), lambda a, b: a + b))
+
+    lines = lines.select("tile_id", other, "line", *(reflected(c).alias(f"wide_{c}") for c in columns))
+    done = lines.select("tile_id", other, F.transform("line", lambda p: p[axis]).alias(axis), *(smooth(c).alias(c) for c in columns))
+    return done.select("tile_id", other, F.explode(F.arrays_zip(axis, *columns)).alias("p")).select("tile_id", other, "p.*").select(*PIXEL, *columns)
 
 
 def gaussian_blur(pixels: DataFrame, columns: list[str], height: int, width: int, size: int = 5, sigma: float = 1.0) -> DataFrame:
     """pixels of full images with the columns blurred; at the border the image is reflected without repeating its edge.
 
-    A pixel sends its weighted value to the pixels that see it, itself or its reflection.
+    Two passes of `size` terms a pixel, down the columns and along the rows. Images have to be larger than half of the size.
     """
-    kernel = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for dy, dx, w in gaussian_kernel(size, sigma)))
-
-    def mirrors(at: str, n: int) -> Column:
-        return F.array(F.col(at), -F.col(at), 2 * (n - 1) - F.col(at))
-
-    seen = pixels.select("tile_id", *columns, F.explode(F.array_distinct(mirrors("y", height))).alias("y"), mirrors("x", width).alias("xs")).select("tile_id", *columns, "y", F.explode(F.array_distinct("xs")).alias("x"))
-    reach = size // 2
-    seen = seen.where(F.col("y").between(-reach, height - 1 + reach) & F.col("x").between(-reach, width - 1 + reach))
-    sent = inside(seen.withColumn("k", F.explode(kernel)).select("tile_id", (F.col("y") - F.col("k.dy")).alias("y"), (F.col("x") - F.col("k.dx")).alias("x"), *((F.col(c) * F.col("k.w")).alias(c) for c in columns)), height, width)
-    return sent.groupBy(*PIXEL).agg(*(F.sum(c).alias(c) for c in columns))
+    weights = gaussian_line(size, sigma)
+    return _blurred(_blurred(pixels.select(*PIXEL, *columns), columns, "y", height, weights), columns, "x", width, weights)
 
 
 def resize(pixels: DataFrame, columns: list[str], height: int, width: int, new_height: int, new_width: int) -> DataFrame:

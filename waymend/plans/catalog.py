@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import around
+from ..operators import around, chains, labels
 from ..operators import geometry as g
 from ..operators import losses as lo
 from ..operators import paths as p
@@ -273,7 +273,8 @@ def connectivity_ratio(edges, gpos, nodes):
 
 query("mask")(r.pixel_adjacency)
 query("mask")(r.pixel_classify)
-query("mask")(r.component_area_filter)
+query("mask")(labels.component_area_filter)
+query("mask")(labels.pixel_components)
 query("mask")(r.thinning_step)
 query("mask")(r.skeletonize)
 query("mask")(r.skeleton_nodes)
@@ -326,7 +327,12 @@ def morph_skeleton(mask):
 
 @query("mask")
 def skeleton_graph(mask):
-    return r.skeleton_graph(mask).select("u", "v", rounded(F.col("weight")).alias("weight"), rounded(F.col("length_px")).alias("length_px"))
+    return chains.skeleton_graph(mask).select("u", "v", rounded(F.col("weight")).alias("weight"), rounded(F.col("length_px")).alias("length_px"))
+
+
+@query("mask")
+def skeleton_paths(mask):
+    return chains.path_points(chains.skeleton_graph(mask))
 
 
 @table_query("lineitem")
@@ -376,6 +382,11 @@ def epoch_means(lineitem):
     return rel.epoch_means(lineitem.select(F.col("l_linenumber").alias("epoch"), F.col("l_discount").alias("loss"), F.col("l_quantity").alias("n"))).select("epoch", rounded(F.col("loss")).alias("loss"))
 
 
+@query("dense")
+def gaussian_blur_wide(dense):
+    return r.gaussian_blur(dense, ["p", "t"], SIDE, SIDE, 51, 0.0).select(*r.PIXEL, rounded(F.col("p")).alias("p"), rounded(F.col("t")).alias("t"))
+
+
 @table_query("part")
 def sample_rows(part):
     return rel.sample_rows(part, "p_partkey", 5).select("p_partkey", "p_name")

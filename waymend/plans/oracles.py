@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.raster import gaussian_kernel
+from ..operators.raster import gaussian_line
 from .views import DENSE, SIDE, SPARSE, tile, with_views
 
 S = SIDE
@@ -148,6 +148,19 @@ def cubic(m: int) -> str:
     )
 
 
+def mirror(at: str) -> str:
+    return f"CASE WHEN {at} < 0 THEN -({at}) WHEN {at} > {S - 1} THEN {2 * S - 2} - ({at}) ELSE {at} END"
+
+
+def blurred(weights: list[float], columns: list[str]) -> tuple[list[tuple[str, str]], str]:
+    """Steps and statement of a blur down the columns and along the rows."""
+    taps = ", ".join(f"({d - len(weights) // 2}, {w!r}::DOUBLE)" for d, w in enumerate(weights))
+    down = ", ".join(f"sum(n.{c} * w) AS {c}" for c in columns)
+    done = ", ".join(f"round(sum(n.{c} * w), 6) AS {c}" for c in columns)
+    steps = [("k(d, w)", f"VALUES {taps}"), ("down", f"SELECT g.tile_id, g.y, g.x, {down} FROM dense g CROSS JOIN k JOIN dense n ON n.tile_id = g.tile_id AND n.x = g.x AND n.y = {mirror('g.y + d')} GROUP BY ALL")]
+    return steps, f"SELECT g.tile_id, g.y, g.x, {done} FROM down g CROSS JOIN k JOIN down n ON n.tile_id = g.tile_id AND n.y = g.y AND n.x = {mirror('g.x + d')} GROUP BY ALL"
+
+
 def chance(name: str) -> str:
     return f"(CAST('0x' || substr(md5(concat(tile_id, '-42-{name}')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
 
@@ -272,6 +285,7 @@ SQL: dict[str, str] = {
     "pixel_adjacency": with_views("mask", [ADJ], "SELECT * FROM adj"),
     "pixel_classify": with_views("mask", [ADJ, KIND], "SELECT *, CASE WHEN degree <= 1 THEN 'endpoint' WHEN degree = 2 THEN 'interior' ELSE 'intersection' END AS kind FROM kind"),
     "component_area_filter": with_views("mask", [ADJ, ("walk(t, y, x, a, b) AS", "SELECT tile_id, y, x, y, x FROM mask UNION SELECT t, walk.y, walk.x, ny, nx FROM walk JOIN adj ON adj.tile_id = t AND adj.y = a AND adj.x = b")], "SELECT t AS tile_id, y, x FROM walk GROUP BY 1, 2, 3 HAVING count(*) >= 15"),
+    "pixel_components": with_views("mask", [ADJ, ("walk(t, y, x, a, b) AS", "SELECT tile_id, y, x, y, x FROM mask UNION SELECT t, walk.y, walk.x, ny, nx FROM walk JOIN adj ON adj.tile_id = t AND adj.y = a AND adj.x = b")], f"SELECT t AS tile_id, y, x, min({pid('t', 'a', 'b')}) AS label FROM walk GROUP BY 1, 2, 3"),
     "mask_dilate": with_views("mask", [DILATED], "SELECT * FROM wide"),
     "mask_iou_dice": with_views("mask pred", [("b", "SELECT tile_id, p.y AS py, t.y AS ty FROM (SELECT *, 1 AS k FROM pred) p FULL JOIN mask t USING (tile_id, y, x)")], "SELECT tile_id, round(count(CASE WHEN py IS NOT NULL AND ty IS NOT NULL THEN 1 END) / count(*), 6) AS iou, round(2 * count(CASE WHEN py IS NOT NULL AND ty IS NOT NULL THEN 1 END) / (count(py) + count(ty)), 6) AS dice FROM b GROUP BY 1"),
     "mask_relaxed_iou": with_views("mask pred", [DILATED, ("u", "SELECT tile_id, count(*) AS u FROM (SELECT * FROM mask UNION SELECT * FROM pred) GROUP BY 1"), ("i", "SELECT tile_id, count(*) AS i FROM (SELECT * FROM pred INTERSECT SELECT * FROM wide) GROUP BY 1")], "SELECT tile_id, round(least(1, coalesce(i, 0) / u), 6) AS relaxed_iou FROM u LEFT JOIN i USING (tile_id)"),
@@ -292,6 +306,14 @@ SQL: dict[str, str] = {
         ("every", "SELECT a AS u, b AS v, step AS len FROM links WHERE NOT inside AND NOT n_inside AND a < b UNION ALL SELECT u, v, e + coalesce(w, 0) FROM en LEFT JOIN wi USING (chain) WHERE n = 2 AND u <> v")],
         "SELECT u, v, round(min(len) * 10, 6) AS weight, round(min(len), 6) AS length_px FROM every GROUP BY 1, 2",
     ),
+    "skeleton_paths": with_views(
+        "mask", [ADJ, KIND,
+        ("links", f"SELECT {pid('a.tile_id', 'a.y', 'a.x')} AS a, {pid('a.tile_id', 'a.ny', 'a.nx')} AS b, k.degree = 2 AS inside, m.degree = 2 AS n_inside, CAST(abs(a.y - a.ny) = 1 AND abs(a.x - a.nx) = 1 AS INT) AS across FROM adj a JOIN kind k ON k.tile_id = a.tile_id AND k.y = a.y AND k.x = a.x JOIN kind m ON m.tile_id = a.tile_id AND m.y = a.ny AND m.x = a.nx"),
+        ("walk(u, first, prev, cur, k, n_across, open) AS", "SELECT a, b, a, b, 1, across, n_inside FROM links WHERE NOT inside UNION ALL SELECT u, first, cur, b, k + 1, n_across + across, n_inside FROM walk JOIN links ON a = cur AND b <> prev WHERE open"),
+        ("done", "SELECT u, first, cur AS v, k, n_across, k - n_across + n_across * sqrt(2::DOUBLE) AS len FROM walk WHERE NOT open AND u < cur"),
+        ("best", "SELECT u, v, arg_min(first, (len, first)) AS first FROM done GROUP BY 1, 2")],
+        "SELECT u, v, CAST(k AS INT) AS pos, CAST(cur // 1048576 % 1048576 AS INT) AS y, CAST(cur % 1048576 AS INT) AS x FROM best JOIN walk USING (u, first) UNION ALL SELECT u, v, 0, CAST(u // 1048576 % 1048576 AS INT), CAST(u % 1048576 AS INT) FROM best",
+    ),
     "polyline_length": "WITH s AS (SELECT l_orderkey AS path_id, sqrt((l_partkey % 97 - lag(l_partkey % 97) OVER w) ** 2 + (l_suppkey % 89 - lag(l_suppkey % 89) OVER w) ** 2) AS step FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 97, l_suppkey % 89)) SELECT path_id, round(coalesce(sum(step), 0), 6) AS length FROM s GROUP BY 1",
     "rasterize_ways": f"WITH p AS (SELECT {tile(SPARSE)} AS tile_id, l_orderkey AS way, l_linenumber AS pos, CAST(l_orderkey % 48 + l_suppkey % 16 AS DOUBLE) AS y, CAST(l_linenumber * 9 - 8 AS DOUBLE) AS x FROM lineitem), "
     "s AS (SELECT tile_id, y AS ya, x AS xa, lead(y) OVER w AS yb, lead(x) OVER w AS xb FROM p WINDOW w AS (PARTITION BY tile_id, way ORDER BY pos, y, x)), "
@@ -305,9 +327,8 @@ SQL: dict[str, str] = {
     f"f AS (SELECT i.tile_id, CASE WHEN v THEN {S - 1} - y ELSE y END AS y, CASE WHEN h THEN {S - 1} - x ELSE x END AS x, q, " + ", ".join(f"CASE WHEN l THEN CAST(least(255, greatest(0, floor({c} * k + m))) AS INT) ELSE {c} END AS {c}" for c in "rgb") + " FROM i JOIN d USING (tile_id)) "
     f"SELECT tile_id, CAST(CASE q WHEN 1 THEN {S - 1} - x WHEN 2 THEN {S - 1} - y WHEN 3 THEN x ELSE y END AS INT) AS y, CAST(CASE q WHEN 1 THEN y WHEN 2 THEN {S - 1} - x WHEN 3 THEN {S - 1} - y ELSE x END AS INT) AS x, r, g, b FROM f",
     "side_by_side": with_views("mask pred", [], f"SELECT tile_id, y, x, 255 AS r, 255 AS g, 255 AS b FROM mask UNION ALL SELECT tile_id, y, CAST(x + {S} AS INT), 127, 127, 127 FROM pred"),
-    "gaussian_blur": with_views("dense", [("k(dy, dx, w)", "VALUES " + ", ".join(f"({dy}, {dx}, {w!r}::DOUBLE)" for dy, dx, w in gaussian_kernel(5, 1.0)))],
-        "SELECT g.tile_id, g.y, g.x, round(sum(n.p * w), 6) AS p FROM dense g CROSS JOIN k JOIN dense n ON n.tile_id = g.tile_id "
-        f"AND n.y = CASE WHEN g.y + dy < 0 THEN -(g.y + dy) WHEN g.y + dy > {S - 1} THEN {2 * S - 2} - (g.y + dy) ELSE g.y + dy END AND n.x = CASE WHEN g.x + dx < 0 THEN -(g.x + dx) WHEN g.x + dx > {S - 1} THEN {2 * S - 2} - (g.x + dx) ELSE g.x + dx END GROUP BY ALL"),
+    "gaussian_blur": with_views("dense", *blurred(gaussian_line(5, 1.0), ["p"])),
+    "gaussian_blur_wide": with_views("dense", *blurred(gaussian_line(51), ["p", "t"])),
     "resize": with_views("dense", [("wy", cubic(24)), ("wx", cubic(40))], "SELECT tile_id, CAST(wy.k AS INT) AS y, CAST(wx.k AS INT) AS x, round(sum(sqrt(p) * wy.w * wx.w), 6) AS p FROM dense JOIN wy ON wy.j = y JOIN wx ON wx.j = x GROUP BY 1, 2, 3"),
     "epoch_means": "SELECT l_linenumber AS epoch, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS loss FROM lineitem GROUP BY 1",
     "sample_rows": "SELECT p_partkey, p_name FROM part ORDER BY md5(concat(p_partkey, '-42')), p_partkey LIMIT 5",
