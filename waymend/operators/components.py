@@ -110,3 +110,26 @@ def spanning_forest(candidates: DataFrame, labels: DataFrame | None = None, most
         place = cut(place.join(into.withColumnRenamed("c", "component"), "component", "left").select("node", F.coalesce("p", "component").alias("component")))
         open_ = across.select("u", "v", "dist")
     return candidates.limit(0).select("u", "v", "dist") if taken is None else taken.distinct()
+
+
+def merged_cells(edges: DataFrame, nodes: DataFrame, cell_nodes: int, most_rounds: int = 20) -> DataFrame:
+    """id, cell: nodes (id) in cells of about cell_nodes neighbouring ones, as a network of edges (u, v) can be parted without places.
+
+    In each round a cell of less than half that size joins a neighbour, the one of least hash; cells that choose each other in a chain become one.
+    """
+    place = cut(nodes.select("id", F.col("id").alias("cell")))
+    for _ in range(most_rounds):
+        size = cut(place.groupBy("cell").agg(F.count("*").alias("n")))
+        across = edges.join(place.withColumnsRenamed({"id": "u", "cell": "cu"}), "u").join(place.withColumnsRenamed({"id": "v", "cell": "cv"}), "v").where("cu <> cv").select("cu", "cv").distinct()
+        both = across.union(across.select("cv", "cu")).toDF("c", "p")
+        draw = F.xxhash64(F.least("c", "p"), F.greatest("c", "p"))
+        small = size.where(F.col("n") * 2 < cell_nodes).select(F.col("cell").alias("c"))
+        # Choices go by one order of all pairs, so that only two that chose each other form a ring; who doesn't choose is a root.
+        choice = both.join(small, "c", "left_semi").groupBy("c").agg(F.min(F.struct(draw.alias("draw"), "p"))["p"].alias("p"))
+        choice = cut(choice)
+        if choice.isEmpty():
+            break
+        still = choice.select(F.col("p").alias("c")).join(choice.select("c"), "c", "left_anti").distinct().select("c", F.col("c").alias("p"))
+        into = _roots(choice.unionByName(still))
+        place = cut(place.join(into.withColumnsRenamed({"c": "cell", "p": "root"}), "cell", "left").select("id", F.coalesce("root", "cell").alias("cell")))
+    return place

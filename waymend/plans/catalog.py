@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import around, chains, labels
+from ..operators import around, chains, labels, overlay
 from ..operators import geometry as g
 from ..operators import losses as lo
 from ..operators import paths as p
@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WIDE = {"distance": 60.0, "angle": 90.0}
 TOP_CLOSURES = 3
 OD_PAIRS = 100
+#: Cells of the test tables' networks, which are small.
+CELL_NODES = 32
 
 
 def query(*views: str):
@@ -115,7 +117,23 @@ def reachability(edges, nodes):
 
 @query("edges")
 def shortest_paths(edges):
-    return p.shortest_paths(edges, graph_nodes(edges).select(F.col("id").alias("src")))
+    """How far all nodes are from the ten most linked ones."""
+    return p.shortest_paths(edges, most_linked(edges, 10).select(F.col("closed").alias("src")))
+
+
+@query("edges")
+def overlay_distances(edges):
+    """The same from the three most linked nodes, over cells and their borders."""
+    return overlay.overlay_paths(edges, most_linked(edges, 3).select(F.col("closed").alias("src")), cell_nodes=CELL_NODES).select("src", "node", "dist")
+
+
+@query("edges")
+def overlay_closures(edges):
+    """Trips of an OD sample where the most linked node is closed, over cells and their borders."""
+    od = cut(p.od_sample(edges, most_linked(edges), OD_PAIRS))
+    far = overlay.overlay_paths(edges, od.select("closed", F.col("u").alias("src")), od.select(F.col("v").alias("node")), cell_nodes=CELL_NODES)
+    far = far.select("closed", F.col("src").alias("u"), F.col("node").alias("v"), F.col("dist").alias("after"))
+    return od.join(far, ["closed", "u", "v"], "left").select("closed", "attempt", "u", "v", "after")
 
 
 QUERIES["parallel_edge_min"] = lambda spark, d: rel.parallel_edge_min(view(spark, d, "multi_edges"))

@@ -204,16 +204,17 @@ def image(k: int) -> str:
     return f"SELECT {tile(SPARSE)} AS tile_id, CAST(l_partkey % {S} AS INT) AS y, CAST(l_orderkey % {S} AS INT) AS x, {parts} FROM lineitem GROUP BY 1, 2, 3"
 
 
+FAR = (
+    "far(c, s, n, d) USING KEY (c, s, n) AS",
+    "SELECT DISTINCT closed, u, u, CAST(0 AS BIGINT) FROM od UNION SELECT x.c, x.s, x.v, x.d FROM (SELECT far.c, far.s, sym.v, min(far.d + sym.w) AS d FROM far JOIN sym ON sym.u = far.n WHERE sym.v <> far.c GROUP BY 1, 2, 3) x "
+    "LEFT JOIN recurring.far k ON k.c = x.c AND k.s = x.s AND k.n = x.v WHERE k.d IS NULL OR x.d < k.d",
+)
 CLOSE = [
     ("closures", f"SELECT id AS closed FROM score {RANK} LIMIT 3"),
     *graph("edges", REACH, LABELS),
     *od(1000, 100),
     ("base", "SELECT od.*, d AS base FROM od JOIN dist ON s = u AND n = v"),
-    (
-        "far(c, s, n, d) USING KEY (c, s, n) AS",
-        "SELECT DISTINCT closed, u, u, CAST(0 AS BIGINT) FROM od UNION SELECT x.c, x.s, x.v, x.d FROM (SELECT far.c, far.s, sym.v, min(far.d + sym.w) AS d FROM far JOIN sym ON sym.u = far.n WHERE sym.v <> far.c GROUP BY 1, 2, 3) x "
-        "LEFT JOIN recurring.far k ON k.c = x.c AND k.s = x.s AND k.n = x.v WHERE k.d IS NULL OR x.d < k.d",
-    ),
+    FAR,
     ("trips", "SELECT base.*, far.d AS after, max(base) OVER (PARTITION BY closed) * 5.0::DOUBLE AS worst FROM base LEFT JOIN far ON c = closed AND s = u AND n = v"),
     ("sums", "SELECT closed, avg(base) AS b, avg(coalesce(CAST(after AS DOUBLE), worst)) AS p, count(*) - count(after) AS severed, count(*) AS total FROM trips GROUP BY 1"),
     ("km", "SELECT u AS closed, sum(w) / 1000 AS km FROM sym GROUP BY 1"),
@@ -247,7 +248,9 @@ SQL: dict[str, str] = {
         "SELECT round(coalesce(avg(CASE WHEN connected THEN abs(d - direct) / greatest(direct, 1e-3) END), 0) * 100, 6) AS mean_error_pct, round(100.0::DOUBLE * sum(CAST(connected AS INT)) / count(*), 6) AS reachable_pct FROM t",
     ),
     "reachability": with_views("broken_edges all_nodes", [*GA, *graph("broken_edges", REACH, LABELS), ("closures", "SELECT CAST(NULL AS BIGINT) AS closed"), *od(200, 200)], "SELECT attempt, u, v, connected AS reachable FROM attempts"),
-    "shortest_paths": with_views("edges", [*G, *graph("edges", DIST)], "SELECT s AS src, n AS node, d AS dist FROM dist"),
+    "shortest_paths": with_views("edges", [*G, *LINKED(10), *graph("edges", DIST)], "SELECT s AS src, n AS node, d AS dist FROM dist WHERE s IN (SELECT closed FROM closures)"),
+    "overlay_distances": with_views("edges", [*G, *LINKED(3), *graph("edges", DIST)], "SELECT s AS src, n AS node, d AS dist FROM dist WHERE s IN (SELECT closed FROM closures)"),
+    "overlay_closures": with_views("edges", [*G, *graph("edges", REACH, LABELS), *LINKED(1), *od(1000, 100), FAR], "SELECT closed, attempt, od.u, od.v, far.d AS after FROM od LEFT JOIN far ON c = closed AND s = od.u AND n = od.v"),
     "parallel_edge_min": with_views("multi_edges", [], "SELECT least(u, v) AS u, greatest(u, v) AS v, min(length) AS weight, arg_min(highway, (length, highway)) AS highway FROM multi_edges GROUP BY 1, 2"),
     "affected_km": with_views("edges", G, "SELECT u AS id, round(sum(w) / 1000, 6) AS km FROM sym GROUP BY 1"),
     "node_removal": with_views("edges", LINKED(3), "SELECT closed, u, v, w FROM edges, closures WHERE u <> closed AND v <> closed"),
