@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import around, chains, labels, overlay
+from ..operators import around, blocks, chains, labels, overlay
 from ..operators import geometry as g
 from ..operators import losses as lo
 from ..operators import paths as p
@@ -67,6 +67,16 @@ def betweenness(edges):
     return p.betweenness(edges).select("id", rounded(F.col("score")).alias("score"))
 
 
+@query("broken_edges", "all_nodes")
+def betweenness_by_blocks(edges, nodes):
+    return blocks.block_betweenness(edges, nodes).select("id", rounded(F.col("score")).alias("score"))
+
+
+@query("broken_edges")
+def articulation_points(edges):
+    return blocks.articulation_points(edges)
+
+
 @query("edges", "gpos")
 def gatekeeper_topn(edges, gpos):
     top = p.gatekeepers(edges, p.betweenness(edges).withColumn("score", F.round("score", 9)), gpos)

@@ -226,6 +226,11 @@ SQL: dict[str, str] = {
     "node_degree": with_views("edges gpos", graph("edges", DEGREE), "SELECT id, coalesce(degree, 0) AS degree FROM gpos LEFT JOIN deg USING (id)"),
     "betweenness": with_views("edges", BC, "SELECT id, round(score, 6) AS score FROM score"),
     "betweenness_with_lone_nodes": with_views("broken_edges all_nodes", [*GA, *graph("broken_edges", DIST), *SCORE], "SELECT id, round(score, 6) AS score FROM score"),
+    "betweenness_by_blocks": with_views("broken_edges all_nodes", [*GA, *graph("broken_edges", DIST), *SCORE], "SELECT id, round(score, 6) AS score FROM score"),
+    "articulation_points": with_views(
+        "broken_edges", [*GB, ("rest(x, s, n) AS", "SELECT u, v, v FROM sym UNION SELECT x, s, v FROM rest JOIN sym ON sym.u = n WHERE v <> x"), ("piece", "SELECT x, s, min(n) AS piece FROM rest GROUP BY 1, 2")],
+        "SELECT x AS id, count(DISTINCT piece) AS n_blocks FROM piece GROUP BY 1 HAVING count(DISTINCT piece) > 1",
+    ),
     "gatekeeper_topn": with_views("edges gpos", [*BC, *graph("edges", DEGREE)], f"SELECT id, round(round(score, 9), 6) AS score, degree, round(y, 6) AS y, round(x, 6) AS x, degree <= 1 AS is_endpoint FROM score JOIN deg USING (id) JOIN gpos USING (id) {RANK} LIMIT 10"),
     "top_gatekeeper": with_views("edges", BC, f"SELECT id, round(round(score, 9), 6) AS score FROM score {RANK} LIMIT 1"),
     "node_closure": with_views(
