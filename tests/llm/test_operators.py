@@ -244,6 +244,43 @@ def test_line_dedup_counts_documents_of_any_id_type(spark, batches):
     assert {bytes(r.line): (r.n_docs, r.last_id) for r in runs.counts().collect()} == {f"l{j}".encode(): (min(j, 4) - max(0, j - 2) + 1, f"d{9 - max(0, j - 2)}") for j in range(7)}
 
 
+def test_runs_are_read_without_an_exchange(spark):
+    """A batch beside all runs, and runs beside each other: merge joins of what lies in buckets already."""
+    runs = line_dedup.LineRuns(9, buckets=3)
+    for k in range(3):
+        runs.add(spark.createDataFrame([(9 - k, f"l{j}".encode()) for j in range(k, k + 3)], "id long, line binary"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        own = line_dedup.bucketed(spark.createDataFrame([(b"l1", 1, 3), (b"new", 1, 3)], "line binary, n_docs long, last_id long"), "line", 3)
+        for df in (runs.marked(own), runs.counts()):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert {bytes(r.line): r.last_id for r in runs.marked(own).collect()} == {b"l1": None, b"new": 3}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_runs_outlive_a_call(spark, corpus, tmp_path):
+    """Documents of larger ids first, then the others against the stored runs, taken up by their paths: as all at once."""
+    rows = [r for r in corpus if r[0] is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = bag(line_dedup.line_dedup(docs, least_chars=5, least_docs=3).collect())
+    runs = line_dedup.LineRuns(2, 4, str(tmp_path))
+    placed = {part: line_dedup.line_places(docs.where(part), least_chars=5) for part in ("doc_id >= 60", "doc_id < 60 AND doc_id >= 20", "doc_id < 20")}
+    for lines in placed.values():
+        line_dedup.add_lines(runs, lines)
+        runs = line_dedup.LineRuns.resumed(spark, runs.state(), "bigint", 4, 2, str(tmp_path))
+    assert all(path.startswith(str(tmp_path)) for _, path in runs.state()) and [len(x) for x in runs.levels] == [1, 1]
+    got = line_dedup.drop_lines(docs, line_dedup.line_places(docs, least_chars=5), runs, least_docs=3)
+    assert bag(got.collect()) == want
+    # Documents of smaller ids against the runs of the larger ones.
+    first = line_dedup.LineRuns(2, 4, str(tmp_path))
+    line_dedup.add_lines(first, placed["doc_id >= 60"])
+    late = docs.where("doc_id < 60")
+    assert bag(line_dedup.line_dedup(late, least_chars=5, least_docs=3, runs=first).collect()) == Counter({r: n for r, n in want.items() if r[0] < 60})
+
+
 def test_line_dedup_of_a_long_text(spark):
     """200,000 lines, every second one dropped."""
     rng = random.Random(2)

@@ -1,14 +1,16 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 Documents come in batches, those of larger ids first. A batch's line hashes
-are sorted into a run; a merge-anti-join with the runs so far tells which of
-them are new, and so which document is a line's last holder. The batch then
-adds its own run; a level that has `fanout` runs is compacted into one run of
-the next level, where the counts of a line are summed.
+are sorted into a run, a table in buckets by line; a merge join with the runs so
+far, bucketed alike, tells which of them are new, and so which document is a
+line's last holder. The batch then adds its own run; a level that has `fanout`
+runs is compacted into one run of the next level, where the counts of a line
+are summed. Runs are stored and can be taken up by a later call.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .kernels import chunks, row_of
 from .names import ddl, literal
-from .session import cut, table
+from .session import bucketed, bucketed_at, cut, shared_folder, table
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
@@ -39,47 +41,80 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Runs of (line, n_docs, last_id), by level; last_id is null where an earlier batch has the last holder."""
+    """Runs of (line, n_docs, last_id), by level; last_id is null where an earlier batch has the last holder.
 
-    def __init__(self, fanout: int = FANOUT):
+    A run is a stored table in buckets by line, each sorted by it, so that batches and runs, and runs among
+    themselves, meet bucket by bucket: no run is shuffled or sorted anew. state() names the stored runs; resumed()
+    goes on from there in another session. Batches come by falling ids, whichever call they come in.
+    """
+
+    def __init__(self, fanout: int = FANOUT, buckets: int | None = None, folder: str | None = None):
         self.levels: list[list[DataFrame]] = []
-        self.fanout = fanout
+        self.fanout, self.buckets, self.folder = fanout, buckets, folder
+        self._paths: dict[int, str] = {}
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
+    def state(self) -> list[tuple[int, str]]:
+        """(level, path) of each stored run."""
+        return [(level, self._paths[id(run)]) for level, runs in enumerate(self.levels) for run in runs]
+
+    @classmethod
+    def resumed(cls, spark: SparkSession, state: list[tuple[int, str]], id_type: str, buckets: int, fanout: int = FANOUT, folder: str | None = None) -> LineRuns:
+        found = cls(fanout, buckets, folder)
+        for level, path in sorted(state):
+            while len(found.levels) <= level:
+                found.levels.append([])
+            run = bucketed_at(spark, path, f"line binary, n_docs bigint, last_id {id_type}", "line", buckets)
+            found.levels[level].append(run)
+            found._paths[id(run)] = path
+        return found
+
+    def _store(self, run: DataFrame, shuffled: bool = False) -> DataFrame:
+        path = f"{self.folder or shared_folder(run.sparkSession)}/run-{uuid.uuid4().hex}"
+        stored = bucketed(run, "line", self.buckets, shuffled, path=path)
+        self._paths[id(stored)] = path
+        return stored
+
+    def marked(self, own: DataFrame) -> DataFrame:
+        """A batch's own run with last_id null for the lines that any run has: a merge join with each, without an exchange on either side."""
+        seen = F.lit(False)
+        for k, run in enumerate(self.runs()):
+            own = own.join(run.select("line", F.lit(True).alias(f"in_{k}")).hint("merge"), "line", "left")
+            seen = seen | F.coalesce(f"in_{k}", F.lit(False))
+        return own.select("line", "n_docs", F.when(~seen, F.col("last_id")).alias("last_id"))
+
     def add(self, batch: DataFrame) -> DataFrame:
-        """Take a batch of (line, id), a row for each document that holds the line; returns the lines not seen before."""
-        own = cut(batch.groupBy("line").agg(F.count("*").alias("n_docs"), F.max("id").alias("last_id")).sortWithinPartitions("line"))
-        fresh = own
-        for run in self.runs():
-            fresh = fresh.join(run.select("line"), "line", "left_anti")
-        if self.levels:
-            fresh = cut(fresh)
-            again = own.join(fresh.select("line"), "line", "left_anti").withColumn("last_id", F.lit(None).cast(own.schema["last_id"].dataType))
-            self._put(cut(fresh.unionByName(again).sortWithinPartitions("line")), 0)
-        else:
-            self._put(own, 0)
-        return fresh
+        """Take a batch of (line, id), a row for each document that holds the line; returns the lines not seen before, with n_docs and last_id."""
+        if self.buckets is None:
+            self.buckets = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        own = self._store(batch.groupBy("line").agg(F.count("*").alias("n_docs"), F.max("id").alias("last_id")), True)
+        run = self._store(self.marked(own)) if self.runs() else own
+        self._put(run, 0)
+        return run.where("last_id IS NOT NULL")
 
     def _put(self, run: DataFrame, level: int) -> None:
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._merged(self.levels[level])
+            merged = self.merged(self.levels[level])
             self.levels[level] = []
-            self._put(cut(merged.sortWithinPartitions("line")), level + 1)
+            self._put(self._store(merged), level + 1)
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
+    def merged(self, runs: list[DataFrame]) -> DataFrame:
+        """Sorted runs as one, counts of a line summed up: a merge join, bucket by bucket, and what it gives is stored before the next."""
         every = runs[0]
-        for run in runs[1:]:
-            every = every.unionByName(run)
-        return every.groupBy("line").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
+        for k, run in enumerate(runs[1:]):
+            every = self._store(every) if k else every
+            other = run.select("line", F.col("n_docs").alias("more"), F.col("last_id").alias("other_id")).hint("merge")
+            both = every.join(other, "line", "full")
+            every = both.select("line", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"), F.coalesce("last_id", "other_id").alias("last_id"))
+        return every
 
     def counts(self) -> DataFrame:
-        return self._merged(self.runs())
+        return self.merged(self.runs())
 
 
 def falling_parts(ids: DataFrame, parts: int, sample: int = SPLITTER_SAMPLE) -> list[Column]:
@@ -133,7 +168,30 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(row, n), pa.array(per_row), pa.array(n_gone.astype(np.int64)), text], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def line_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
+    """doc_id, text_key, at, line: where keys of at least least_chars code points stand, line the key's MD5."""
+    text = F.col(f"`{text_col}`")
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    numbered = texts.select("doc_id", "text_key", F.posexplode(F.transform(lines(F.col("text")), line_key)).alias("at", "key")).where(F.char_length("key") >= least_chars)
+    return numbered.select("doc_id", "text_key", "at", F.unhex(F.md5("key")).alias("line"))
+
+
+def add_lines(runs: LineRuns, placed: DataFrame) -> DataFrame:
+    """One batch of line_places() to the runs, a line once for each document; returns the lines not seen before."""
+    return runs.add(placed.select(F.col("doc_id").alias("id"), "line").distinct())
+
+
+def drop_lines(docs: DataFrame, placed: DataFrame, runs: LineRuns, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS) -> DataFrame:
+    """docs without the lines of placed that the runs count in at least least_docs documents, but in the last one that holds them: doc_id, n_lines, n_dropped, kept_text."""
+    text = F.col(f"`{text_col}`")
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    often = cut(runs.counts().where((F.col("n_docs") >= least_docs) & F.col("last_id").isNotNull()).select(F.col("line").alias("often"), "last_id"))
+    gone = placed.join(often, F.col("line") == F.col("often")).where(~F.col("doc_id").eqNullSafe(F.col("last_id"))).groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(F.collect_set("at").alias("gone"))
+    joined = texts.join(gone, F.expr("doc_id <=> gone_id AND text_key = gone_key"), "left").select("doc_id", "text", "gone")
+    return joined.mapInArrow(_kept, f"doc_id {ddl(texts.schema['doc_id'].dataType)}, n_lines long, n_dropped long, kept_text string")
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fanout: int = FANOUT, runs: LineRuns | None = None) -> DataFrame:
     """Drop lines that stand in at least least_docs documents, but in the last document that holds them.
 
     Returns per row: doc_id, n_lines (before), n_dropped, kept_text.
@@ -144,18 +202,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep the line if its id is the largest. A null id is an id like others and
     comes before all of them; lines that only it holds stay. Tables may be
     empty; other columns are not read. Ids of any type with an order are taken in batches alike.
+
+    runs: stored runs of documents of larger ids, none by default; their lines count, and they take these documents' lines.
     """
-    text = F.col(f"`{text_col}`")
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    numbered = texts.select("doc_id", "text_key", F.posexplode(F.transform(lines(F.col("text")), line_key)).alias("at", "key")).where(F.char_length("key") >= least_chars)
-    placed = cut(numbered.select("doc_id", "text_key", "at", F.unhex(F.md5("key")).alias("line")))
-    runs = LineRuns(fanout)
-    for part in falling_parts(texts, batches):
-        runs.add(placed.where(part).select(F.col("doc_id").alias("id"), "line").distinct())
-    often = cut(runs.counts().where((F.col("n_docs") >= least_docs) & F.col("last_id").isNotNull()).select(F.col("line").alias("often"), "last_id"))
-    gone = placed.join(often, F.col("line") == F.col("often")).where(~F.col("doc_id").eqNullSafe(F.col("last_id"))).groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(F.collect_set("at").alias("gone"))
-    joined = texts.join(gone, F.expr("doc_id <=> gone_id AND text_key = gone_key"), "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(_kept, f"doc_id {ddl(texts.schema['doc_id'].dataType)}, n_lines long, n_dropped long, kept_text string")
+    runs = LineRuns(fanout) if runs is None else runs
+    placed = cut(line_places(docs, id_col, text_col, least_chars))
+    for part in falling_parts(docs.select(F.col(f"`{id_col}`").alias("doc_id")), batches):
+        add_lines(runs, placed.where(part))
+    return drop_lines(docs, placed, runs, id_col, text_col, least_docs)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
