@@ -2,7 +2,6 @@ import json
 
 import numpy as np
 
-from waymend.operators.occlusion import occlude_patches
 from waymend.sources.artifact import artifact_lines, deliverable
 from waymend.operators.raster import extract_patches, gray_to_rgb
 from waymend.operators.relational import epoch_means, sample_rows
@@ -42,13 +41,6 @@ def test_generators(spark):
     assert tile.count() == 256 and tile.where("r < 0 OR r > 255").isEmpty()
 
 
-def test_occlusion_changes_and_repeats(spark):
-    image = bytes([128]) * (256 * 256 * 3)
-    patches = spark.createDataFrame([("a", 256, 256, image), ("b", 40, 40, bytes([128]) * 4800)], "patch_id string, height int, width int, image binary")
-    one, two = ({r.patch_id: bytes(r.image) for r in occlude_patches(patches).collect()} for _ in range(2))
-    assert one == two and one["a"] != image and len(one["a"]) == len(image) and len(one["b"]) == 4800
-
-
 def test_images_and_patches_are_written(spark, tmp_path):
     mask = spark.createDataFrame([(t, k, (k * 7 + t) % 20) for t in range(2) for k in range(20)], "tile_id int, y int, x int")
     saved = write_pngs(image_pngs(gray_to_rgb(mask, 90), 20, 20), str(tmp_path / "tiles"), "tile").collect()

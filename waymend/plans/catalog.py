@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import around, blocks, chains, labels, overlay
+from ..operators import around, blocks, chains, labels, occlusion, overlay
 from ..operators import geometry as g
 from ..operators import losses as lo
 from ..operators import paths as p
@@ -390,6 +390,28 @@ def augment(lineitem):
     return r.augment(_image(lineitem, 1), SIDE, SIDE)
 
 
+def _tinted(dense: DataFrame) -> DataFrame:
+    """An image of every dense tile."""
+    return dense.select(*r.PIXEL, F.floor(F.col("p") * 250).cast("int").alias("r"), (F.col("y") * 2 + 90).cast("int").alias("g"), (F.col("x") * 3 + F.col("t") * 40).cast("int").alias("b"))
+
+
+@query("dense")
+def occlusion_shapes(dense):
+    """The filled shadow polygons of every tile."""
+    shadows = occlusion.shapes(dense, "shadow", 3, SIDE, SIDE)
+    return occlusion.filled_polygons(occlusion.polygon_corners(shadows), SIDE, SIDE)
+
+
+@query("dense")
+def occlude(dense):
+    return occlusion.occlude(_tinted(dense), SIDE, SIDE)
+
+
+@query("dense")
+def occluded_variants(dense):
+    return occlusion.occluded_variants(_tinted(dense), SIDE, SIDE)
+
+
 @query("mask", "pred")
 def side_by_side(mask, pred):
     return r.side_by_side([r.gray_to_rgb(mask), r.gray_to_rgb(pred, 127)], SIDE)

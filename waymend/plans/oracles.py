@@ -161,6 +161,79 @@ def blurred(weights: list[float], columns: list[str]) -> tuple[list[tuple[str, s
     return steps, f"SELECT g.tile_id, g.y, g.x, {done} FROM down g CROSS JOIN k JOIN down n ON n.tile_id = g.tile_id AND n.y = g.y AND n.x = {mirror('g.x + d')} GROUP BY ALL"
 
 
+def turned(of: str) -> str:
+    """Two steps and a statement: the images of a step flipped, turned and brightened."""
+    return (
+        f"d AS (SELECT tile_id, {chance('horizontal')} < 0.5 AS h, {chance('vertical')} < 0.5 AS v, CASE WHEN {chance('turn')} < 0.5 THEN CAST(floor(4 * {chance('quarters')}) AS INT) ELSE 0 END AS q, {chance('bright')} < 0.3 AS l, 1 + 0.2::DOUBLE * (2 * {chance('scale')} - 1) AS k, 255 * 0.2::DOUBLE * (2 * {chance('shift')} - 1) AS m FROM (SELECT DISTINCT tile_id FROM {of})), "
+        f"f AS (SELECT {of}.tile_id, CASE WHEN v THEN {S - 1} - y ELSE y END AS y, CASE WHEN h THEN {S - 1} - x ELSE x END AS x, q, " + ", ".join(f"CASE WHEN l THEN CAST(least(255, greatest(0, floor({c} * k + m))) AS INT) ELSE {c} END AS {c}" for c in "rgb") + f" FROM {of} JOIN d USING (tile_id)) "
+        f"SELECT tile_id, CAST(CASE q WHEN 1 THEN {S - 1} - x WHEN 2 THEN {S - 1} - y WHEN 3 THEN x ELSE y END AS INT) AS y, CAST(CASE q WHEN 1 THEN y WHEN 2 THEN {S - 1} - x WHEN 3 THEN {S - 1} - y ELSE x END AS INT) AS x, r, g, b FROM f"
+    )
+
+
+def drawn(name: str, *more: str) -> str:
+    """From 0 up to 1 by MD5 of the tile, the seed, a name and columns."""
+    text = ", ".join(["tile_id", f"'-42-{name}'", *(x for c in more for x in ("'-'", c))])
+    return f"(CAST('0x' || substr(md5(concat({text})), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+def shape(kind: str, count: int) -> str:
+    """The shapes of a kind on tiles of S pixels, where radiuses are the least ones or drawn from the canopy's range."""
+    number = lambda name, low, high: f"CAST({low} + floor({drawn(f'{kind}-{name}', 'k')} * {high - low + 1}) AS INT)"
+    share = lambda name, low, high: f"{low}::DOUBLE + {drawn(f'{kind}-{name}', 'k')} * ({high}::DOUBLE - {low}::DOUBLE)"
+    own = {
+        "shadow": f"20 AS radius, {number('b', 3, 6)} AS corners, {share('c', 0.25, 0.55)} AS light",
+        "canopy": f"{number('a', 25, 59)} AS rx, {number('b', 25, 59)} AS ry, {number('c', 0, 179)} AS turn, {number('d', 90, 129)} AS green",
+        "cloud": f"40 AS rx, 40 AS ry, 0 AS turn, {share('b', 0.6, 0.9)} AS opacity",
+    }[kind]
+    return f"SELECT tile_id, k, {number('x', 0, S - 1)} AS cx, {number('y', 0, S - 1)} AS cy, {own} FROM (SELECT DISTINCT tile_id FROM dense), range({count}) r(k)"
+
+
+def ellipse_pixels(kind: str) -> str:
+    dy, dx, cos, sin = "(p.y - cy)", "(p.x - cx)", "cos(radians(turn))", "sin(radians(turn))"
+    return f"SELECT p.tile_id, k, p.y, p.x FROM {kind}_shape s JOIN dense p ON p.tile_id = s.tile_id WHERE (({dx} * {cos} + {dy} * {sin}) / rx) ** 2 + (({dy} * {cos} - {dx} * {sin}) / ry) ** 2 <= 1"
+
+
+#: Corners by angle; a pixel is inside if an odd number of edges cross its row at or left of it, or if it lies on an edge.
+POLYGONS = [
+    ("ray", f"SELECT tile_id, k, i, cy, cx, 2 * pi() * {drawn('shadow-angle', 'k', 'i')} AS angle, radius * (0.6::DOUBLE + {drawn('shadow-reach', 'k', 'i')} * (1.2::DOUBLE - 0.6::DOUBLE)) AS reach FROM shadow_shape JOIN range(6) r(i) ON i < corners"),
+    ("corner", "SELECT tile_id, k, row_number() OVER (PARTITION BY tile_id, k ORDER BY angle, i) AS at, CAST(trunc(cy + reach * sin(angle)) AS INT) AS y, CAST(trunc(cx + reach * cos(angle)) AS INT) AS x, count(*) OVER (PARTITION BY tile_id, k) AS n FROM ray"),
+    ("side", "SELECT a.tile_id, a.k, a.y AS ya, a.x AS xa, b.y AS yb, b.x AS xb FROM corner a JOIN corner b ON b.tile_id = a.tile_id AND b.k = a.k AND b.at = a.at % a.n + 1"),
+    ("cross_at", f"SELECT *, CASE WHEN ya = yb THEN xa ELSE xa + (y - ya) * (xb - xa) / CAST(yb - ya AS DOUBLE) END AS x FROM side JOIN range({S}) r(y) ON y BETWEEN least(ya, yb) AND greatest(ya, yb)"),
+    ("shadow_px", "SELECT tile_id, k, y, x FROM (SELECT p.tile_id, c.k, p.y, p.x, sum(CASE WHEN ya <> yb AND c.y < greatest(ya, yb) AND c.x <= p.x THEN 1 ELSE 0 END) % 2 = 1 AS inside, "
+     "bool_or(CASE WHEN ya <> yb AND c.y < greatest(ya, yb) THEN c.x = p.x ELSE false END) AS touches, bool_or(CASE WHEN ya = yb THEN p.x BETWEEN least(xa, xb) AND greatest(xa, xb) ELSE p.x = floor(c.x + 0.5) END) AS drawn "
+     "FROM dense p JOIN cross_at c ON c.tile_id = p.tile_id AND c.y = p.y GROUP BY 1, 2, 3, 4) WHERE inside OR touches OR drawn"),
+]
+
+
+def covered(kind: str, size: int, cells: str = "dense") -> list[tuple[str, str]]:
+    """<kind>_cover: tile_id, k, y, x, cover of a kind's pixels <kind>_px, blurred."""
+    taps = ", ".join(f"({d - size // 2}, {w!r}::DOUBLE)" for d, w in enumerate(gaussian_line(size)))
+    return [
+        (f"{kind}_w(d, w)", f"VALUES {taps}"),
+        (f"{kind}_down", f"SELECT g.tile_id, m.k, g.y, m.x, sum(w) AS c FROM (SELECT DISTINCT tile_id, y FROM {cells}) g CROSS JOIN {kind}_w JOIN {kind}_px m ON m.tile_id = g.tile_id AND m.y = {mirror('g.y + d')} GROUP BY ALL"),
+        (f"{kind}_cover", f"SELECT m.tile_id, m.k, m.y, g.x, sum(m.c * w) AS cover FROM (SELECT DISTINCT x FROM {cells}) g CROSS JOIN {kind}_w JOIN {kind}_down m ON m.x = {mirror('g.x + d')} GROUP BY ALL"),
+    ]
+
+
+def occluded(shadows: int, canopies: int, clouds: int) -> list[tuple[str, str]]:
+    """Steps up to `out`: the dense tiles' images under their shapes."""
+    counts = {"shadow": shadows, "canopy": canopies, "cloud": clouds}
+    steps = [(f"{kind}_shape", shape(kind, n)) for kind, n in counts.items()] + POLYGONS + [(f"{kind}_px", ellipse_pixels(kind)) for kind in ("canopy", "cloud")]
+    for kind, size in (("shadow", 21), ("canopy", 31), ("cloud", 51)):
+        steps += covered(kind, size)
+    steps.append(("o0", "SELECT tile_id, y, x, CAST(floor(p * 250) AS DOUBLE) AS r, CAST(y * 2 + 90 AS DOUBLE) AS g, CAST(trunc(x * 3 + t * 40) AS DOUBLE) AS b FROM dense"))
+    laid = [(kind, k) for kind, n in counts.items() for k in range(n)]
+    for j, (kind, k) in enumerate(laid):
+        c = "coalesce(cover, 0)"
+        new = {
+            "shadow": {x: f"{x} * (1 - {c} * (1 - light))" for x in "rgb"},
+            "canopy": {x: f"{x} * (1 - {c}) + {c} * {y}" for x, y in zip("rgb", ("25", "green", "30"))},
+            "cloud": {x: f"{x} * (1 - {c} * opacity) + {c} * opacity * {y}" for x, y in zip("rgb", (240, 245, 250))},
+        }[kind]
+        steps.append((f"o{j + 1}", f"SELECT o.tile_id, o.y, o.x, {', '.join(f'{e} AS {x}' for x, e in new.items())} FROM o{j} o LEFT JOIN {kind}_cover m ON m.tile_id = o.tile_id AND m.y = o.y AND m.x = o.x AND m.k = {k} LEFT JOIN {kind}_shape s ON s.tile_id = o.tile_id AND s.k = {k}"))
+    return [*steps, ("out", "SELECT tile_id, y, x, " + ", ".join(f"CAST(floor(least(255, greatest(0, round({c}, 6)))) AS INT) AS {c}" for c in "rgb") + f" FROM o{len(laid)}")]
+
+
 def chance(name: str) -> str:
     return f"(CAST('0x' || substr(md5(concat(tile_id, '-42-{name}')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
 
@@ -331,9 +404,10 @@ SQL: dict[str, str] = {
     "SELECT DISTINCT tile_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM t WHERE (y - (ya + k * (yb - ya))) ** 2 + (x - (xa + k * (xb - xa))) ** 2 <= 2.25",
     "normalise": f"WITH i AS ({image(1)}) SELECT tile_id, y, x, round(r / 255, 6) AS r, round(g / 255, 6) AS g, round(b / 255, 6) AS b FROM i",
     "swap_channels": f"WITH i AS ({image(1)}) SELECT tile_id, y, x, b AS r, g, r AS b FROM i",
-    "augment": f"WITH i AS ({image(1)}), d AS (SELECT tile_id, {chance('horizontal')} < 0.5 AS h, {chance('vertical')} < 0.5 AS v, CASE WHEN {chance('turn')} < 0.5 THEN CAST(floor(4 * {chance('quarters')}) AS INT) ELSE 0 END AS q, {chance('bright')} < 0.3 AS l, 1 + 0.2::DOUBLE * (2 * {chance('scale')} - 1) AS k, 255 * 0.2::DOUBLE * (2 * {chance('shift')} - 1) AS m FROM (SELECT DISTINCT tile_id FROM i)), "
-    f"f AS (SELECT i.tile_id, CASE WHEN v THEN {S - 1} - y ELSE y END AS y, CASE WHEN h THEN {S - 1} - x ELSE x END AS x, q, " + ", ".join(f"CASE WHEN l THEN CAST(least(255, greatest(0, floor({c} * k + m))) AS INT) ELSE {c} END AS {c}" for c in "rgb") + " FROM i JOIN d USING (tile_id)) "
-    f"SELECT tile_id, CAST(CASE q WHEN 1 THEN {S - 1} - x WHEN 2 THEN {S - 1} - y WHEN 3 THEN x ELSE y END AS INT) AS y, CAST(CASE q WHEN 1 THEN y WHEN 2 THEN {S - 1} - x WHEN 3 THEN {S - 1} - y ELSE x END AS INT) AS x, r, g, b FROM f",
+    "occlusion_shapes": with_views("dense", [("shadow_shape", shape("shadow", 3)), *POLYGONS], "SELECT tile_id, CAST(k AS INT) AS k, y, x FROM shadow_px"),
+    "occlude": with_views("dense", occluded(3, 2, 1), "SELECT * FROM out"),
+    "augment": "WITH i AS (" + image(1) + "), " + turned("i"),
+    "occluded_variants": with_views("dense", occluded(2, 2, 1), "SELECT * FROM (WITH " + turned("out") + ")"),
     "side_by_side": with_views("mask pred", [], f"SELECT tile_id, y, x, 255 AS r, 255 AS g, 255 AS b FROM mask UNION ALL SELECT tile_id, y, CAST(x + {S} AS INT), 127, 127, 127 FROM pred"),
     "gaussian_blur": with_views("dense", *blurred(gaussian_line(5, 1.0), ["p"])),
     "gaussian_blur_wide": with_views("dense", *blurred(gaussian_line(51), ["p", "t"])),
