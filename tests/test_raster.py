@@ -90,7 +90,7 @@ def test_losses_of_a_perfect_mask(spark):
 
 def test_road_bends_and_ways(spark):
     """The bent diagonal of the road mask passes its three bends; a way of one point draws nothing."""
-    mask = {(r.y, r.x) for r in raster.synthetic_road_mask(spark, 100, 100).collect()}
+    mask = {(r.y, r.x) for r in raster.synthetic_road_mask(spark.createDataFrame([(0,)], "tile_id int"), 100, 100).collect()}
     assert {(10, 10), (35, 40), (85, 70), (60, 55)} <= mask and (90, 90) not in mask
     ways = [(0, 1, 0, 2.0, 2.0), (0, 1, 1, 2.0, 9.0), (0, 2, 0, 5.0, 5.0), (0, 3, 0, -4.0, 0.0), (0, 3, 1, -1.0, 3.0)]
     drawn = raster.rasterize_ways(spark.createDataFrame(ways, "tile_id int, way_id int, pos int, y double, x double"), 12, 12, 3)

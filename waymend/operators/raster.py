@@ -232,8 +232,8 @@ def rasterize_ways(points: DataFrame, height: int, width: int, thickness: int =
     return cells.where(near).select(*PIXEL).distinct()
 
 
-def synthetic_road_mask(spark, height: int = 64, width: int = 64, thickness: int = 5) -> DataFrame:
-    """A grid of roads: rows at 25, 50 and 75 %, columns at 20, 50 and 80 %, two pixels wider than a bent diagonal."""
+def synthetic_road_mask(tiles: DataFrame, height: int = 64, width: int = 64, thickness: int = 5) -> DataFrame:
+    """A grid of roads on each of tiles (tile_id): rows at 25, 50 and 75 %, columns at 20, 50 and 80 %, two pixels wider than a bent diagonal."""
     #: The bends of the diagonal, as shares of height and width.
     wide = (thickness + 2) / 2
     rows = [int(height * s) for s in (0.25, 0.5, 0.75)]
@@ -249,7 +249,7 @@ def synthetic_road_mask(spark, height: int = 64, width: int = 64, thickness: int
         size = float((yb - ya) ** 2 + (xb - xa) ** 2)
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((y - ya) * (yb - ya) + (x - xa) * (xb - xa)) / size))
         near = near | (F.sqrt(F.pow(y - (ya + t * (yb - ya)), 2) + F.pow(x - (xa + t * (xb - xa)), 2)) <= thickness / 2)
-    return grid(spark.range(1).select(F.lit(0).alias("tile_id")), height, width).where(near)
+    return grid(tiles.select("tile_id").distinct(), height, width).where(near)
 
 
 def normalise(image: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import around, blocks, chains, labels, occlusion, overlay
+from ..operators import around, blocks, chains, distance, epochs, labels, occlusion, overlay, ways
 from ..operators import geometry as g
 from ..operators import losses as lo
 from ..operators import paths as p
@@ -16,13 +17,14 @@ from ..operators import relational as rel
 from ..operators.components import connected_components, graph_nodes, graph_summary, node_degree
 from ..session import cut, rounded
 from ..sources.graphml import read_graphml, write_graphml
-from ..sources.synthetic import grid_graph, grid_places
+from ..sources import synthetic as terrain
 from .views import DENSE, SIDE, SPARSE, tile, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WIDE = {"distance": 60.0, "angle": 90.0}
 TOP_CLOSURES = 3
 OD_PAIRS = 100
+WAY_BOX = (12.9, 77.5, 13.2, 77.9)
 #: Cells of the test tables' networks, which are small.
 CELL_NODES = 32
 
@@ -323,6 +325,16 @@ def mask_relaxed_iou(pred, mask):
     return r.mask_relaxed_iou(pred, mask, 4, SIDE, SIDE).select("tile_id", rounded(F.col("relaxed_iou")).alias("relaxed_iou"))
 
 
+@query("pred", "mask")
+def relaxed_ious(pred, mask):
+    return distance.relaxed_ious(pred, mask, [0, 1, 2, 4, 8], SIDE, SIDE).select("tile_id", "tolerance", rounded(F.col("relaxed_iou")).alias("relaxed_iou"))
+
+
+@query("pred", "mask")
+def distance_to_mask(pred, mask):
+    return distance.distance_to(pred, mask, SIDE, SIDE).select(*r.PIXEL, "d2")
+
+
 @query("pred", "mask", "occ")
 def occlusion_recall(pred, mask, occ):
     return r.occlusion_recall(pred, mask, occ).select("tile_id", rounded(F.col("recall")).alias("recall"))
@@ -437,20 +449,57 @@ def gaussian_blur_wide(dense):
     return r.gaussian_blur(dense, ["p", "t"], SIDE, SIDE, 51, 0.0).select(*r.PIXEL, rounded(F.col("p")).alias("p"), rounded(F.col("t")).alias("t"))
 
 
+@table_query("part")
+def epoch_batches(part):
+    return epochs.epoch_batches(part, "p_partkey", 3, 64)
+
+
+@table_query("supplier")
+def ways_to_tiles(supplier):
+    """Each four suppliers are a way over 16 x 16 tiles; some of them lie outside."""
+    lat, lon = 12.89 + F.col("s_suppkey") * 37 % 101 / 101.0 * 0.32, 77.49 + F.col("s_suppkey") * 53 % 97 / 97.0 * 0.42
+    points = supplier.select(F.floor(F.col("s_suppkey") / 4).alias("way_id"), F.col("s_suppkey").alias("pos"), lat.alias("lat"), lon.alias("lon"))
+    return ways.ways_to_tiles(points, WAY_BOX, SIDE, 16, 16, 3)
+
+
 @table_query("part")
 def sample_rows(part):
     return rel.sample_rows(part, "p_partkey", 5).select("p_partkey", "p_name")
 
 
-QUERIES["synthetic_road_mask"] = lambda spark, d: r.synthetic_road_mask(spark, SIDE, SIDE)
+@table_query("lineitem")
+def synthetic_road_mask(lineitem):
+    return r.synthetic_road_mask(_dense_tiles(lineitem), SIDE, SIDE)
+
+
+@table_query("lineitem")
+def synthetic_tiles(lineitem):
+    return terrain.synthetic_tiles(_dense_tiles(lineitem), SIDE, SIDE)
+
+
+def _dense_tiles(lineitem: DataFrame) -> DataFrame:
+    return lineitem.select(F.expr(tile(DENSE)).alias("tile_id")).distinct()
+
+
+def _side(supplier: DataFrame) -> int:
+    """The side of the largest square lattice that the suppliers fill."""
+    return math.isqrt(supplier.count())
+
+
 @query("multi_edges", "all_nodes")
 def network_around(ways, nodes):
     places = nodes.select("id", (12.97 + F.floor(F.col("id") / 10) * 0.003).alias("lat"), (77.59 + F.col("id") % 10 * 0.003).alias("lon"))
     return around.network_around(ways, places, 12.985, 77.605, 1500.0)
 
 
-QUERIES["grid_places"] = lambda spark, d: grid_places(spark).select("id", rounded(F.col("lat")).alias("lat"), rounded(F.col("lon")).alias("lon"))
-QUERIES["grid_graph"] = lambda spark, d: grid_graph(spark)
+@table_query("supplier")
+def grid_places(supplier):
+    return terrain.grid_places(supplier.sparkSession, _side(supplier)).select("id", rounded(F.col("lat")).alias("lat"), rounded(F.col("lon")).alias("lon"))
+
+
+@table_query("supplier")
+def grid_graph(supplier):
+    return terrain.grid_graph(supplier.sparkSession, _side(supplier))
 
 
 def _rounded_all(df: DataFrame) -> DataFrame:

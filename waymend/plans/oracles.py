@@ -138,12 +138,12 @@ def thin(k: int) -> list[tuple[str, str]]:
     return [(f"thin{k + 1}", f"SELECT tile_id, y, x FROM ({ring}) WHERE NOT ({COUNT} BETWEEN 2 AND 6 AND {TURNS} = 1 AND {corners})")]
 
 
-def cubic(m: int) -> str:
-    """j, k, w: the weight of old place j for new place k of m."""
-    at = f"((k + 0.5::DOUBLE) * {S} / {m} - 0.5)"
+def cubic(m: int, n: int = S) -> str:
+    """j, k, w: the weight of old place j of n for new place k of m."""
+    at = f"((k + 0.5::DOUBLE) * {n} / {m} - 0.5)"
     d = "abs(place - (base + o))"
     return (
-        f"SELECT least(greatest(CAST(base + o AS INT), 0), {S - 1}) AS j, k, CASE WHEN {d} <= 1 THEN (1.25 * {d} - 2.25) * {d} * {d} + 1 WHEN {d} < 2 THEN ((-0.75 * {d} + 3.75) * {d} - 6) * {d} + 3 ELSE 0 END AS w "
+        f"SELECT least(greatest(CAST(base + o AS INT), 0), {n - 1}) AS j, k, CASE WHEN {d} <= 1 THEN (1.25 * {d} - 2.25) * {d} * {d} + 1 WHEN {d} < 2 THEN ((-0.75 * {d} + 3.75) * {d} - 6) * {d} + 3 ELSE 0 END AS w "
         f"FROM (SELECT k, {at} AS place, floor({at}) AS base FROM range({m}) r(k)), range(-1, 3) s(o)"
     )
 
@@ -293,6 +293,48 @@ CLOSE = [
     ("km", "SELECT u AS closed, sum(w) / 1000 AS km FROM sym GROUP BY 1"),
 ]
 
+def feistel(v: str) -> str:
+    """v moved on: its digits h and l of bases a and b."""
+    draw = lambda k, half: f"CAST('0x' || substr(md5(concat('42-', epoch, '-{k}-', {half})), 1, 8) AS BIGINT)"
+    high, low = f"({v} // b)", f"({v} % b)"
+    for k in (0, 2):
+        high = f"(({high} + {draw(k, low)}) % a)"
+        low = f"(({low} + {draw(k + 1, high)}) % b)"
+    return f"({high} * b + {low})"
+
+
+#: Numbers outside the rows go on until they fall inside.
+EPOCHS = (
+    "WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), s AS (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM n), q AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM s), "
+    "r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part), "
+    f"walk(epoch, p_partkey, v, n, a, b) AS (SELECT epoch, p_partkey, {feistel('i')}, n, a, b FROM r, q, range(3) e(epoch) UNION ALL SELECT epoch, p_partkey, {feistel('v')}, n, a, b FROM walk WHERE v >= n) "
+    "SELECT CAST(epoch AS INT) AS epoch, v // 64 AS batch, v % 64 AS place, p_partkey FROM walk WHERE v < n"
+)
+#: All pixels of the raster near each segment, whatever tile they are in.
+WAY_TILES = (
+    f"WITH p AS (SELECT s_suppkey // 4 AS way, s_suppkey AS pos, (13.2::DOUBLE - (12.89::DOUBLE + s_suppkey * 37 % 101 / 101.0::DOUBLE * 0.32::DOUBLE)) / (13.2::DOUBLE - 12.9::DOUBLE) * {16 * S - 1} AS y, (77.49::DOUBLE + s_suppkey * 53 % 97 / 97.0::DOUBLE * 0.42::DOUBLE - 77.5::DOUBLE) / (77.9::DOUBLE - 77.5::DOUBLE) * {16 * S - 1} AS x FROM supplier), "
+    "s AS (SELECT y AS ya, x AS xa, lead(y) OVER w AS yb, lead(x) OVER w AS xb FROM p WINDOW w AS (PARTITION BY way ORDER BY pos, y, x)), "
+    f"c AS (SELECT s.*, unnest(range(greatest(0, CAST(floor(least(ya, yb) - 1.5) AS INT)), least({16 * S - 1}, CAST(ceil(greatest(ya, yb) + 1.5) AS INT)) + 1)) AS y FROM s WHERE yb IS NOT NULL), "
+    f"d AS (SELECT c.*, unnest(range(greatest(0, CAST(floor(least(xa, xb) - 1.5) AS INT)), least({16 * S - 1}, CAST(ceil(greatest(xa, xb) + 1.5) AS INT)) + 1)) AS x FROM c), "
+    "t AS (SELECT *, CASE WHEN ya = yb AND xa = xb THEN 0 ELSE greatest(0, least(1, ((y - ya) * (yb - ya) + (x - xa) * (xb - xa)) / greatest((yb - ya) ** 2 + (xb - xa) ** 2, 1e-9))) END AS k FROM d) "
+    f"SELECT DISTINCT CAST(y // {S} * 16 + x // {S} AS INT) AS tile_id, CAST(y % {S} AS INT) AS y, CAST(x % {S} AS INT) AS x FROM t WHERE (y - (ya + k * (yb - ya))) ** 2 + (x - (xa + k * (xb - xa))) ** 2 <= 2.25"
+)
+LATTICE = "(SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS side FROM supplier)"
+
+
+def normal(name: str, *place: str) -> str:
+    drawn = "md5(concat('42-" + name + "', " + ", ".join(f"'-', {p}" for p in place) + "))"
+    u, v = (f"((CAST('0x' || substr({drawn}, {at}, 8) AS BIGINT) + 1) / 4294967297.0::DOUBLE)" for at in (1, 9))
+    return f"(sqrt(-2 * ln({u})) * cos(2 * pi() * {v}))"
+
+
+TERRAIN = (
+    f"WITH tiles AS (SELECT DISTINCT {tile(DENSE)} AS tile_id FROM lineitem), coarse AS (SELECT tile_id, y, x, {normal('coarse', 'tile_id', 'y', 'x')} AS noise FROM tiles, range({S // 4}) a(y), range({S // 4}) b(x)), "
+    f"w AS ({cubic(S, S // 4)}), down AS (SELECT tile_id, w.k AS y, x, sum(noise * w) AS noise FROM coarse JOIN w ON w.j = y GROUP BY 1, 2, 3), "
+    "wide AS (SELECT tile_id, y, w.k AS x, 1 / (1 + exp(-3 * sum(noise * w))) AS m FROM down JOIN w ON w.j = x GROUP BY 1, 2, 3) "
+    "SELECT tile_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, " + ", ".join(f"CAST(floor(least(255, greatest(0, round({a} * m + {b} * (1 - m) + 10 * {normal(c, 'tile_id', 'y', 'x')}, 6)))) AS INT) AS {c}" for c, a, b in zip("rgb", (34, 112, 45), (140, 120, 95))) + " FROM wide"
+)
+
 SQL: dict[str, str] = {
     "graph_summary": with_views("broken_edges all_nodes", [*GA, *graph("broken_edges", REACH, LABELS)], "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM broken_edges) AS edges, (SELECT count(DISTINCT component) FROM labels) AS components"),
     "connected_components": with_views("edges", [*G, *graph("edges", REACH, LABELS)], "SELECT node, component FROM labels"),
@@ -370,6 +412,10 @@ SQL: dict[str, str] = {
     "mask_dilate": with_views("mask", [DILATED], "SELECT * FROM wide"),
     "mask_iou_dice": with_views("mask pred", [("b", "SELECT tile_id, p.y AS py, t.y AS ty FROM (SELECT *, 1 AS k FROM pred) p FULL JOIN mask t USING (tile_id, y, x)")], "SELECT tile_id, round(count(CASE WHEN py IS NOT NULL AND ty IS NOT NULL THEN 1 END) / count(*), 6) AS iou, round(2 * count(CASE WHEN py IS NOT NULL AND ty IS NOT NULL THEN 1 END) / (count(py) + count(ty)), 6) AS dice FROM b GROUP BY 1"),
     "mask_relaxed_iou": with_views("mask pred", [DILATED, ("u", "SELECT tile_id, count(*) AS u FROM (SELECT * FROM mask UNION SELECT * FROM pred) GROUP BY 1"), ("i", "SELECT tile_id, count(*) AS i FROM (SELECT * FROM pred INTERSECT SELECT * FROM wide) GROUP BY 1")], "SELECT tile_id, round(least(1, coalesce(i, 0) / u), 6) AS relaxed_iou FROM u LEFT JOIN i USING (tile_id)"),
+    "relaxed_ious": with_views("mask pred", [("far", f"SELECT p.tile_id, p.y, p.x, min(greatest(abs(p.x - m.x) - 0.5::DOUBLE, 0) ** 2 + (p.y - m.y) ** 2) AS d FROM pred p JOIN mask m USING (tile_id) GROUP BY 1, 2, 3"),
+        ("u", "SELECT tile_id, count(*) AS u FROM (SELECT * FROM mask UNION SELECT * FROM pred) GROUP BY 1")],
+        "SELECT u.tile_id, CAST(t AS INT) AS tolerance, round(least(1, (SELECT count(*) FROM far WHERE far.tile_id = u.tile_id AND d <= t * t) / u), 6) AS relaxed_iou FROM u, (VALUES (0), (1), (2), (4), (8)) r(t)"),
+    "distance_to_mask": with_views("mask pred", [("far", f"SELECT p.tile_id, p.y, p.x, min(CAST((p.x - m.x) ** 2 + (p.y - m.y) ** 2 AS DOUBLE)) AS d2 FROM pred p JOIN mask m USING (tile_id) GROUP BY 1, 2, 3")], "SELECT tile_id, y, x, d2 FROM far"),
     "occlusion_recall": with_views("mask pred occ", [("h", "SELECT * FROM mask INTERSECT SELECT * FROM occ"), ("k", "SELECT tile_id, count(*) AS n, count(p.y) AS k FROM h LEFT JOIN (SELECT tile_id, y, x FROM pred) p USING (tile_id, y, x) GROUP BY 1")], "SELECT t.tile_id, round(coalesce((SELECT count(*) FROM h JOIN pred USING (tile_id, y, x) WHERE h.tile_id = t.tile_id) / nullif((SELECT count(*) FROM h WHERE h.tile_id = t.tile_id), 0), 1), 6) AS recall FROM (SELECT DISTINCT tile_id FROM mask) t"),
     "extract_patches": with_views("mask", [PATCHES], "SELECT tile_id, patch_id, y_start, x_start, y, x FROM patches"),
     "stitch_patches": with_views("mask", [], "SELECT tile_id, y, x, 255.0::DOUBLE AS value FROM mask"),
@@ -413,9 +459,12 @@ SQL: dict[str, str] = {
     "gaussian_blur_wide": with_views("dense", *blurred(gaussian_line(51), ["p", "t"])),
     "resize": with_views("dense", [("wy", cubic(24)), ("wx", cubic(40))], "SELECT tile_id, CAST(wy.k AS INT) AS y, CAST(wx.k AS INT) AS x, round(sum(sqrt(p) * wy.w * wx.w), 6) AS p FROM dense JOIN wy ON wy.j = y JOIN wx ON wx.j = x GROUP BY 1, 2, 3"),
     "epoch_means": "SELECT l_linenumber AS epoch, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS loss FROM lineitem GROUP BY 1",
+    "epoch_batches": EPOCHS,
+    "ways_to_tiles": WAY_TILES,
     "sample_rows": "SELECT p_partkey, p_name FROM part ORDER BY md5(concat(p_partkey, '-42')), p_partkey LIMIT 5",
-    "synthetic_road_mask": f"SELECT 0 AS tile_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM range({S}) a(y), range({S}) b(x) WHERE {ROAD}",
-    "grid_places": "SELECT i AS id, round(12.97::DOUBLE + i // 6 * 0.003::DOUBLE, 6) AS lat, round(77.59::DOUBLE + i % 6 * 0.003::DOUBLE, 6) AS lon FROM range(36) r(i)",
+    "synthetic_road_mask": f"SELECT tile_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM (SELECT DISTINCT {tile(DENSE)} AS tile_id FROM lineitem), range({S}) a(y), range({S}) b(x) WHERE {ROAD}",
+    "synthetic_tiles": TERRAIN,
+    "grid_places": f"SELECT i AS id, round(12.97::DOUBLE + i // side * 0.003::DOUBLE, 6) AS lat, round(77.59::DOUBLE + i % side * 0.003::DOUBLE, 6) AS lon FROM {LATTICE}, range(side * side) r(i)",
     "network_around": with_views(
         "multi_edges all_nodes",
         [("spot", "SELECT id, 12.97::DOUBLE + id // 10 * 0.003::DOUBLE AS lat, 77.59::DOUBLE + id % 10 * 0.003::DOUBLE AS lon FROM all_nodes"),
@@ -425,7 +474,7 @@ SQL: dict[str, str] = {
          ("big", "SELECT component FROM labels GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1")],
         "SELECT e.* FROM e JOIN labels ON node = u WHERE component IN (SELECT component FROM big)",
     ),
-    "grid_graph": "WITH e AS (SELECT i AS u, i + 1 AS v FROM range(36) r(i) WHERE i % 6 < 5 UNION ALL SELECT i, i + 6 FROM range(30) r(i)) SELECT u, v, 50 + CAST('0x' || substr(md5(concat(u, '-', v)), 1, 8) AS BIGINT) % 151 AS w FROM e",
+    "grid_graph": f"WITH e AS (SELECT i AS u, i + 1 AS v FROM {LATTICE}, range(side * side) r(i) WHERE i % side < side - 1 UNION ALL SELECT i, i + side FROM {LATTICE}, range(side * (side - 1)) r(i)) SELECT u, v, 50 + CAST('0x' || substr(md5(concat(u, '-', v)), 1, 8) AS BIGINT) % 151 AS w FROM e",
     "dice_loss": with_views("dense", [], f"SELECT round({DICE}, 6) AS dice_loss"),
     "bce_loss": with_views("dense", [], f"SELECT round({BCE}, 6) AS bce_loss"),
     "boundary_loss": with_views("dense", EDGE, f"SELECT round({BOUND}, 6) AS boundary_loss"),

@@ -1,10 +1,14 @@
-"""Generated inputs: the demonstration grid, noise tiles."""
+"""Generated inputs: the demonstration grid, terrains."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.raster import PIXEL, grid, resize
+
 
 def grid_graph(spark: SparkSession, side: int = 6) -> DataFrame:
     """Edges u, v, w of a side x side lattice; w from 50 to 200, by the MD5 of the edge."""
@@ -21,19 +25,34 @@ def grid_places(spark: SparkSession, side: int = 6, latitude: float = 12.97, lon
     return cells.select("id", (F.lit(latitude) + F.floor(F.col("id") / side) * step).alias("lat"), (F.lit(longitude) + F.col("id") % side * step).alias("lon"))
 
 
-def synthetic_tile(spark: SparkSession, height: int = 512, width: int = 512, seed: int = 42) -> DataFrame:
-    """An RGB terrain (y, x, r, g, b) from smooth noise that blends two colours, and fine noise on top.
+#: The colours of growth and of bare ground, how sharp the change between them is, the spread of the fine noise.
+GREEN, BARE, SHARPNESS, GRAIN = (34, 112, 45), (140, 120, 95), 3, 10
+#: Side of the cells that coarse noise is drawn for.
+COARSE = 4
+
+
+def normal(name: str, *place: str, seed: int = 42) -> Column:
+    """A standard normal number drawn by MD5 of the seed, a name and the place's columns: the same wherever it is worked out."""
+    drawn = F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(name), *place))
+    u, v = ((F.conv(F.substring(drawn, at, 8), 16, 10).cast("long") + 1) / float((1 << 32) + 1) for at in (1, 9))
+    return F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
 
-    Noise is drawn per quarter-size cell and spread bilinearly; the same seed gives the same tile.
+
+def synthetic_tiles(tiles: DataFrame, height: int = 512, width: int = 512, seed: int = 42) -> DataFrame:
+    """An RGB terrain (tile_id, y, x, r, g, b) for each of tiles (tile_id): growth and bare ground blended by coarse noise, fine noise on top.
+
+    Coarse noise is drawn for cells of COARSE pixels and spread by cubic convolution. Every number follows from its
+    place and the seed, so any partitioning gives the same tile. Sides are multiples of COARSE, of four cells at least.
     """
-    cells_y, cells_x = height // 4 + 2, width // 4 + 2
-    coarse = spark.range(cells_y * cells_x, numPartitions=1).select(F.floor(F.col("id") / cells_x).cast("int").alias("cy"), (F.col("id") % cells_x).cast("int").alias("cx"), F.randn(seed).alias("noise"))
-    pixels = spark.range(height * width, numPartitions=8).select(F.floor(F.col("id") / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"), *(F.randn(seed + k).alias(f"n{c}") for k, c in enumerate("rgb", 1)))
-    corners = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))
-    spread = pixels.withColumn("k", F.explode(corners)).withColumn("cy", (F.floor(F.col("y") / 4) + F.col("k.a")).cast("int")).withColumn("cx", (F.floor(F.col("x") / 4) + F.col("k.b")).cast("int"))
-    fy, fx = F.col("y") % 4 / 4, F.col("x") % 4 / 4
-    share = F.when(F.col("k.a") == 1, fy).otherwise(1 - fy) * F.when(F.col("k.b") == 1, fx).otherwise(1 - fx)
-    smooth = spread.join(F.broadcast(coarse), ["cy", "cx"]).groupBy("y", "x").agg(F.sum(F.col("noise") * share).alias("noise"), *(F.first(f"n{c}").alias(f"n{c}") for c in "rgb"))
-    mix = 1 / (1 + F.exp(-3 * F.col("noise")))
-    low, high = (60, 90, 50), (140, 125, 95)
-    return smooth.select("y", "x", *(F.least(F.lit(255), F.greatest(F.lit(0), (a * (1 - mix) + b * mix + 10 * F.col(f"n{c}")).cast("int"))).alias(c) for c, a, b in zip("rgb", low, high)))
+    if height % COARSE or width % COARSE:
+        raise ValueError(f"sides must be multiples of {COARSE}")
+    cells = grid(tiles.select("tile_id").distinct(), height // COARSE, width // COARSE)
+    noise = resize(cells.withColumn("noise", normal("coarse", "tile_id", "y", "x", seed=seed)), ["noise"], height // COARSE, width // COARSE, height, width)
+    share = 1 / (1 + F.exp(-SHARPNESS * F.col("noise")))
+    colours = [a * share + b * (1 - share) + GRAIN * normal(c, "tile_id", "y", "x", seed=seed) for c, a, b in zip("rgb", GREEN, BARE)]
+    return noise.select(*PIXEL, *(F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.round(v, 6)))).cast("int").alias(c) for c, v in zip("rgb", colours)))
+
+
+def synthetic_tile(spark: SparkSession, height: int = 512, width: int = 512, seed: int = 42) -> DataFrame:
+    """The terrain of one tile: y, x, r, g, b."""
+    return synthetic_tiles(spark.range(1).select(F.lit(0).alias("tile_id")), height, width, seed).drop("tile_id")
