@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import around, blocks, chains, distance, epochs, labels, occlusion, overlay, ways
+from ..operators import around, blocks, chains, distance, epochs, labels, occlusion, overlay, simplify, ways
 from ..operators import geometry as g
 from ..operators import losses as lo
 from ..operators import paths as p
@@ -502,6 +502,22 @@ def grid_graph(supplier):
     return terrain.grid_graph(supplier.sparkSession, _side(supplier))
 
 
+def _one_ways(edges: DataFrame) -> DataFrame:
+    """Each edge both ways, but for every third length: one way."""
+    there = edges.select("u", "v", F.col("w").alias("length"))
+    return there.unionByName(there.where("length % 3 <> 0").select(F.col("v").alias("u"), F.col("u").alias("v"), "length"))
+
+
+@query("broken_edges")
+def street_ends(edges):
+    return simplify.street_ends(_one_ways(edges))
+
+
+@query("broken_edges")
+def simplified_streets(edges):
+    return simplify.simplified(_one_ways(edges))
+
+
 def _rounded_all(df: DataFrame) -> DataFrame:
     return df.select(*(rounded(F.col(c)).alias(c) for c in df.columns))
 

@@ -319,6 +319,12 @@ WAY_TILES = (
     "t AS (SELECT *, CASE WHEN ya = yb AND xa = xb THEN 0 ELSE greatest(0, least(1, ((y - ya) * (yb - ya) + (x - xa) * (xb - xa)) / greatest((yb - ya) ** 2 + (xb - xa) ** 2, 1e-9))) END AS k FROM d) "
     f"SELECT DISTINCT CAST(y // {S} * 16 + x // {S} AS INT) AS tile_id, CAST(y % {S} AS INT) AS y, CAST(x % {S} AS INT) AS x FROM t WHERE (y - (ya + k * (yb - ya))) ** 2 + (x - (xa + k * (xb - xa))) ** 2 <= 2.25"
 )
+#: A street passes through a node if its ways come in from one of two neighbours and leave to the other, in one direction or both.
+STREETS = [
+    ("way", "SELECT u, v, w AS length FROM broken_edges UNION ALL SELECT v, u, w FROM broken_edges WHERE w % 3 <> 0"),
+    ("junction", "SELECT id, count(DISTINCT other) AS n, sum(o) AS o, sum(i) AS i FROM (SELECT u AS id, v AS other, 1 AS o, 0 AS i FROM way UNION ALL SELECT v, u, 0, 1 FROM way) GROUP BY id"),
+    ("street_end", "SELECT id, NOT (n = 2 AND o = i AND o IN (1, 2)) AS ends FROM junction"),
+]
 LATTICE = "(SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS side FROM supplier)"
 
 
@@ -475,6 +481,12 @@ SQL: dict[str, str] = {
         "SELECT e.* FROM e JOIN labels ON node = u WHERE component IN (SELECT component FROM big)",
     ),
     "grid_graph": f"WITH e AS (SELECT i AS u, i + 1 AS v FROM {LATTICE}, range(side * side) r(i) WHERE i % side < side - 1 UNION ALL SELECT i, i + side FROM {LATTICE}, range(side * (side - 1)) r(i)) SELECT u, v, 50 + CAST('0x' || substr(md5(concat(u, '-', v)), 1, 8) AS BIGINT) % 151 AS w FROM e",
+    "street_ends": with_views("broken_edges", STREETS, "SELECT id, ends FROM street_end"),
+    "simplified_streets": with_views(
+        "broken_edges", [*STREETS, ("walk(u, prev, cur, length, parts) AS", "SELECT u, u, v, length, 1 FROM way JOIN street_end ON id = u AND ends UNION ALL SELECT walk.u, cur, way.v, walk.length + way.length, parts + 1 FROM walk JOIN street_end ON id = cur AND NOT ends JOIN way ON way.u = cur AND way.v <> prev"),
+        ("street", "SELECT walk.u, cur AS v, length, parts FROM walk JOIN street_end ON id = cur AND ends WHERE walk.u <> cur")],
+        "SELECT u, v, min(length) AS length, arg_min(parts, (length, parts)) AS parts FROM street GROUP BY 1, 2",
+    ),
     "dice_loss": with_views("dense", [], f"SELECT round({DICE}, 6) AS dice_loss"),
     "bce_loss": with_views("dense", [], f"SELECT round({BCE}, 6) AS bce_loss"),
     "boundary_loss": with_views("dense", EDGE, f"SELECT round({BOUND}, 6) AS boundary_loss"),
