@@ -159,12 +159,12 @@ def starts(size: int, patch: int, overlap: int) -> list[int]:
     return found if found[-1] == size - patch else [*found, size - patch]
 
 
-def extract_patches(mask: DataFrame, height: int, width: int, patch: int, overlap: int) -> DataFrame:
-    """Pixels of each patch in patch coordinates: tile_id, patch_id, y_start, x_start, y, x."""
+def extract_patches(mask: DataFrame, height: int, width: int, patch: int, overlap: int, *more: str) -> DataFrame:
+    """Pixels of each patch in patch coordinates: tile_id, patch_id, y_start, x_start, y, x, and the columns named."""
     ys, xs = (F.array(*(F.lit(s) for s in starts(n, patch, overlap))) for n in (height, width))
-    rows = mask.select(*PIXEL, F.explode(ys).alias("y_start")).where(F.col("y").between(F.col("y_start"), F.col("y_start") + patch - 1))
+    rows = mask.select(*PIXEL, *more, F.explode(ys).alias("y_start")).where(F.col("y").between(F.col("y_start"), F.col("y_start") + patch - 1))
     rows = rows.withColumn("x_start", F.explode(xs)).where(F.col("x").between(F.col("x_start"), F.col("x_start") + patch - 1))
-    return rows.select("tile_id", F.format_string("patch_y%d_x%d", "y_start", "x_start").alias("patch_id"), "y_start", "x_start", (F.col("y") - F.col("y_start")).alias("y"), (F.col("x") - F.col("x_start")).alias("x"))
+    return rows.select("tile_id", F.format_string("patch_y%d_x%d", "y_start", "x_start").alias("patch_id"), "y_start", "x_start", (F.col("y") - F.col("y_start")).alias("y"), (F.col("x") - F.col("x_start")).alias("x"), *more)
 
 
 def stitch_patches(patches: DataFrame, height: int, width: int, patch: int, overlap: int) -> DataFrame:
