@@ -7,7 +7,7 @@ import pytest
 
 from waymend import session
 from waymend.operators import around, geometry, paths, relational
-from waymend.operators.components import connected_components, graph_summary, node_degree, spanning_forest
+from waymend.operators.components import connected_components, graph_summary, labelled_nodes, node_degree, spanning_forest
 
 EDGES = "u long, v long, w long"
 PLACES = "id long, y double, x double"
@@ -165,7 +165,7 @@ def test_nodes_without_edges_count(spark):
     assert all(r.connected == (r.u < 3 and r.v < 3) for r in drawn)
     bridges = geometry.heal_bridges(edges, nodes.selectExpr("id", "0.0 AS y", "10.0 * id AS x"), distance=30.0, angle=180.0, nodes=nodes)
     assert rows(bridges.select("u", "v")) == [(0, 2)]
-    assert tuple(geometry.heal_summary(edges, bridges, bridges, nodes).first()) == (1, 3, 3, 1)
+    assert tuple(geometry.heal_summary(geometry.Healing(bridges, bridges, labelled_nodes(edges, nodes))).first()) == (1, 3, 3, 1)
 
 
 def test_a_whole_network_needs_no_bridge(spark):

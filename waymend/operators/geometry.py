@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .components import labelled_nodes, node_degree, spanning_forest
+from .components import connected_components, labelled_nodes, node_degree, spanning_forest
 
 
 def norm(a: Column, b: Column) -> Column:
@@ -54,7 +56,27 @@ def candidate_bridges(edges: DataFrame, places: DataFrame, distance: float = 30.
     return pairs.where((F.col("angle_u") <= angle) & (F.col("angle_v") <= angle)).select("u", "v", "dist", "angle_u", "angle_v")
 
 
+@dataclass
+class Healing:
+    """What mending a network gives: bridges, the candidates looked at, and the network's components (id, component) before."""
+
+    bridges: DataFrame
+    candidates: DataFrame
+    labels: DataFrame
+
+    def labels_after(self) -> DataFrame:
+        """id, component with the bridges: only components that bridges meet are put together, the network is not labelled again."""
+        ends = self.bridges.select("u", "v").join(self.labels.toDF("u", "cu"), "u").join(self.labels.toDF("v", "cv"), "v")
+        merged = connected_components(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).toDF("component", "merged")
+        return self.labels.join(merged, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
+
+
 def heal_bridges(edges: DataFrame, places: DataFrame, distance: float = 30.0, angle: float = 45.0, scale: float = 10.0, mode: str = "reference", nodes: DataFrame | None = None) -> DataFrame:
+    """The bridges that mend the network: u, v, weight, length_px, healed, angle_u, angle_v; see heal()."""
+    return heal(edges, places, distance, angle, scale, mode, nodes).bridges
+
+
+def heal(edges: DataFrame, places: DataFrame, distance: float = 30.0, angle: float = 45.0, scale: float = 10.0, mode: str = "reference", nodes: DataFrame | None = None) -> Healing:
     """The bridges that mend the network: u, v, weight, length_px, healed, angle_u, angle_v.
 
     A network of one component, or of none, needs none. nodes (id) adds those
@@ -67,32 +89,36 @@ def heal_bridges(edges: DataFrame, places: DataFrame, distance: float = 30.0, an
     if mode not in ("reference", "strict"):
         raise ValueError(f"mode is reference or strict, not {mode}")
     labels = cut(labelled_nodes(edges, nodes))
-    found = candidate_bridges(edges, places, distance, angle)
+    every = found = cut(candidate_bridges(edges, places, distance, angle))
     if len(labels.select("component").distinct().limit(2).collect()) < 2:
-        found = found.limit(0)
-    found = cut(found)
+        found = cut(found.limit(0))
     forest = spanning_forest(found, labels.withColumnRenamed("id", "node") if mode == "strict" else None)
-    return forest.join(found, ["u", "v", "dist"]).select("u", "v", (F.col("dist") * scale).alias("weight"), F.col("dist").alias("length_px"), F.lit(True).alias("healed"), "angle_u", "angle_v")
+    bridges = forest.join(found, ["u", "v", "dist"]).select("u", "v", (F.col("dist") * scale).alias("weight"), F.col("dist").alias("length_px"), F.lit(True).alias("healed"), "angle_u", "angle_v")
+    return Healing(cut(bridges), every, labels)
 
 
-def heal_summary(edges: DataFrame, bridges: DataFrame, candidates: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def heal_summary(done: Healing) -> DataFrame:
     """One row: healed_edges_added, components_before, components_after, candidate_bridges_evaluated."""
-    healed = edges.select("u", "v").unionByName(bridges.select("u", "v"))
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    parts = lambda e, name: labelled_nodes(e, nodes).agg(F.countDistinct("component").alias(name))
-    added = count(bridges, "healed_edges_added").crossJoin(parts(edges, "components_before")).crossJoin(parts(healed, "components_after"))
-    return added.crossJoin(count(candidates, "candidate_bridges_evaluated"))
+    parts = lambda labels, name: labels.agg(F.countDistinct("component").alias(name))
+    added = count(done.bridges, "healed_edges_added").crossJoin(parts(done.labels, "components_before")).crossJoin(parts(done.labels_after(), "components_after"))
+    return added.crossJoin(count(done.candidates, "candidate_bridges_evaluated"))
 
 
-def largest_component(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    return labelled_nodes(edges, nodes).groupBy("component").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("largest"))
+def largest_component(labels: DataFrame) -> DataFrame:
+    """One row: the size of the largest component of labels (id, component), and n, the number of nodes."""
+    return labels.groupBy("component").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("largest"), F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
 
 
 def connectivity_ratio(raw: DataFrame, healed: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """One row: largest component before and after, connectivity_gain, connectivity_coverage. nodes (id) adds those without edges."""
-    before = largest_component(raw, nodes).withColumnRenamed("largest", "largest_before")
-    after = largest_component(healed, nodes).withColumnRenamed("largest", "largest_after")
-    total = labelled_nodes(healed, nodes).agg(F.count("*").alias("n"))
-    return before.crossJoin(after).crossJoin(total).select(
+    return connectivity_of(cut(labelled_nodes(raw, nodes)), cut(labelled_nodes(healed, nodes)))
+
+
+def connectivity_of(labels: DataFrame, healed: DataFrame) -> DataFrame:
+    """The same from labels (id, component) before and after."""
+    before = largest_component(labels).select(F.col("largest").alias("largest_before"))
+    after = largest_component(healed).withColumnRenamed("largest", "largest_after")
+    return before.crossJoin(after).select(
         "largest_before", "largest_after", (F.col("largest_after") / F.greatest("largest_before", F.lit(1))).alias("connectivity_gain"), (F.col("largest_after") / F.greatest("n", F.lit(1))).alias("connectivity_coverage")
     )

@@ -291,13 +291,13 @@ def heal_bridges_of_one_component(edges, gpos):
 
 @query("broken_edges", "gpos", "all_nodes")
 def heal_summary(edges, gpos, nodes):
-    return g.heal_summary(edges, g.heal_bridges(edges, gpos, **WIDE, nodes=nodes), g.candidate_bridges(edges, gpos, **WIDE), nodes)
+    return g.heal_summary(g.heal(edges, gpos, **WIDE, nodes=nodes))
 
 
 @query("broken_edges", "gpos", "all_nodes")
 def connectivity_ratio(edges, gpos, nodes):
-    healed = cut(edges.select("u", "v").unionByName(g.heal_bridges(edges, gpos, **WIDE, nodes=nodes).select("u", "v")))
-    found = g.connectivity_ratio(edges, healed, nodes)
+    done = g.heal(edges, gpos, **WIDE, nodes=nodes)
+    found = g.connectivity_of(done.labels, cut(done.labels_after()))
     return found.select("largest_before", "largest_after", rounded(F.col("connectivity_gain")).alias("connectivity_gain"), rounded(F.col("connectivity_coverage")).alias("connectivity_coverage"))
 
 
