@@ -191,6 +191,56 @@ def test_near_duplicates_need_the_second_round(spark):
     assert {r.doc_id: r.component_id for r in found} == components(range(25), links)
 
 
+@pytest.mark.parametrize("block,seekers,hot", [(300_000, 1000, 5000), (200, 3, 2)])
+def test_links_between_components(spark, monkeypatch, block, seekers, hot):
+    """The second round by itself, every set a component at first, two groups and one set alone: each linked pair is joined, and no other."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(minhash, "TASK_SEEKERS", seekers)
+    monkeypatch.setattr(minhash, "HOT_PART", hot)
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        # Around ten stems, each with as many words changed as leaves some pairs just linked and others just not.
+        stem = [f"s{k % 10}-{j}" for j in range(20 + k % 10)] + [f"all{j}" for j in range(30)]
+        for _ in range(rng.randrange(5)):
+            stem[rng.randrange(len(stem))] = f"x{rng.random()}"
+        rows.append((k, " ".join(stem)))
+    texts = spark.createDataFrame(rows, "id long, text string")
+    sets = {i: shingles(t, 1) for i, t in rows}
+    heads = spark.createDataFrame([(i, len(s)) for i, s in sets.items()], "id long, n_shingles long")
+    group = {i: 0 if i % 10 < 7 else 7 for i in sets if i != 59}
+    place = spark.createDataFrame(list(group.items()), "id long, place long")
+    nodes = spark.createDataFrame([], "node long, component long")
+    found = [(r.a, r.b) for r in minhash._between(heads, place, nodes, texts, "bigint", 1, 80).collect()]
+    links = [(a, b) for a in group for b in group if a < b and group[a] == group[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert links and {tuple(sorted(x)) for x in found} <= set(links)
+    assert components(group, found) == components(group, links)
+
+
+def test_unlinked_look_alikes_grow_linearly(spark, monkeypatch):
+    """Documents of one candidate group that share most of a form, but not enough of it: the rows written for them follow their number, and none is compared."""
+
+    def written(n):
+        rows, compared, cut = [], [], minhash.cut
+
+        def counting(df):
+            found = cut(df)
+            rows.append(found.count())
+            if found.columns == ["id", "unit", "place", "label", "seeks", "n", "keys", "step"]:
+                compared.append(rows[-1])
+            return found
+
+        with monkeypatch.context() as patch:
+            patch.setattr(minhash, "cut", counting)
+            texts = spark.range(n).selectExpr("id", "concat_ws(' ', transform(sequence(0, 23), j -> concat('form', j)), transform(sequence(0, 7), j -> concat(id, '-', j))) AS text")
+            heads, place = texts.selectExpr("id", "32L AS n_shingles"), texts.selectExpr("id", "0L AS place")
+            assert minhash._between(heads, place, spark.createDataFrame([], "node long, component long"), texts, "bigint", 1, 80).isEmpty()
+        assert compared == [0]
+        return sum(rows)
+
+    assert written(20_000) <= 4.5 * written(5_000)
+
+
 def test_components_of_links(spark):
     """On the first path a node has two smaller neighbours after a round, with no node that both has one and is one."""
     rng = random.Random(8)

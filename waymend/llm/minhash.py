@@ -7,11 +7,15 @@ member of a band's bucket is compared with the bucket's hub only, the member
 that most others share buckets with, so a bucket of n documents costs n
 comparisons; signatures rule most pairs out, the full sets decide. A candidate
 group is what buckets join. Where one still has several components, the second
-round compares the full sets of all but its largest component with the whole
-group, through inverted indexes of shingles over blocks of bounded size, each
-for sets of like size, which bounded shares of the seeking members pass. What
-one component holds already needs no further link, and one link between two
-components is enough, so neither round gives a row for each pair of a group.
+round looks for links between them. Shingle prints are counted within the
+group: only those that stand in several of its components can be shared by a
+link, so a member of which too few do is out, and so is one whose rarest of
+them, as many as no link can all miss, meet no other component's. What is left
+is compared exactly, by its shared prints, through inverted indexes over blocks
+of bounded size, each for sets of like size, which bounded shares of the members
+outside the largest component pass. What one component holds already needs no
+further link, and one link between two components is enough, so neither round
+gives a row for each pair of a group.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, Prints, Words, chunks, mixed, ranges, row_of
+from .kernels import LOWER, Prints, Words, chunks, lists, mixed, ranges, row_of
 from .names import ddl
 from .session import cut, table
 
@@ -35,6 +39,8 @@ BROADCAST_IDS = 100_000
 #: Shingles of one block of a candidate group's inverted index, and members that seek links in one task.
 BLOCK_SHINGLES = 300_000
 TASK_SEEKERS = 1000
+#: A shingle that holds more than this part of the second round's rows is met by broadcast; there are no more than HOT_PART of them.
+HOT_PART = 5000
 SHINGLE_WORDS = 5
 PERCENT = 80
 #: Least share of equal minima at which a pair goes on to the full sets: six standard
@@ -102,60 +108,80 @@ def _signatures(size: int, hashes: int, band: int):
     return sign
 
 
-def _across(size: int, percent: int):
+def _prints(size: int):
+    """Rows with a text to rows with its distinct shingles, told apart by group, and a fingerprint of the set."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, values, offsets in chunks(batch["text"], 1 << 19):
+                sets, bounds = shingle_sets(values, offsets, size)
+                part = batch.slice(row, len(offsets) - 1)
+                keys = mixed(sets ^ np.asarray(part["salt"]).view(np.uint64)[row_of(bounds)])
+                sums = np.zeros(len(keys) + 1, np.uint64)
+                np.cumsum(mixed(keys), out=sums[1:])
+                unit = pa.array((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [part["id"], part["place"], part["label"], part["seeks"], pa.array(np.diff(bounds)), unit, lists(bounds, pa.array(keys.view(np.int64)))],
+                    names=["id", "place", "label", "seeks", "n", "unit", "keys"],
+                )
+
+    return read
+
+
+def _across(percent: int):
     """Links between components, from rows sorted by cell (a block, a share of its seekers) and role: members first, then those that seek.
 
     A block's members become an inverted index; seekers stream past it. Each
     seeker gives one link for each other component that it is linked with.
     """
 
-    def seek(index: tuple, ids: pa.Array, component: np.ndarray, sets: np.ndarray, bounds: np.ndarray) -> Iterator[tuple]:
+    def seek(index: tuple, ids: list, component: np.ndarray, keys: np.ndarray, bounds: np.ndarray, own: np.ndarray) -> Iterator[tuple]:
         tokens, heads, postings, members, sizes, labels = index
-        at = np.searchsorted(tokens, sets)
-        hit = np.flatnonzero(tokens[np.minimum(at, len(tokens) - 1)] == sets) if len(tokens) else np.zeros(0, np.int64)
+        if not len(tokens):
+            return
+        at = np.searchsorted(tokens, keys)
+        hit = np.flatnonzero(tokens[np.minimum(at, len(tokens) - 1)] == keys)
         row = row_of(bounds)[hit]
         at = at[hit]
         edges = np.searchsorted(row, np.arange(len(bounds)))
         for k in range(len(bounds) - 1):
             t = at[edges[k] : edges[k + 1]]
-            n = int(bounds[k + 1] - bounds[k])
             shared = np.bincount(postings[ranges(heads[t], heads[t + 1] - heads[t])], minlength=len(sizes))
-            linked = np.flatnonzero((100 * shared >= percent * (n + sizes - shared)) & (labels != component[k]))
+            linked = np.flatnonzero((100 * shared >= percent * (own[k] + sizes - shared)) & (labels != component[k]))
             for j in linked[np.unique(labels[linked], return_index=True)[1]].tolist():
                 yield ids[k], members[j]
 
+    def indexed(held: list[tuple]) -> tuple:
+        ids, labels, keys, counts, sizes = zip(*held) if held else ((), (np.zeros(0, np.int64),), (np.zeros(0, np.int64),), (np.zeros(0, np.int64),), (np.zeros(0, np.int64),))
+        every, counts = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(every, kind="stable")
+        tokens, heads = np.unique(every[order], return_index=True)
+        return tokens, np.append(heads, len(every)), np.repeat(np.arange(len(counts)), counts)[order], [i for part in ids for i in part], np.concatenate(sizes), np.concatenate(labels)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, index, out = None, [], None, ([], [])
+        key, held, index = None, [], None
         for batch in batches:
-            for row, values, offsets in chunks(batch["text"], 1 << 19):
-                sets, bounds = shingle_sets(values, offsets, size)
-                n = len(offsets) - 1
-                part = batch.slice(row, n)
-                cell, seeks = part["cell"].to_pylist(), part["seeks"].to_numpy(zero_copy_only=False)
-                component = part["label"].to_numpy(zero_copy_only=False)
-                change = np.flatnonzero([True] + [cell[k] != cell[k - 1] or seeks[k] != seeks[k - 1] for k in range(1, n)])
-                for a, b in zip(change, np.append(change[1:], n)):
-                    if cell[a] != key:
-                        key, held, index = cell[a], [], None
-                    ids, own, edge = part["id"].slice(a, b - a).to_pylist(), sets[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
-                    if not seeks[a]:
-                        held.append((ids, component[a:b], own, np.diff(edge)))
-                        continue
-                    if index is None:
-                        sizes = np.concatenate([h[3] for h in held]) if held else np.zeros(0, np.int64)
-                        every = np.concatenate([h[2] for h in held]) if held else np.zeros(0, np.uint64)
-                        member = np.repeat(np.arange(len(sizes)), sizes)
-                        order = np.argsort(every, kind="stable")
-                        tokens, heads = np.unique(every[order], return_index=True)
-                        labels = np.concatenate([h[1] for h in held]) if held else np.zeros(0, np.int64)
-                        index, held = (tokens, np.append(heads, len(every)), member[order], [i for h in held for i in h[0]], sizes, labels), []
-                    for x, y in seek(index, ids, component[a:b], own, edge):
-                        out[0].append(x)
-                        out[1].append(y)
-            if out[0]:
+            n, found = batch.num_rows, ([], [])
+            cell, seeks = batch["cell"].to_pylist(), batch["seeks"].to_numpy(zero_copy_only=False)
+            component, sizes = batch["label"].to_numpy(zero_copy_only=False), np.asarray(batch["n"])
+            bounds = np.asarray(batch["keys"].offsets)
+            keys, bounds = np.asarray(batch["keys"].values)[bounds[0] : bounds[-1]], bounds - bounds[0]
+            change = np.flatnonzero([True] + [cell[k] != cell[k - 1] or seeks[k] != seeks[k - 1] for k in range(1, n)]) if n else np.zeros(0, np.int64)
+            for a, b in zip(change, np.append(change[1:], n)):
+                if cell[a] != key:
+                    key, held, index = cell[a], [], None
+                ids, own, edge = batch["id"].slice(a, b - a).to_pylist(), keys[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+                if not seeks[a]:
+                    held.append((ids, component[a:b], own.copy(), np.diff(edge), sizes[a:b]))
+                    continue
+                if index is None:
+                    index, held = indexed(held), []
+                for x, y in seek(index, ids, component[a:b], own, edge, sizes[a:b]):
+                    found[0].append(x)
+                    found[1].append(y)
+            if found[0]:
                 kind = batch.schema.field("id").type
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], kind)], names=["a", "b"])
-                out = ([], [])
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], kind), pa.array(found[1], kind)], names=["a", "b"])
 
     return run
 
@@ -234,6 +260,60 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _meeting(tokens: DataFrame) -> DataFrame:
+    """The rows of tokens (id, unit, label, key) whose key stands under several labels, with the number of its rows, df.
+
+    Keys above a HOT_PART-th of the rows, HOT_PART at the most, are met by
+    broadcast, so that no task gets all rows of a frequent key.
+    """
+    met = tokens.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("df"))
+    met = cut(met.where("least <> most").select("key", "df"))
+    hot = F.broadcast(met.where(F.col("df") * HOT_PART > tokens.count()))
+    return tokens.join(hot, "key").unionByName(tokens.join(hot.select("key"), "key", "left_anti").join(met, "key"))
+
+
+def _between(heads: DataFrame, place: DataFrame, nodes: DataFrame, source: DataFrame, kind: str, shingle: int, percent: int) -> DataFrame:
+    """The second round: links (a, b) between components (nodes: node, component) of one candidate group (place: id, place)."""
+
+    # Sets of one link differ in size by 100 / percent at most, so a member's links are in its own step of sizes or the next ones.
+    def step(n: str) -> Column:
+        return F.floor(F.log(n) / (math.log(100 / percent) * (1 + 1e-9))).cast("long") if percent < 100 else F.col(n).cast("long")
+
+    around = F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1))
+    labels = place.join(nodes.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "place", F.coalesce("component", "id").alias("label"))
+    labelled = cut(labels.join(heads.select("id", step("n_shingles").alias("step")).distinct(), "id"))
+    parts = labelled.groupBy("place", "label").agg(F.count("*").alias("n"))
+    groups = parts.groupBy("place").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("largest")).where("parts > 1")
+    waiting = cut(labelled.join(groups, "place").select("id", "place", "label", "step", (F.col("label") != F.col("largest")).alias("seeks")))
+    sought = waiting.where("seeks").select("place", around.alias("step")).distinct()
+    near = cut(waiting.join(sought, ["place", "step"], "left_semi").select("id", "place", "label", "seeks").distinct())
+    # At most BROADCAST_IDS narrow rows go to all executors.
+    near = F.broadcast(near) if near.count() <= BROADCAST_IDS else near
+    texts = source.join(near, "id").select("id", "place", "label", "seeks", F.xxhash64("place").alias("salt"), "text")
+    sets = cut(texts.mapInArrow(_prints(shingle), f"id {kind}, place {kind}, label {kind}, seeks boolean, n long, unit long, keys array<long>"))
+    # A link shares at least percent of each of its sets, and all that it shares stands under two labels.
+    least = F.ceil(F.col("n") * percent / 100)
+    unit = ["id", "unit"]
+    met = _meeting(sets.select(*unit, "label", F.explode("keys").alias("key"))).groupBy(*unit).agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("met"))
+    able = cut(sets.drop("keys").join(met, unit).where(F.size("met") >= least).select(*unit, "place", "label", "seeks", "n", F.col("met.key").alias("keys")))
+    # Of a set's shared prints, rarest first, a link can miss all but `least` - 1 of the last ones: two linked sets meet in what comes before.
+    rare = F.slice("keys", F.lit(1), (F.size("keys") - least + 1).cast("int"))
+    ready = cut(able.join(_meeting(able.select(*unit, "label", F.explode(rare).alias("key"))).select(*unit).distinct(), unit, "left_semi").withColumn("step", step("n")))
+    blocks = cut(ready.groupBy("place", "step").agg(F.ceil(F.sum(F.size("keys")) / BLOCK_SHINGLES).cast("int").alias("blocks")))
+    salts = cut(ready.where("seeks").groupBy("place").agg(F.ceil(F.count("*") / TASK_SEEKERS).cast("int").alias("salts")))
+
+    def cells(rows: DataFrame, block: Column, salt: Column, seeks: bool) -> DataFrame:
+        rows = rows.join(blocks, ["place", "step"]).withColumn("block", block).withColumn("salt", salt)
+        return rows.select("id", "label", "n", "keys", F.concat_ws("/", F.col("place").cast("string"), "step", "block", "salt").alias("cell"), F.lit(seeks).alias("seeks"))
+
+    # Members stand in one block of their step for each share of the seekers; a seeker passes all blocks of its steps.
+    shared_out = ready.join(salts, "place")
+    members = cells(shared_out, F.pmod(F.xxhash64("id"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), False)
+    seekers = cells(shared_out.where("seeks").withColumn("step", around), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.pmod(F.xxhash64("id", F.lit("salt")), F.col("salts")), True)
+    dealt = members.unionByName(seekers).repartition("cell").sortWithinPartitions("cell", "seeks")
+    return cut(dealt.mapInArrow(_across(percent), f"a {kind}, b {kind}"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, percent: int = PERCENT, hashes: int = HASHES, band: int = BAND_ROWS, least_share: float = LEAST_SHARE) -> DataFrame:
     """Groups of documents linked by shingle sets with 100 * intersection >= percent * union.
 
@@ -280,31 +360,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = verified(pairs)
     nodes = connected_components(first)
     place = connected_components(pairs).select(F.col("node").alias("id"), F.col("component").alias("place"))
-    # Sets of one link differ in size by 100 / percent at most, so a member's links are in its own step of sizes or the next ones.
-    step = F.floor(F.log(F.col("n_shingles")) / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n_shingles")
-    sized = heads.select("id", "n_shingles").dropDuplicates(["id"])
-    labelled = cut(place.join(nodes.select(F.col("node").alias("id"), "component"), "id", "left").join(sized, "id").select("id", "place", F.coalesce("component", "id").alias("label"), "n_shingles", step.cast("long").alias("step")))
-    parts = labelled.groupBy("place", "label").agg(F.count("*").alias("n"))
-    groups = parts.groupBy("place").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("largest"), (F.sum("n") - F.max("n")).alias("seekers")).where("parts > 1")
-    groups = cut(groups.select("place", "largest", F.ceil(F.col("seekers") / TASK_SEEKERS).cast("int").alias("salts")))
-    waiting = cut(labelled.join(groups, "place"))
-    seekers = waiting.where("label <> largest").withColumn("step", F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)))
-    sought = seekers.select("place", "step").distinct()
-    blocks = cut(waiting.join(sought, ["place", "step"], "left_semi").groupBy("place", "step").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")))
-
-    def cells(rows: DataFrame, block: F.Column, salt: F.Column, seeks: bool) -> DataFrame:
-        rows = rows.join(blocks, ["place", "step"]).withColumn("block", block).withColumn("salt", salt)
-        return rows.select("id", "label", F.concat_ws("/", F.col("place").cast("string"), "step", "block", "salt").alias("cell"), F.lit(seeks).alias("seeks"))
-
-    # Members stand in one block of their step for each share of the seekers; a seeker passes all blocks of its steps.
-    members_of = cells(waiting, F.pmod(F.xxhash64("id"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), False)
-    seekers_of = cells(seekers, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.pmod(F.xxhash64("id", F.lit("salt")), F.col("salts")), True)
-    roles = cut(members_of.unionByName(seekers_of))
-    # At most BROADCAST_IDS narrow rows go to all executors.
-    roles = F.broadcast(roles) if roles.count() <= BROADCAST_IDS else roles
-    dealt = source.join(roles, "id").select("id", "label", "cell", "seeks", "text")
-    second = cut(dealt.repartition("cell").sortWithinPartitions("cell", "seeks").mapInArrow(_across(shingle, percent), f"a {kind}, b {kind}"))
-    found = connected_components(first.unionByName(second).unionByName(equal))
+    found = connected_components(first.unionByName(_between(heads, place, nodes, source, kind, shingle, percent)).unionByName(equal))
     return signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
