@@ -3,11 +3,14 @@
 import math
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from waymend import session
 from waymend.operators import around, geometry, paths, relational
 from waymend.operators.components import connected_components, graph_summary, labelled_nodes, node_degree, spanning_forest
+from waymend.plans import catalog, oracles
 
 EDGES = "u long, v long, w long"
 PLACES = "id long, y double, x double"
@@ -73,6 +76,21 @@ def test_relaxed_paths_agree(spark):
     assert rows(paths.shortest_paths(edges, sources)) == rows(paths.relaxed_paths(edges, sources)) == [(0, 0, 0), (0, 1, 7), (0, 2, 9), (0, 3, 10), (5, 5, 0), (5, 6, 1)]
 
 
+def test_shortest_paths_query_starts_from_every_node(spark, tmp_path):
+    """Two rings of suppliers, 14 and 3: each node is as far from all of its ring as the SQL says, and searches are dealt to several tasks."""
+    rings = [[*range(1, 15)], [21, 22, 23]]
+    near = [(r[k], r[(k + 1) % len(r)]) for r in rings for k in range(len(r))]
+    lines = [(order, supplier, 1.0 + order) for order, pair in enumerate(near) for supplier in pair]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.QUERIES["shortest_paths"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = rows(found)
+    assert got == sorted(con.execute(oracles.SQL["shortest_paths"]).fetchall())
+    assert [(s, n) for s, n, _ in got] == sorted((a, b) for r in rings for a in r for b in r)
+    assert len(set(r[0] for r in found.select(F.spark_partition_id()).collect())) > 1
+
+
 def test_diamond_closure(spark):
     edges = spark.createDataFrame([(0, 1, 10), (1, 3, 10), (0, 2, 10), (2, 3, 10)], EDGES)
     r = paths.node_closures(edges, spark.createDataFrame([(1,)], "closed long"), 10).first()
