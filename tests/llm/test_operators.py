@@ -241,6 +241,30 @@ def test_unlinked_look_alikes_grow_linearly(spark, monkeypatch):
     assert written(20_000) <= 4.5 * written(5_000)
 
 
+def test_second_round_deals_out_rare_prints_only(spark, monkeypatch):
+    """Look-alikes whose every print stands in several sets: of 50 prints each, what is joined are the 11 that no link can all miss, also where counters are few."""
+    n, dealt, meeting = 200, [], minhash._meeting
+
+    def counting(tokens):
+        dealt.append(tokens.count())
+        return meeting(tokens)
+
+    # 30 prints of all, 20 of which neighbours among ten share 13: at most 0.75 alike, but sets 0 and 1 are linked.
+    rows = [(k, " ".join([f"all{j}" for j in range(30)] + [f"p{(k // 10)}-{(k % 10 * 7 + j) % 70}" for j in range(20)])) for k in range(n)]
+    rows[1] = (1, rows[0][1].replace("p0-0 ", "own "))
+    texts = spark.createDataFrame(rows, "id long, text string")
+    heads, place = texts.selectExpr("id", "50L AS n_shingles"), texts.selectExpr("id", "0L AS place")
+    sets = {i: shingles(t, 1) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    monkeypatch.setattr(minhash, "_meeting", counting)
+    for slots in (minhash.SLOTS, 4):
+        monkeypatch.setattr(minhash, "SLOTS", slots)
+        dealt.clear()
+        found = minhash._between(heads, place, spark.createDataFrame([], "node long, component long"), texts, "bigint", 1, 80).collect()
+        assert {tuple(sorted((r.a, r.b))) for r in found} == set(links) == {(0, 1)}
+        assert 0 < sum(dealt) <= 11 * n
+
+
 def test_components_of_links(spark):
     """On the first path a node has two smaller neighbours after a round, with no node that both has one and is one."""
     rng = random.Random(8)

@@ -8,9 +8,10 @@ that most others share buckets with, so a bucket of n documents costs n
 comparisons; signatures rule most pairs out, the full sets decide. A candidate
 group is what buckets join. Where one still has several components, the second
 round looks for links between them. Shingle prints are counted within the
-group: only those that stand in several of its components can be shared by a
-link, so a member of which too few do is out, and so is one whose rarest of
-them, as many as no link can all miss, meet no other component's. What is left
+group, in a table of bounded size: only those that stand in several of its
+components can be shared by a link, so a member of which too few do is out. Of
+the others' prints only the rarest, as many as no link can all miss, are dealt
+out and met; a member whose rarest meet no other component's is out too. What is left
 is compared exactly, by its shared prints, through inverted indexes over blocks
 of bounded size, each for sets of like size, which bounded shares of the members
 outside the largest component pass. What one component holds already needs no
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ BROADCAST_IDS = 100_000
 #: Shingles of one block of a candidate group's inverted index, and members that seek links in one task.
 BLOCK_SHINGLES = 300_000
 TASK_SEEKERS = 1000
+#: Counters of the second round's shingles; their non-zero ones pass through the driver, 8 bytes each, and 8 MB go to each executor.
+SLOTS = 1 << 21
 #: A shingle that holds more than this part of the second round's rows is met by broadcast; there are no more than HOT_PART of them.
 HOT_PART = 5000
 SHINGLE_WORDS = 5
@@ -260,6 +264,46 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _sketch(sets: DataFrame) -> np.ndarray:
+    """How many rows of sets (label, keys) have keys of each slot, the lowest bits of a key; 0 where all of a slot's rows have one label."""
+    slots = sets.select(F.xxhash64("label").alias("label"), F.explode("keys").alias("key")).groupBy(F.col("key").bitwiseAND(SLOTS - 1).cast("int").alias("slot"))
+    slots = slots.agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("df")).where("least <> most")
+    found = slots.select("slot", F.least("df", F.lit((1 << 31) - 1)).cast("int").alias("df")).toArrow()
+    counts = np.zeros(SLOTS, np.int32)
+    counts[found["slot"].to_numpy()] = found["df"].to_numpy()
+    return counts
+
+
+def _rarest(sketch: Broadcast, percent: int):
+    """Rows whose set can be part of a link, with the prints that others can share, and of these the rarest ones, as many as no link can miss.
+
+    Prints are ordered by their slots' counts and then by themselves. Any order that all sets share would do: of
+    what two linked sets share, the first print has all the rest behind it in both of them. A slot holds
+    several prints, so its counts are too high at the most, which keeps a set rather than loses it.
+    """
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.value
+        for batch in batches:
+            bounds = np.asarray(batch["keys"].offsets)
+            keys, row = np.asarray(batch["keys"].values)[bounds[0] : bounds[-1]], row_of(bounds - bounds[0])
+            df = counts[keys & (SLOTS - 1)]
+            least = np.maximum(-(-np.asarray(batch["n"]) * percent // 100), 1)
+            met = np.bincount(row[df > 0], minlength=batch.num_rows)
+            able = met >= least
+            held = np.flatnonzero((df > 0) & able[row])
+            held = held[np.lexsort((keys[held], df[held], row[held]))]
+            ends = np.concatenate([[0], np.cumsum(met[able])])
+            first = ranges(ends[:-1], met[able] - least[able] + 1)
+            kept = batch.filter(pa.array(able))
+            yield pa.RecordBatch.from_arrays(
+                [*(kept[c] for c in ("id", "unit", "place", "label", "seeks", "n")), lists(ends, pa.array(keys[held])), lists(np.concatenate([[0], np.cumsum(met[able] - least[able] + 1)]), pa.array(keys[held][first]))],
+                names=["id", "unit", "place", "label", "seeks", "n", "keys", "rare"],
+            )
+
+    return choose
+
+
 def _meeting(tokens: DataFrame) -> DataFrame:
     """The rows of tokens (id, unit, label, key) whose key stands under several labels, with the number of its rows, df.
 
@@ -292,13 +336,12 @@ def _between(heads: DataFrame, place: DataFrame, nodes: DataFrame, source: DataF
     texts = source.join(near, "id").select("id", "place", "label", "seeks", F.xxhash64("place").alias("salt"), "text")
     sets = cut(texts.mapInArrow(_prints(shingle), f"id {kind}, place {kind}, label {kind}, seeks boolean, n long, unit long, keys array<long>"))
     # A link shares at least percent of each of its sets, and all that it shares stands under two labels.
-    least = F.ceil(F.col("n") * percent / 100)
+    sent = source.sparkSession.sparkContext.broadcast(_sketch(sets))
+    able = cut(sets.mapInArrow(_rarest(sent, percent), f"id {kind}, unit long, place {kind}, label {kind}, seeks boolean, n long, keys array<long>, rare array<long>"))
+    sent.destroy()
     unit = ["id", "unit"]
-    met = _meeting(sets.select(*unit, "label", F.explode("keys").alias("key"))).groupBy(*unit).agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("met"))
-    able = cut(sets.drop("keys").join(met, unit).where(F.size("met") >= least).select(*unit, "place", "label", "seeks", "n", F.col("met.key").alias("keys")))
-    # Of a set's shared prints, rarest first, a link can miss all but `least` - 1 of the last ones: two linked sets meet in what comes before.
-    rare = F.slice("keys", F.lit(1), (F.size("keys") - least + 1).cast("int"))
-    ready = cut(able.join(_meeting(able.select(*unit, "label", F.explode(rare).alias("key"))).select(*unit).distinct(), unit, "left_semi").withColumn("step", step("n")))
+    ready = able.join(_meeting(able.select(*unit, "label", F.explode("rare").alias("key"))).select(*unit).distinct(), unit, "left_semi")
+    ready = cut(ready.drop("rare").withColumn("step", step("n")))
     blocks = cut(ready.groupBy("place", "step").agg(F.ceil(F.sum(F.size("keys")) / BLOCK_SHINGLES).cast("int").alias("blocks")))
     salts = cut(ready.where("seeks").groupBy("place").agg(F.ceil(F.count("*") / TASK_SEEKERS).cast("int").alias("salts")))
 
