@@ -72,3 +72,16 @@ def test_shapes_keep_their_ranges(spark):
     assert all(25 <= r.rx < 60 and 25 <= r.ry < 60 and 0 <= r.turn < 180 and 90 <= r.green < 130 for r in canopies)
     clouds = occlusion.shapes(tiles, "cloud", 1, 512, 400).collect()
     assert all(40 <= r.rx < 133 and r.rx == r.ry and 0.6 <= r.opacity < 0.9 for r in clouds)
+
+
+def test_covers_are_laid_in_one_task_or_by_joins(spark, monkeypatch):
+    """Both ways give the same rows, with missing pixels and channels; images in tasks need no join of all pixels and few stages."""
+    tiles = spark.createDataFrame([(0,), (2,), (7,)], "tile_id int")
+    image = raster.grid(tiles, 60, 57).where("(y * 7 + x) % 11 <> 0").withColumns({"r": (F.col("y") * 3).cast("int"), "g": F.when(F.col("x") != 5, F.col("x")), "b": F.lit(200)})
+    one = occlusion.occlude(image, 60, 57)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FlatMapCoGroups") == 1
+    whole = sorted(map(tuple, one.collect()))
+    monkeypatch.setattr(raster, "IMAGE_PIXELS", 500)
+    assert whole == sorted(map(tuple, occlusion.occlude(image, 60, 57).collect())) and len(whole) == image.count()
+    assert whole != sorted(map(tuple, image.collect()))

@@ -1,11 +1,13 @@
 """Masks small enough to work out by hand."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from waymend import session
 from waymend.operators import chains, labels, losses, raster
 
 PIXELS = "tile_id int, y int, x int"
@@ -231,3 +233,15 @@ def test_wide_blur_and_its_limits(spark):
     assert len(got) == 2640 and all(r.p == pytest.approx(want[r.y, r.x] + r.tile_id) for r in got)
     with pytest.raises(ValueError):
         raster.gaussian_blur(cells, ["p"], 40, 33, 67)
+
+
+def test_blur_in_one_task_or_by_lines(spark, monkeypatch):
+    """Both ways give the same sums; an image in a task takes one exchange, where each pass took one."""
+    cells = raster.grid(spark.createDataFrame([(0,), (4,)], "tile_id int"), 30, 41).withColumns({"p": F.sin(F.col("y") * 41 + F.col("x") + F.col("tile_id")), "q": F.when((F.col("y") != 3) | (F.col("x") != 8), F.col("x").cast("double"))})
+    one = raster.gaussian_blur(cells, ["p", "q"], 30, 41, 51, 0.0)
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    found = sorted(map(str, one.collect()))
+    monkeypatch.setattr(raster, "IMAGE_PIXELS", 100)
+    assert found == sorted(map(str, raster.gaussian_blur(cells, ["p", "q"], 30, 41, 51, 0.0).collect()))
+    # A missing value leaves none within its reach.
+    assert {r.q is None for r in one.where("y < 28 AND x < 33").collect()} == {True} and one.where("x > 33 AND q IS NULL").isEmpty()

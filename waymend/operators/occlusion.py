@@ -3,17 +3,23 @@
 Every shape is a row, drawn by MD5 of its tile, the seed and its number, so that
 runs and engines agree. Shapes are filled as relations of pixels, an edge of a
 polygon crossing a row at one place; the covers are blurred in two passes and
-laid over the image one after the other.
+laid over the image one after the other, in the image's task.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .raster import PIXEL, augment, gaussian_blur, grid
+from ..session import cut
+from . import raster
+from .cells import column
+from .raster import PIXEL, augment, check_blur, gaussian_blur, gaussian_line, grid, inside, reflected_blur
 
 #: Least and most corners of a shadow, shares of its radius, what it leaves of the light, widths of blurs.
 CORNERS, CORNER_REACH, SHADE = (3, 6), (0.6, 1.2), (0.25, 0.55)
@@ -121,32 +127,83 @@ def occlude(image: DataFrame, height: int, width: int, shadows: int = 3, canopie
 
     Channels are cut to 0 to 255 and truncated. Pixels may be missing. Images have to be larger than half of the widest blur.
     """
-    tiles = image.select("tile_id").distinct()
-    cells = grid(tiles, height, width)
-    found = image
-    layers: list[tuple[str, int]] = []
-    for kind, count in (("shadow", shadows), ("canopy", canopies), ("cloud", clouds)):
-        if not count:
-            continue
-        rows = shapes(tiles, kind, count, height, width, seed)
-        inside = filled_polygons(polygon_corners(rows, seed), height, width) if kind == "shadow" else filled_ellipses(rows, height, width)
+    counts = {"shadow": shadows, "canopy": canopies, "cloud": clouds}
+    layers = [(kind, k) for kind, count in counts.items() for k in range(count)]
+    for kind in dict(layers):
+        check_blur(BLURS[kind], height, width)
+    tiles = cut(image.select("tile_id").distinct())
+    drawn = {kind: shapes(tiles, kind, count, height, width, seed) for kind, count in counts.items() if count}
+    pixels = {kind: filled_polygons(polygon_corners(rows, seed), height, width) if kind == "shadow" else filled_ellipses(rows, height, width) for kind, rows in drawn.items()}
+    laid = _laid_in_tasks if height * width <= raster.IMAGE_PIXELS else _laid_by_joins
+    found = laid(image, tiles, layers, drawn, pixels, height, width) if layers else image
+    # Rounded first: whole results must not fall by a last bit.
+    whole_channel = lambda c: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.round(F.col(c).cast("double"), 6)))).cast("int").alias(c)
+    return found.select(*PIXEL, *map(whole_channel, "rgb"))
+
+
+#: The number that each kind's shapes have of their own.
+OWN = {"shadow": "light", "canopy": "green", "cloud": "opacity"}
+
+
+def laid_over(value, cover, own, kind: str, c: str):
+    """A channel c under a cover of a kind, own: the shape's own number; columns or arrays."""
+    if kind == "shadow":
+        return value * (1 - cover * (1 - own))
+    if kind == "canopy":
+        return value * (1 - cover) + cover * (own if c == "g" else float(CANOPY_RED_BLUE["rb".index(c)]))
+    return value * (1 - cover * own) + cover * own * CLOUD_COLOUR["rgb".index(c)]
+
+
+def _laid_in_tasks(image: DataFrame, tiles: DataFrame, layers: list[tuple[str, int]], drawn: dict[str, DataFrame], pixels: dict[str, DataFrame], height: int, width: int) -> DataFrame:
+    """An image and the pixels of its shapes are one task's group, which blurs the covers and lays them over."""
+    size = height * width
+    parts = None
+    for kind in drawn:
+        layer = F.col("k") + layers.index((kind, 0))
+        # A pixel of a shape as one number, a shape's own number at -1 and below.
+        at = pixels[kind].select("tile_id", (layer.cast("long") * size + F.col("y") * width + F.col("x")).alias("at"), F.lit(None).cast("double").alias("own"))
+        both = at.unionByName(drawn[kind].select("tile_id", (-1 - layer.cast("long")).alias("at"), F.col(OWN[kind]).cast("double").alias("own")))
+        parts = both if parts is None else parts.unionByName(both)
+    schema = StructType([*(image.schema[c] for c in PIXEL), *(StructField(c, DoubleType()) for c in "rgb")])
+
+    def lay(pixel: pa.Table, shape: pa.Table) -> pa.Table:
+        at, number = column(shape, "at"), shape.column("own").fill_null(0.0).to_numpy()
+        own = np.zeros(len(layers))
+        own[-1 - at[at < 0]] = number[at < 0]
+        covers = np.zeros(len(layers) * size)
+        covers[at[at >= 0]] = 1.0
+        covers = covers.reshape(len(layers), height, width)
+        for kind in dict(layers):
+            own_layers = [n for n, (of, _) in enumerate(layers) if of == kind]
+            covers[own_layers] = reflected_blur(reflected_blur(covers[own_layers], 1, gaussian_line(BLURS[kind])), 2, gaussian_line(BLURS[kind]))
+        covers = covers[:, column(pixel, "y"), column(pixel, "x")]
+        done = []
+        for c in "rgb":
+            value = pixel.column(c).cast(pa.float64())
+            channel = value.fill_null(0.0).to_numpy()
+            for n, (kind, _) in enumerate(layers):
+                channel = laid_over(channel, covers[n], own[n], kind, c)
+            done.append(pa.array(channel, mask=value.is_null().to_numpy()))
+        return pa.table([*(pixel.column(c) for c in PIXEL), *done], names=[*PIXEL, *"rgb"])
+
+    on_image = inside(image.select(*PIXEL, *"rgb"), height, width).where("tile_id IS NOT NULL")
+    return on_image.groupBy("tile_id").cogroup(parts.withColumnRenamed("tile_id", "of").groupBy("of")).applyInArrow(lay, schema)
+
+
+def _laid_by_joins(image: DataFrame, tiles: DataFrame, layers: list[tuple[str, int]], drawn: dict[str, DataFrame], pixels: dict[str, DataFrame], height: int, width: int) -> DataFrame:
+    """The same for images that no task should hold: covers are blurred by lines and joined pixel by pixel."""
+    cells, found = grid(tiles, height, width), image.select(*PIXEL, *"rgb")
+    for kind, rows in drawn.items():
         # A tile's numbers of this kind: one narrow row.
-        numbers = rows.groupBy("tile_id").agg(F.array_sort(F.collect_list(F.struct("k", *(c for c in rows.columns if c in ("light", "green", "opacity"))))).alias(kind))
-        found = found.join(soft_covers(cells, inside, kind, count, height, width), PIXEL).join(numbers, "tile_id")
-        layers += [(kind, k) for k in range(count)]
+        numbers = rows.groupBy("tile_id").agg(F.array_sort(F.collect_list(F.struct("k", OWN[kind]))).alias(kind))
+        count = sum(of == kind for of, _ in layers)
+        found = found.join(soft_covers(cells, pixels[kind], kind, count, height, width), PIXEL).join(numbers, "tile_id")
 
     def seen(c: str) -> Column:
         value = F.col(c).cast("double")
         for kind, k in layers:
-            cover, own = F.col(f"{kind}{k}"), F.element_at(kind, k + 1)
-            if kind == "shadow":
-                value = value * (1 - cover * (1 - own["light"]))
-            elif kind == "canopy":
-                value = value * (1 - cover) + cover * (own["green"] if c == "g" else F.lit(float(CANOPY_RED_BLUE["rb".index(c)])))
-            else:
-                value = value * (1 - cover * own["opacity"]) + cover * own["opacity"] * CLOUD_COLOUR["rgb".index(c)]
-        # Rounded first: whole results must not fall by a last bit.
-        return F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.round(value, 6)))).cast("int").alias(c)
+            value = laid_over(value, F.col(f"{kind}{k}"), F.element_at(kind, k + 1)[OWN[kind]], kind, c)
+        return value.alias(c)
 
     return found.select(*PIXEL, *map(seen, "rgb"))
 
