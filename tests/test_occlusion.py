@@ -85,3 +85,14 @@ def test_covers_are_laid_in_one_task_or_by_joins(spark, monkeypatch):
     monkeypatch.setattr(raster, "IMAGE_PIXELS", 500)
     assert whole == sorted(map(tuple, occlusion.occlude(image, 60, 57).collect())) and len(whole) == image.count()
     assert whole != sorted(map(tuple, image.collect()))
+
+
+def test_variants_of_occluded_images(spark):
+    """Variants are the occluded images, turned and brightened, in the same single pass over the pixels."""
+    tiles = spark.createDataFrame([(k,) for k in range(6)], "tile_id int")
+    image = raster.grid(tiles, 64, 64).withColumns({c: (F.col("y") * 2 + F.col("x")).cast("int") for c in "rgb"})
+    found = occlusion.occluded_variants(image, 64, 64)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FlatMapCoGroups") == 1
+    want = raster.augment(spark.createDataFrame(occlusion.occlude(image, 64, 64, 2, 2, 1).collect(), "tile_id int, y int, x int, r int, g int, b int"), 64, 64, 42)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
