@@ -51,3 +51,15 @@ def counted(spark, monkeypatch, query):
 def test_networks_are_worked_out_once(spark, monkeypatch, query):
     times, read = counted(spark, monkeypatch, query)
     assert times == 1 and read and not any("lineitem" in f for f in read)
+
+
+def test_dense_tiles_are_their_sql(spark, tmp_path):
+    """Each tile once in full, with lines that lack an order or a part or lie outside; without a join of all pixels."""
+    rows = [(1, 5, 0.04, "R"), (1, 5, 0.06, "N"), (1, 69, 0.01, "N"), (1025, 7, None, "R"), (None, 3, 0.02, "R"), (1030, None, 0.03, "N"), (5000, -9, 0.05, "R"), (8, 8, 0.02, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        want = con.sql(f"WITH {', '.join(f'{n} AS ({views.SQL[n]})' for n in ('scored', 'grid', 'dense'))} SELECT * FROM dense").fetchall()
+    got = views.view(spark, str(tmp_path), "dense")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
