@@ -47,7 +47,7 @@ def counted(spark, monkeypatch, query):
     return sum(seen), read
 
 
-@pytest.mark.parametrize("query", ["betweenness", "node_closure", "gatekeeper_topn", "top_gatekeeper", "shortest_paths", "topological_accuracy_of_truth", "heal_bridges", "heal_summary", "connectivity_ratio", "heal_bridges_strict"])
+@pytest.mark.parametrize("query", ["betweenness", "node_closure", "gatekeeper_topn", "top_gatekeeper", "shortest_paths", "topological_accuracy_of_truth", "heal_bridges", "heal_summary", "connectivity_ratio", "heal_bridges_strict", "heal_bridges_narrow"])
 def test_networks_are_worked_out_once(spark, monkeypatch, query):
     times, read = counted(spark, monkeypatch, query)
     assert times == 1 and read and not any("lineitem" in f for f in read)
